@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loamgraph.llm import chunked_bpe, language, packing, token_files
+from loamgraph.llm import chunked_bpe, jaccard, language, packing, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_chunked_bpe": chunked_bpe.op3_chunked_bpe,
     "op5_packing": packing.op5_packing,
     "op7_language": language.op7_language,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
