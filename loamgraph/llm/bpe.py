@@ -14,18 +14,45 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: The pre-token pattern of the byte-level vocabulary (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of ASCII only, for the standard library's faster engine.
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 500_000
+#: The contractions and white space of the byte-level vocabulary's pre-token pattern (fixed values).
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+SPACE = r"\t-\r \x85\xa0  -     　"
+MEMO_ENTRIES = 600_000
+#: Missing words are encoded so many at a time, as one text.
+JOINED = 2000
+
+
+def _pattern(letter: str, digit: str, other: str) -> str:
+    return rf"{CONTRACTIONS}| ?{letter}+| ?{digit}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
+@functools.lru_cache(maxsize=1)
+def _finders() -> tuple:
+    """Splitters for texts of ASCII, for texts of Latin-1 whose numbers are all decimal digits, and for any; the first two are faster."""
+    import regex
+
+    return (
+        re.compile(_pattern("[A-Za-z]", "[0-9]", rf"[^{SPACE}A-Za-z0-9]")).findall,
+        re.compile(_pattern(r"[^\W\d_]", r"\d", rf"(?:[^{SPACE}\w]|_)")).findall,
+        regex.compile(_pattern(r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]")).findall,
+    )
+
+
+def pre_tokens(text: str) -> list[str]:
+    ascii_only, latin, full = _finders()
+    if text.isascii():
+        return ascii_only(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return full(text)
+    return full(text) if any(c in text for c in "\xb2\xb3\xb9\xbc\xbd\xbe") else latin(text)
 
 
 class PieceEncoder:
     """Texts to ids, as little-endian unsigned 16-bit (or 32-bit) integers in bytes."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,29 +60,47 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._find, self._find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
+        for token, i in vocabulary.items():
+            self._bytes[i] = len(token)
         self._memo: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Words that begin with a blank part again where they were joined, so many are encoded as one text; the tokens' bytes tell their ends."""
+        words, rest = [], []
+        for w in pieces:
+            (words if w[0] == " " and w[1:].isalpha() else rest).append(w)
+        size = self.dtype.itemsize
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = self._ids(["".join(part)])[0]
+            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in part])
+            reached = np.cumsum(self._bytes[ids])
+            last = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
+            if not np.array_equal(reached[last], ends):
+                rest += part
+                continue
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(part, ((last + 1) * size).tolist()):
+                self._memo[w] = data[start:stop]
+                start = stop
+        self._memo.update(zip(rest, [x.tobytes() for x in self._ids(rest)] if rest else ()))
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        pieces = [self._find_ascii(x) if x.isascii() else self._find(x) for x in texts]
-        memo = self._memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        missing = list({w for p in pieces for w in p if w not in memo})
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False) if missing else ()):
-            memo[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in pieces]
+        pieces = [pre_tokens(x) for x in texts]
+        if len(self._memo) > MEMO_ENTRIES:
+            self._memo.clear()
+        self._learn(list(set().union(*pieces).difference(self._memo)))
+        get = self._memo.__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
 
 
 @functools.lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
     """One for each Python worker, kept from task to task."""
     return PieceEncoder(path)
-
-
-def is_byte_level(path: str) -> bool:
-    import json
-
-    with open(path) as f:
-        return json.load(f).get("normalizer") is None
