@@ -23,9 +23,11 @@ from loamgraph.llm._common import documents, modest_batches
 
 #: A cut on average every 2 ** 9 characters.
 CUT_BITS = 9
-#: Bounds of the memo: characters of chunks, and entries of joins.
-MEMO_CHARS, MEMO_JOINS = 32_000_000, 400_000
+#: Bounds of the memos: characters of chunks, and words.
+MEMO_CHARS, MEMO_WORDS = 24_000_000, 500_000
 BLANKS = " \n\t"
+#: Missing words are encoded so many at a time, as one text.
+JOINED = 2000
 
 
 def cuts(text: str) -> list[int]:
@@ -53,12 +55,37 @@ class ChunkEncoder:
         t.no_padding()
         self.vocabulary = np.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())], object)
         self._chunks: dict[str, tuple[str, bytes | None, str]] = {}
-        self._joins: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {"": b""}
         self._chars = 0
+        suffix = getattr(t.model, "end_of_word_suffix", None)
+        self._ends = np.array([bool(suffix) and x.endswith(suffix) for x in self.vocabulary])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> None:
+        """Encode new words (all that stands between two blanks), those of letters only as one text: each of them is one pre-token, which the last of its ids tells."""
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            data = self._ids([" ".join(part)])[0]
+            stops = ((np.flatnonzero(self._ends[np.frombuffer(data, "<u4")]) + 1) * 4).tolist()
+            if len(stops) != len(part):
+                rest += part
+                continue
+            start = 0
+            for w, stop in zip(part, stops):
+                self._words[w] = data[start:stop]
+                start = stop
+        self._words.update(zip(rest, self._ids(rest) if rest else ()))
+
+    def _encode_words(self, rows: list[list[str]]) -> list[bytes]:
+        self._learn(set().union(*rows).difference(self._words))
+        get = self._words.__getitem__
+        return [b"".join(map(get, row)) for row in rows]
+
     def _split(self, chunk: str) -> tuple[str, str | None, str]:
         """What precedes the first blank, what lies from the first to the last, what follows."""
         places = [p for p in map(chunk.find, BLANKS) if p >= 0]
@@ -72,15 +99,15 @@ class ChunkEncoder:
         if self._chars > MEMO_CHARS:
             self._chunks.clear()
             self._chars = 0
-        if len(self._joins) > MEMO_JOINS:
-            self._joins.clear()
+        if len(self._words) > MEMO_WORDS:
+            self._words = {"": b""}
         docs = []
         for x in texts:
             ends = cuts(x)
             docs.append([x[a:b] for a, b in zip([0, *ends], ends)])
         new = list({c for d in docs for c in d if c not in self._chunks})
         parts = [self._split(c) for c in new]
-        cores = iter(self._ids([p[1] for p in parts if p[1] is not None]))
+        cores = iter(self._encode_words([p[1].replace("\n", " ").replace("\t", " ").split(" ") for p in parts if p[1] is not None]))
         for c, (head, core, tail) in zip(new, parts):
             self._chunks[c] = (head, None if core is None else next(cores), tail)
             self._chars += len(c)
@@ -97,9 +124,8 @@ class ChunkEncoder:
                     join = [tail]
             row.append("".join(join))
             laid.append(row)
-        missing = list({x for row in laid for x in row if isinstance(x, str) and x not in self._joins})
-        self._joins.update(zip(missing, self._ids(missing) if missing else ()))
-        return [b"".join([self._joins[x] if isinstance(x, str) else x for x in row]) for row in laid]
+        self._learn({x for row in laid for x in row if isinstance(x, str) and x not in self._words})
+        return [b"".join([self._words[x] if isinstance(x, str) else x for x in row]) for row in laid]
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode for a vocabulary without a decoder: tokens with blanks between, special ones too."""
