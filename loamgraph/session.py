@@ -19,3 +19,12 @@ def local_session(cores: int | str = 8, memory: str = "16g", app: str = "loamgra
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers that start from now on import this package from where the driver has it (on a cluster, ship it with --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark
