@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgraph.session import reachable
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -37,6 +39,7 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts stay small, as some texts are very long."""
+    reachable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgraph.llm import chunked_bpe, jaccard, language, near_vectors, packing, token_files, topk
+from loamgraph.llm import chunked_bpe, jaccard, language, near_vectors, packing, repeats, token_files, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op7_language": language.op7_language,
     "op8_near_vectors": near_vectors.op8_near_vectors,
+    "op9_repeats": repeats.op9_repeats,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamgraph.session import reachable
+
 
 def usable(column: str) -> Column:
     """Neither null nor empty, and all components finite."""
@@ -38,6 +40,7 @@ def tiles(vectors: DataFrame, rows: int, order: list[str], dtype: str = "<f8") -
     Rows are range-partitioned by ``order``; end it with a column without ties, so that equal
     vectors spread over partitions. lo and hi are the least and largest ``key`` of a tile.
     """
+    reachable(vectors.sparkSession)
     # Arrow batches of at most ``rows`` make up tiles of exactly so many, but for a partition's last.
     schema = pa.schema([("tile", pa.int64()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.binary()), ("weights", pa.binary()), ("data", pa.binary())])
 
