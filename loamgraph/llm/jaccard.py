@@ -1,12 +1,13 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles, over a token-group matrix.
 
 Documents with equal sets are one node. Of each node's shingles, in an order that puts
-frequent ones last, a prefix is kept that any partner must share a shingle of. Nodes that
-share one with a central node and pass the check against it form the first groups. Then a
-matrix of prefix shingles by group (of at most ``GROUP`` similar nodes each) tells which
-groups a node could have a partner in; such a group is opened only if the node's overlap
-with the union of its members' shingles is large enough, and then checked member by member.
-Pairs inside a connected group need no check, so large groups of copies cost no pairs.
+frequent ones last, a prefix is kept of which any partner must share a certain number.
+Nodes that share enough with a central node and pass the check against it form the first
+groups. Then a matrix of prefix shingles by group (of at most about ``GROUP`` similar nodes)
+bounds a node's overlap with each group, as does a histogram of the group's shingles over
+``BUCKETS`` buckets; a group that qualifies is opened if the node's overlap with the union of
+its members' shingles is large enough too, and then checked member by member. Nodes that links already connect need no check, so large groups of copies cost no
+pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from loamgraph.llm.shingles import shingle_sets, signature
 
 #: Members of a group.
 GROUP = 128
-#: At most so many shingles count as frequent: those with a share of all shingles above one in this.
+#: At most so many shingles count as frequent: the most frequent ones that occur 8 times or more.
 FREQUENT = 1 << 20
 #: Bits of the filter that keeps the sets of nodes with a possible partner.
 FILTER_BITS = 1 << 24
+#: Buckets of a set's histogram, of a byte each; 255 stands for more.
+BUCKETS = 256
 
 
 def _need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -35,6 +38,35 @@ def _need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
+def _spare(n: int) -> int:
+    """Prefix shingles beyond the one that partners must share; so many more they must share as well."""
+    return n // 16
+
+
+def _histogram(x: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((x & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _possible(pairs: DataFrame, percent: int, keep: list[str]) -> DataFrame:
+    """Rows whose histograms x and y leave room for the overlap needed: of similar sets of n and m, or of n with some member if m is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("x", "y"))
+            n = b.column("n").to_numpy()
+            m = b.column("m").to_numpy(zero_copy_only=False)
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            most[((x == 255) & (y == 255)).any(1)] = 1 << 40
+            with np.errstate(invalid="ignore"):
+                pair = (100 * most >= percent * (n + m - most)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            ok = np.where(np.isnan(m.astype(float)), most >= _need(n, percent), pair)
+            yield b.select(keep).filter(pa.array(ok))
+
+    return pairs.select(*keep, "x", "y", "n", "m").mapInArrow(run, ", ".join(f"`{c}` long" for c in keep))
+
+
 def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their counts, which only order the shingles: any order gives the same links."""
 
@@ -48,7 +80,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             n = np.diff(edge)
             keep = n > 1
             held.clear()
-            return pa.RecordBatch.from_pydict({"token": np.append(x[edge[:-1]][keep].view(np.int64), 0), "n": np.append(n[keep], len(x)).astype(np.int64), "total": np.append(np.zeros(int(keep.sum()), bool), True)})
+            return pa.RecordBatch.from_pydict({"token": x[edge[:-1]][keep].view(np.int64), "n": n[keep].astype(np.int64)})
 
         for b in batches:
             held += shingle_sets(b.column(0).to_pylist(), words)
@@ -56,17 +88,22 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield part()
         yield part()
 
-    counts = stored(docs.select("text").mapInArrow(count, "token long, n long, total boolean").groupBy("token", "total").agg(F.sum("n").alias("n")).filter("total OR n >= 16"))
-    total = counts.filter("total").agg(F.sum("n")).first()[0] or 0
-    # At most FREQUENT rows: all of them have more than total / FREQUENT occurrences.
-    got = counts.filter(~F.col("total") & (F.col("n") > total / FREQUENT)).select("token", "n").toArrow()
+    counts = stored(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 8"))
+    # As many rows as there are different counts: few, since n of them need n * n / 2 shingles.
+    least, room = 8, FREQUENT
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("k")).collect(), reverse=True):
+        room -= r.k
+        if room < 0:
+            least = r.n + 1
+            break
+    got = counts.filter(F.col("n") >= least).select("token", "n").toArrow()
     token, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's signature), prefix (32 bits of each of its prefix shingles)."""
+    """doc_id, n, s1, s2 (the set's signature), prefix (32 bits of each of its prefix shingles), histogram."""
     blob = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +112,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sets = shingle_sets(b.column(1).to_pylist(), words)
             prefixes, sigs = [], []
             for x in sets:
-                p = len(x) - _need(len(x), percent) + 1 if len(x) else 0
+                p = len(x) - _need(len(x), percent) + 1 + _spare(len(x)) if len(x) else 0
                 if len(token) and p:
                     at = np.minimum(np.searchsorted(token, x), len(token) - 1)
                     rank = np.where(token[at] == x, often[at], 0)
@@ -85,9 +122,9 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     chosen = np.arange(p)
                 prefixes.append(np.unique((x[chosen] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
                 sigs.append(signature(x))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "s1": pa.array([s for s, _ in sigs], pa.int64()), "s2": pa.array([s for _, s in sigs], pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "s1": pa.array([s for s, _ in sigs], pa.int64()), "s2": pa.array([s for _, s in sigs], pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int32())), "histogram": pa.array([_histogram(x) for x in sets], pa.binary())})
 
-    return stored(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<int>"))
+    return stored(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<int>, histogram binary"))
 
 
 def _kept_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -123,6 +160,26 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _tops(rows: DataFrame) -> DataFrame:
+    """(group, y): the largest bytes of the histograms of each group, streamed in the order of groups, which are small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, top = None, None
+        for b in batches:
+            out: list[tuple[int, bytes]] = []
+            for g, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if g != group:
+                    if top is not None:
+                        out.append((group, top.tobytes()))
+                    group, top = g, np.zeros(BUCKETS, np.uint8)
+                top = np.maximum(top, np.frombuffer(h, np.uint8))
+            yield pa.RecordBatch.from_pydict({"group": pa.array([g for g, _ in out], pa.int64()), "y": pa.array([t for _, t in out], pa.binary())})
+        if top is not None:
+            yield pa.RecordBatch.from_pydict({"group": pa.array([group], pa.int64()), "y": pa.array([top.tobytes()], pa.binary())})
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "group long, y binary")
+
+
 def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets are similar. The shingles travel to the pair; nothing is grouped."""
 
@@ -179,34 +236,48 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     docs = documents(docs, text, doc_id)
     sets = _sets(docs, words, percent)
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
-    nodes = known.join(classes.select(F.col("node").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"])
+    classes = stored(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("histogram").alias("histogram")))
+    nodes = known.drop("histogram").join(classes.select(F.col("node").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"])
     tokens = nodes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     tokens = stored(tokens.join(shared, "token"))
-    kept = _kept_sets(docs, tokens.select("node").distinct(), words)
+    # What a node's partner shares with it at least: the partner may be smaller, and prefixes hold 32 bits of a
+    # shingle, of which two in a prefix may agree.
+    least = f"greatest(1, CAST(ceil({percent} * n / 100) DIV 16 * 63 / 64 AS BIGINT) - 2)"
+    bound = classes.select("node", F.expr(least).alias("least"))
     # First groups: each node against the centre it shares most prefix shingles with.
-    votes = tokens.select("node", F.explode(F.array("low", "high")).alias("c")).filter("node <> c").groupBy("node", "c").agg(F.count("*").alias("n"))
-    pairs = votes.groupBy("node").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("b")).select(F.col("node").alias("a"), "b")
-    first = stored(_check_pairs(pairs, kept, percent))
+    votes = tokens.select("node", F.explode(F.array("low", "high")).alias("c")).filter("node <> c").groupBy("node", "c").agg(F.count("*").alias("k"))
+    pairs = votes.groupBy("node").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("b"), F.max("k").alias("k"))
+    pairs = pairs.join(bound, "node").filter("k >= least").select(F.col("node").alias("a"), "b")
+    shape = classes.select("node", "n", F.col("histogram").alias("h"))
+    pairs = pairs.join(shape.select(F.col("node").alias("a"), "n", F.col("h").alias("x")), "a").join(shape.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("h").alias("y")), "b")
+    pairs = stored(_possible(pairs, percent, ["a", "b"]))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = stored(_check_pairs(pairs, _kept_sets(docs, ends, words), percent))
     grouped = stored(components(first))
-    # The matrix of prefix shingles by group, and the groups of another component that a node shares one with.
+    # The matrix of prefix shingles by group, and the groups of another component with which a node shares enough.
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    member = (
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / (GROUP // 2)))
+    member = stored(
         tokens.select("node").distinct().join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         .join(sizes, "component", "left")
-        .select("node", "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / (GROUP // 2)))).alias("group"))
+        .select("node", "component", F.xxhash64("component", salt).alias("group"))
     )
-    member = stored(member)
     placed = tokens.select("token", "node").join(member, "node")
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
     placed = stored(placed.join(open_tokens, "token"))
-    matrix = placed.select("token", "group", F.col("component").alias("other")).distinct()
-    sent = stored(placed.join(matrix.withColumnRenamed("group", "to"), "token").filter("component < other").select("node", F.col("to").alias("group")).distinct())
-    queries = sent.join(kept, "node").select("group", "node", "shingles")
-    members = member.join(sent.select("group").distinct(), "group", "left_semi").join(kept, "node").select("group", "node", "shingles")
-    links = first.unionByName(_open_groups(queries, members, percent))
-    found = stored(components(links)).select(F.col("node"), F.col("component"))
+    matrix = placed.select("token", F.col("group").alias("to"), F.col("component").alias("other")).distinct()
+    sent = placed.join(matrix, "token").filter("component < other").groupBy("node", "to").agg(F.count("*").alias("k"))
+    sent = stored(sent.join(bound, "node").filter("k >= least").select("node", F.col("to").alias("group")))
+    # Of a group, the most that a member has in each bucket: a byte string for each node, then the largest bytes of a group.
+    shape = shape.join(sent.select("node").unionByName(member.join(sent.select("group").distinct(), "group", "left_semi").select("node")).distinct(), "node", "left_semi")
+    tops = _tops(member.join(shape, "node").select("group", "h"))
+    sent = sent.join(shape.select("node", "n", F.col("h").alias("x")), "node").join(tops, "group").withColumn("m", F.lit(None).cast("double"))
+    sent = stored(_possible(sent, percent, ["node", "group"]))
+    asked = member.join(sent.select("group").distinct(), "group", "left_semi").select("group", "node")
+    kept = _kept_sets(docs, sent.select("node").unionByName(asked.select("node")).distinct(), words)
+    links = first.unionByName(_open_groups(sent.join(kept, "node"), asked.join(kept, "node"), percent))
+    found = stored(components(links))
     named = classes.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
     alone = sets.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return known.join(named, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
