@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loamgraph.llm import chunked_bpe, jaccard, language, near_vectors, packing, repeats, token_files, topk
+from loamgraph.llm import chunked_bpe, jaccard, language, near_vectors, packing, pii, repeats, suffix_tree, token_files, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_token_files": token_files.op2_token_files,
     "op3_chunked_bpe": chunked_bpe.op3_chunked_bpe,
+    "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
+    "op6_suffix_tree": suffix_tree.op6_suffix_tree,
     "op7_language": language.op7_language,
     "op8_near_vectors": near_vectors.op8_near_vectors,
     "op9_repeats": repeats.op9_repeats,
