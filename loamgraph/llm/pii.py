@@ -13,6 +13,8 @@ All of it is DataFrame and SQL functions.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,10 +76,11 @@ def base_spans(text: Column) -> Column:
     #: What a text must hold for the pattern to be tried at all.
     hint = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": text.rlike(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13}"), "phone": text.rlike(r"\+[0-9]")}
     none = F.array().cast(_SPAN)
-    found = [
-        F.when(hint[kind], F.transform(F.filter(_located(text, pattern), lambda s, k=kind: accept[k](s["value"])), lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))).otherwise(none)
-        for i, (kind, pattern) in enumerate(PATTERNS.items())
-    ]
+    def spans(i: int, kind: str) -> Column:
+        valid = F.filter(_located(text, PATTERNS[kind]), lambda s: accept[kind](s["value"]))
+        return F.transform(valid, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+
+    found = [F.when(hint[kind], spans(i, kind)).otherwise(none) for i, kind in enumerate(PATTERNS)]
     return F.array_sort(F.concat(*found))
 
 
@@ -94,7 +97,10 @@ def _contexts(found: DataFrame) -> DataFrame:
     entity = F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value"))
     a = F.greatest(F.col("s.start") - NEAR, F.lit(0))
     parts = [(F.col("text").substr(a + 1, F.col("s.start") - a), a), (F.col("text").substr(F.col("s.end") + 1, F.lit(NEAR)), F.col("s.end"))]
-    words = F.concat(*[F.transform(_located(c, _WORD), lambda w, at=at: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end"), w["value"].alias("value"))) for c, at in parts])
+    def moved(c: Column, at: Column) -> Column:
+        return F.transform(_located(c, _WORD), lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end"), w["value"].alias("value")))
+
+    words = F.concat(*[moved(c, at) for c, at in parts])
     clear = F.filter(words, lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     return one.select("doc_id", "h", entity.alias("entity"), F.explode(clear).alias("w")).select("doc_id", "h", "entity", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
@@ -124,6 +130,10 @@ def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha:
     return own.unionByName(hits).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
+def _of(kind: int, span: Column) -> Column:
+    return span["kind"] == kind
+
+
 def _written(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
@@ -162,7 +172,7 @@ def digest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """doc_id, the number of spans of each kind, base_sha256 and spans (kind:start:end, comma-joined) of every row."""
     out = _joined(docs, [], text, doc_id, ALPHA, SUPPORT)
     base = F.filter("__spans", lambda s: s["kind"] < len(PATTERNS))
-    counts = [F.size(F.filter("__spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.size(F.filter("__spans", partial(_of, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return out.select(F.col("__id").alias("doc_id"), *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("__spans")).alias("spans"))
 
 
