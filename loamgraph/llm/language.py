@@ -180,7 +180,7 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str
     spark = docs.sparkSession
     modest_batches(spark)
     blob = spark.sparkContext.broadcast(pickle.dumps(sample(training, text, lang, doc_id)))
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c) for c in keep])
+    source = docs.select(F.col(doc_id).alias("__0"), F.col(text).alias("__1"), *[F.col(c).alias(f"__{i + 2}") for i, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(blob.value)
