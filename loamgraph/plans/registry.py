@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from loamgraph.operators import archive, graph, search
+
+QUERIES: dict = search.QUERIES | graph.QUERIES | archive.QUERIES
+ORACLE_SQL: dict[str, str] = search.ORACLE_SQL | graph.ORACLE_SQL | archive.ORACLE_SQL
