@@ -14,6 +14,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from loamgraph.llm._common import resident
+
 #: The contractions and white space of the byte-level vocabulary's pre-token pattern (fixed values).
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -100,7 +102,6 @@ class PieceEncoder:
         return [b"".join(map(get, p)) for p in pieces]
 
 
-@functools.lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
     """One for each Python worker, kept from task to task."""
-    return PieceEncoder(path)
+    return resident(("pieces", path), lambda: PieceEncoder(path))

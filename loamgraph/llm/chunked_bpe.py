@@ -10,7 +10,6 @@ exactly, and the spliced ids are those of the whole text.
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._common import documents, modest_batches
+from loamgraph.llm._common import documents, modest_batches, resident
 
 #: A cut on average every 2 ** 9 characters.
 CUT_BITS = 9
@@ -134,9 +133,8 @@ class ChunkEncoder:
         return " ".join(self.vocabulary[np.frombuffer(ids, "<u4")].tolist())
 
 
-@functools.lru_cache(maxsize=1)
 def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    return resident(("chunks", path), lambda: ChunkEncoder(path))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = False) -> DataFrame:

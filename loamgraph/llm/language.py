@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamgraph.llm._common import crc32_mod, modest_batches
+from loamgraph.llm._common import crc32_mod, modest_batches, resident
 
 SEGMENT = 512
 #: The classifier is fitted on at most so many labelled documents and characters of each language, chosen by a hash of their ids.
@@ -139,9 +139,8 @@ class Model:
         return [self.languages[k] if n else UNDETERMINED for k, n in zip(best.tolist(), sizes.tolist())], score
 
 
-@functools.lru_cache(maxsize=1)
 def _model(samples: bytes) -> Model:
-    return Model(pickle.loads(samples))
+    return resident(("language", samples), lambda: Model(pickle.loads(samples)))
 
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> dict[str, list[str]]:
