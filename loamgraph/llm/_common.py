@@ -61,3 +61,8 @@ def resident(key: Hashable, build: Callable[[], Any]) -> Any:
         gc.collect()
         _RESIDENT[key] = build()
     return _RESIDENT[key]
+
+
+def release() -> None:
+    """Let go of what resident() keeps; operators without such an object call it first."""
+    _RESIDENT.clear()

@@ -6,6 +6,8 @@ import functools
 
 import numpy as np
 
+from loamgraph.llm._common import release
+
 _U = np.uint64
 #: Texts are hashed in blocks of about so many bytes.
 BLOCK = 1 << 20
@@ -55,6 +57,7 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """For each text its sorted distinct shingles of so many words; of fewer words, the whole sequence is one."""
+    release()
     out: list[np.ndarray] = []
     coded = [x.encode("utf-8", "surrogatepass") for x in texts]
     at = 0
