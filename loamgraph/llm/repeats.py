@@ -103,18 +103,12 @@ def _merged(*ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Covered stretches of strings of ``length`` that start at sorted places."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + length).tolist()))
-
-
-def repeated_starts(slices: list[bytes], before: np.ndarray, group: np.ndarray, length: int = LENGTH, k: int = K) -> list[np.ndarray]:
-    """For each slice (``before`` bytes before the anchor, then the anchor and on) the starts, relative to the anchor, of strings found in another slice of its group too.
+def repeated_runs(slices: list[bytes], before: np.ndarray, group: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slices and what strings found in another slice of their group too cover of them, as [start, end) relative to the anchor.
 
-    group: non-decreasing numbers from 0.
+    A slice has ``before`` bytes before the anchor, then the anchor and on. group:
+    non-decreasing numbers from 0. Starts stream in with the columns and are joined into
+    runs at once, so memory goes with the slices, not with the starts.
     """
     lead = length - k
     m, width = len(slices), lead + length
@@ -130,7 +124,9 @@ def repeated_starts(slices: list[bytes], before: np.ndarray, group: np.ndarray,
     # Keys of 16 bits sort by radix.
     kind = np.uint16 if len(group) and base[-1] + 257 <= 1 << 16 else np.int64
     common = np.zeros(m + 1, np.int32)  # of a slice in order with the one before it
-    marked: list[tuple[np.ndarray, int]] = []
+    # The run that each slice has open, as its first start and its end; columns come from the right.
+    first, end = np.full(m, 1 << 20, np.int64), np.zeros(m, np.int64)
+    closed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for j in range(width - 1, -1, -1):
         key = (base[order] + grid[j, order]).astype(kind)
         by = np.argsort(key, kind="stable")
@@ -147,18 +143,18 @@ def repeated_starts(slices: list[bytes], before: np.ndarray, group: np.ndarray,
             grown[:m][same] = np.minimum(value + 1, length)
         common, order = grown, order[by]
         if j <= lead:
-            hit = np.maximum(common[:m], common[1:]) >= length
-            if hit.any():
-                marked.append((order[hit], j))
-    if not marked:
-        return [np.zeros(0, np.int64)] * m
-    row = np.concatenate([r for r, _ in marked])
-    start = np.concatenate([np.full(len(r), j - lead) for r, j in marked])
-    fits = (start >= -before[row]) & (start + length <= lengths[row] - before[row])
-    row, start = row[fits], start[fits]
-    by = np.lexsort((start, row))
-    row, start = row[by], start[by]
-    return np.split(start, np.searchsorted(row, np.arange(1, m)))
+            hit = order[np.maximum(common[:m], common[1:]) >= length]
+            start = j - lead
+            hit = hit[(start >= -before[hit]) & (start + length <= lengths[hit] - before[hit])]
+            new = hit[first[hit] - start > length]
+            done = new[end[new] > first[new]]
+            if len(done):
+                closed.append((done, first[done], end[done]))
+            end[new] = start + length
+            first[hit] = start
+    done = np.flatnonzero(end > first)
+    closed.append((done, first[done], end[done]))
+    return tuple(np.concatenate(x) for x in zip(*closed))
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -253,8 +249,9 @@ def _spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFra
             out: list[tuple[int, int, int, int]] = []
             if rows:
                 group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-                for (_, t1, t2, at, _, _), s in zip(rows, repeated_starts([r[5] for r in rows], np.array([r[4] for r in rows]), group, length)):
-                    out += [(t1, t2, at + a, at + b) for a, b in _runs(s, length)]
+                for i, a, b in zip(*(x.tolist() for x in repeated_runs([r[5] for r in rows], np.array([r[4] for r in rows]), group, length))):
+                    _, t1, t2, at, _, _ = rows[i]
+                    out.append((t1, t2, at + a, at + b))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["t1", "t2", "a", "b"])
 
         for b in batches:
