@@ -23,14 +23,19 @@ def candidates(questions: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keyword_pairs(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates with their trigram similarity of at least MINIMUM; set sizes rule out most before the sets meet."""
-    q = questions.select("item_id", F.col("text").alias("question"), T.trigrams(F.col("text")).alias("q"))
-    d = docs.select("document_id", "content", T.trigrams(F.col("content")).alias("d"))
-    sized = candidates(questions, docs).join(q.select("item_id", F.size("q").alias("nq")), "item_id").join(d.select("document_id", F.size("d").alias("nd")), "document_id")
-    sized = sized.filter(F.least("nq", "nd") >= MINIMUM * F.greatest("nq", "nd")).select("item_id", "document_id", "hits")
+    """Candidates with their trigram similarity of at least MINIMUM; set sizes rule out most before the sets meet.
+
+    Only ids and counts of pairs are shuffled: a document's questions are gathered to its one
+    row, and its text and trigrams (64-bit hashes) meet theirs where it lies.
+    """
+    grams = lambda c: F.transform(T.trigrams(F.col(c)), lambda g: F.xxhash64(g))
+    q = questions.select("item_id", F.col("text").alias("question"), grams("text").alias("q"))
+    asked = candidates(questions, docs).groupBy("document_id").agg(F.collect_list(F.struct("item_id", "hits")).alias("asked"))
+    d = docs.join(asked, "document_id").select("document_id", "content", "asked", grams("content").alias("d"))
+    pairs = d.select("document_id", "content", "d", F.explode("asked").alias("p")).select("document_id", "content", "d", "p.*").join(q, "item_id")
+    sized = pairs.filter(F.least(F.size("q"), F.size("d")) >= MINIMUM * F.greatest(F.size("q"), F.size("d")))
     both = F.size(F.array_intersect("q", "d"))
-    similarity = both / (F.size("q") + F.size("d") - both)
-    return sized.join(q, "item_id").join(d, "document_id").withColumn("similarity", F.round(similarity, 6)).filter(F.col("similarity") >= MINIMUM)
+    return sized.withColumn("similarity", F.round(both / (F.size("q") + F.size("d") - both), 6)).filter(F.col("similarity") >= MINIMUM)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
