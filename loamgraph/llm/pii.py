@@ -1,13 +1,16 @@
 """Personal data: detection by pattern, and information-theoretic sanitisation of what gives it away.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers: the protected
-entities. A term in the words around an entity discloses it if the corpus says so: with n_e
-documents that hold entity e, n_t that hold term t anywhere, n_te that hold t near e, of N in
-all, the pointwise mutual information log(n_te N / (n_t n_e)) is compared with the
-information content log(N / n_e) of the entity itself. A term that gives away more than the
-share ``ALPHA`` of it, on the evidence of ``SUPPORT`` documents or more, is generalised
-(digits) or removed (words) near that entity.
-
+entities. A term of a text that holds an entity, wherever it stands in it, discloses the
+entity if the corpus says so: with n_e distinct texts that hold entity e, n_t that hold term
+t, n_te that hold both, of N in all, the pointwise mutual information log(p(e | t) N / n_e) is
+compared with the information content log(N / n_e) of the entity itself. p(e | t) is smoothed
+by one text that follows the prior, (n_te + n_e / N) / (n_t + 1), so that entities seen in one
+text or two are judged like all others, on as much evidence as there is. A term that gives
+away more than the share ``ALPHA`` of the content is generalised (digits) or removed (words)
+in the texts that hold the entity. Texts without it stay: they link the term to nothing.
+
+Entities that stand in exactly the same texts have the same counts and are judged as one.
 All of it is DataFrame and SQL functions.
 """
 
@@ -20,9 +23,9 @@ from pyspark.sql import functions as F
 
 from loamgraph.llm._common import stored
 
-#: Words up to so many characters from an entity are its context.
-NEAR = 80
-SUPPORT, ALPHA = 3, 0.8
+ALPHA = 0.8
+#: Texts are taken apart into words by pieces of so many characters and the word they end in.
+PIECE = 512
 
 #: In the order of kinds. Possessive loops keep matching linear without changing a match; a match starts
 #: where its run of characters starts, or where the one before ended.
@@ -91,43 +94,64 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return rows.select("doc_id", "h", base_spans(F.col("text")).alias("spans"), "text").filter(F.size("spans") > 0)
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, h, entity, term, start, end) of the words near each entity, outside all base spans."""
-    one = found.select("doc_id", "h", "spans", "text", F.explode("spans").alias("s"))
-    entity = F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value"))
-    a = F.greatest(F.col("s.start") - NEAR, F.lit(0))
-    parts = [(F.col("text").substr(a + 1, F.col("s.start") - a), a), (F.col("text").substr(F.col("s.end") + 1, F.lit(NEAR)), F.col("s.end"))]
-    def moved(c: Column, at: Column) -> Column:
-        return F.transform(_located(c, _WORD), lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end"), w["value"].alias("value")))
+def _occurrences(found: DataFrame) -> DataFrame:
+    """(h, term, start, end) of the words outside all base spans. A piece never ends within a word."""
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}[\p{{L}}\p{{N}}]*+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    places = F.aggregate("p", start, lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def own(x: Column, at: Column) -> Column:
+        spans = F.filter("spans", lambda s: (s["start"] < at + F.length(x)) & (at < s["end"]))
+        return F.struct(x.alias("x"), at.alias("at"), spans.alias("spans"))
 
-    words = F.concat(*[moved(c, at) for c, at in parts])
+    one = found.select("h", "spans", pieces.alias("p")).select("h", F.explode(F.zip_with("p", places, own)).alias("p")).select("h", "p.*")
+    words = F.transform(_located(F.col("x"), _WORD), lambda w: F.struct((w["start"] + F.col("at")).alias("start"), (w["end"] + F.col("at")).alias("end"), w["value"].alias("value")))
     clear = F.filter(words, lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return one.select("doc_id", "h", entity.alias("entity"), F.explode(clear).alias("w")).select("doc_id", "h", "entity", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-
-
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs above the threshold. Counts are of distinct texts, over all documents."""
-    near = contexts.select("entity", "term", "h").distinct()
-    pairs = stored(near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support))
-    n_e = contexts.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = pairs.select("term").distinct()
-    # Each text's distinct words, cut down to candidate terms before they are counted.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
-    n_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))
-    scored = pairs.join(n_e, "entity").join(n_t, "term").crossJoin(total)  # total is one row
-    pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    content = F.log(F.col("n") / F.col("n_e"))
-    return scored.filter((content > 0) & (pmi >= alpha * content)).select("entity", "term")
-
-
-def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    return one.select("h", F.explode(clear).alias("w")).select("h", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    """(h, e, n_e): what stands in each text, with the number of texts that hold it; e is a 128-bit identity of that set of texts."""
+    entity = F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value"))
+    held = found.select("h", F.explode("spans").alias("s")).select("h", entity.alias("entity")).distinct()
+    sets = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("a"), F.bit_xor(F.xxhash64("h", F.lit(2))).alias("b"))
+    return held.join(sets, "entity").select("h", F.struct("a", "b", "n_e").alias("e"), "n_e").distinct()
+
+
+def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(term, n_t) and a row with N: distinct texts that hold each term, and all distinct texts."""
+    x = F.coalesce(F.col(text), F.lit(""))
+    hashes = docs.select(F.xxhash64(x).alias("h"))
+    texts = docs.select(x.alias("x"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("x", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
+    n_t = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return n_t, hashes.agg(F.count("*").alias("n"))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, words: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
+    """(h, term): the terms of each text that give away an entity in it. Counts are of distinct texts, over all documents."""
+    n_t, total = term_counts(docs, text)
+    entities = stored(_entities(found).crossJoin(total).filter("n_e < n"))  # total is one row
+    share = F.pow(F.col("n_e") / F.col("n"), F.lit(1 - alpha))  # of p(e | t), from which a term discloses
+    #: Terms too common for any entity of their text, even if all its texts hold them, go first.
+    most = entities.groupBy("h").agg(F.max((F.col("n_e") + F.col("n_e") / F.col("n")) / share).alias("most"))
+    held = stored(words.select("h", "term").distinct().join(most, "h").join(n_t, "term").filter(F.col("n_t") + 1 <= F.col("most") * (1 + 1e-9)).select("h", "term", "n_t"))
+    discloses = lambda n_te: (n_te + F.col("n_e") / F.col("n")) / (F.col("n_t") + 1) >= share
+    lone = held.join(entities.filter("n_e = 1").select("h", "n_e", "n"), "h").filter(discloses(F.lit(1))).select("h", "term")
+    pairs = held.join(entities.filter("n_e > 1"), "h")
+    above = pairs.groupBy("e", "term").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("n").alias("n")).filter(discloses(F.col("n_te")))
+    return lone.unionByName(pairs.join(above.select("e", "term"), ["e", "term"]).select("h", "term")).distinct()
+
+
+def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA) -> DataFrame:
     """(doc_id, h, spans): base spans and disclosing terms, by start, then kind, of each distinct (doc_id, h) that has any."""
-    found = stored(detect(docs, text, doc_id).dropDuplicates(["doc_id", "h"]))
-    contexts = stored(_contexts(found))
-    hits = contexts.join(disclosing_terms(docs, contexts, text, alpha, support), ["entity", "term"]).select("doc_id", "h", F.struct(F.col("start"), F.lit(len(PATTERNS)).alias("kind"), F.col("end"), F.lit(None).cast("string").alias("value")).alias("s"))
-    own = found.select("doc_id", "h", F.explode("spans").alias("s"))
-    return own.unionByName(hits).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    detected = stored(detect(docs, text, doc_id).dropDuplicates(["doc_id", "h"]))
+    found = detected.select("h", "spans", "text").dropDuplicates(["h"])
+    words = stored(_occurrences(found))
+    hits = words.join(disclosing_terms(docs, found, words, text, alpha), ["h", "term"]).select("h", F.struct(F.col("start"), F.lit(len(PATTERNS)).alias("kind"), F.col("end"), F.lit(None).cast("string").alias("value")).alias("s"))
+    terms = hits.groupBy("h").agg(F.collect_list("s").alias("terms"))
+    spans = F.array_sort(F.concat(F.array_distinct("spans"), F.coalesce("terms", F.array().cast(_SPAN))))
+    return detected.select("doc_id", "h", "spans").join(terms, "h", "left").select("doc_id", "h", spans.alias("spans"))
 
 
 def _of(kind: int, span: Column) -> Column:
@@ -153,24 +177,24 @@ def _clean(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
 
 
-def _joined(docs: DataFrame, columns: list[str], text: str, doc_id: str, alpha: float, support: int) -> DataFrame:
-    spans = annotate(docs, text, doc_id, alpha, support)
+def _joined(docs: DataFrame, columns: list[str], text: str, doc_id: str, alpha: float) -> DataFrame:
+    spans = annotate(docs, text, doc_id, alpha)
     x = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*[F.col(c) for c in columns], F.col(doc_id).cast("long").alias("__id"), F.xxhash64(x).alias("__h"))
     spans = spans.withColumnsRenamed({"doc_id": "__id2", "h": "__h2", "spans": "__spans"})
     return rows.join(spans, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left").withColumn("__spans", F.coalesce("__spans", F.array().cast(_SPAN)))
 
 
-def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA) -> DataFrame:
     """All columns of ``docs`` with the text sanitised. Null and empty texts, and texts without personal data, stay as they are; so do rows that repeat."""
-    out = _joined(docs, docs.columns, text, doc_id, alpha, support)
+    out = _joined(docs, docs.columns, text, doc_id, alpha)
     clean = F.when(F.size("__spans") > 0, _clean(F.col(text), F.col("__spans"))).otherwise(F.col(text))
     return out.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, the number of spans of each kind, base_sha256 and spans (kind:start:end, comma-joined) of every row."""
-    out = _joined(docs, [], text, doc_id, ALPHA, SUPPORT)
+    out = _joined(docs, [], text, doc_id, ALPHA)
     base = F.filter("__spans", lambda s: s["kind"] < len(PATTERNS))
     counts = [F.size(F.filter("__spans", partial(_of, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return out.select(F.col("__id").alias("doc_id"), *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("__spans")).alias("spans"))

@@ -44,3 +44,18 @@ def test_terms_that_give_an_entity_away_are_removed(spark):
 @pytest.mark.parametrize("call", [pii.digest, pii.sanitise])
 def test_empty_table(spark, call):
     assert call(frame(spark, True)).collect() == []
+
+
+def sanitised(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+
+
+FILLER = [f"plain words of text number{i} and nothing more" for i in range(300)]
+
+
+def test_terms_of_an_entity_in_one_text_are_removed_however_far(spark):
+    far = "Quexley " + "plain words and more " * 60 + "İstanbulfoo 81234 wrote a@b.org"
+    got = sanitised(spark, [far, *FILLER])
+    assert got[0] == "[TERM] " + "plain words and more " * 60 + "[TERM] # [TERM] [EMAIL]"
+    assert [got[i + 1] for i in range(len(FILLER))] == FILLER
