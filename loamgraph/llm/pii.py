@@ -122,10 +122,10 @@ def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     """(term, n_t) and a row with N: distinct texts that hold each term, and all distinct texts."""
     x = F.coalesce(F.col(text), F.lit(""))
     hashes = docs.select(F.xxhash64(x).alias("h"))
-    texts = docs.select(x.alias("x"))
+    texts = docs.select(F.xxhash64(x).alias("h"), x.alias("x")).dropDuplicates(["h"])
     words = F.array_distinct(F.transform(F.regexp_extract_all("x", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
     n_t = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    return n_t, hashes.agg(F.count("*").alias("n"))
+    return n_t, hashes.distinct().agg(F.count("*").alias("n"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, words: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:

@@ -59,3 +59,10 @@ def test_terms_of_an_entity_in_one_text_are_removed_however_far(spark):
     got = sanitised(spark, [far, *FILLER])
     assert got[0] == "[TERM] " + "plain words and more " * 60 + "[TERM] # [TERM] [EMAIL]"
     assert [got[i + 1] for i in range(len(FILLER))] == FILLER
+
+
+def test_copies_of_a_text_do_not_hide_its_terms(spark):
+    shared = [f"quexley plain words a@b.org number{i}" for i in range(3)]
+    got = sanitised(spark, [*shared, *shared[:1] * 1000, *FILLER])
+    assert all("quexley" not in got[i] for i in range(1003))
+    assert "plain words" in got[0]
