@@ -18,8 +18,47 @@ from pyspark.sql import DataFrame, SparkSession
 from loamgraph.llm._common import documents, modest_batches
 
 BLOCK_TOKENS = 4_000_000
-#: Lowest-cost sequences tried for a piece that does not fit, before it is cut.
-TRIES = 8
+
+
+class _Sequences:
+    """Open sequences by room: the cheapest with at least so much of it, by a tree of minima over rooms."""
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: dict[int, list[tuple[float, int, int]]] = {}
+        self.best: list[tuple[float, int, int] | None] = [None] * (2 * self.size)
+
+    def _renew(self, room: int) -> None:
+        best, heap, i = self.best, self.heaps[room], room + self.size
+        best[i] = heap[0] if heap else None
+        while i > 1:
+            i >>= 1
+            a, b = best[2 * i], best[2 * i + 1]
+            best[i] = a if b is None or a is not None and a < b else b
+
+    def push(self, cost: float, room: int, j: int) -> None:
+        heapq.heappush(self.heaps.setdefault(room, []), (cost, -room, j))
+        self._renew(room)
+
+    def pop(self, need: int) -> tuple[float, int, int]:
+        """Cost, room and number of the cheapest with room for ``need``; if none has it, of the roomiest."""
+        best, found = self.best, None
+        a, b = need + self.size, 2 * self.size
+        while a < b:
+            if a & 1:
+                if best[a] is not None and (found is None or best[a] < found):
+                    found = best[a]
+                a += 1
+            a, b = a >> 1, b >> 1
+        if found is None:
+            i = 1
+            while i < self.size:
+                i = 2 * i + (best[2 * i + 1] is not None)
+            found = best[i]
+        cost, left, j = found
+        heapq.heappop(self.heaps[-left])
+        self._renew(-left)
+        return cost, -left, j
 
 
 def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> list[tuple[int, int, int, int, int]]:
@@ -28,7 +67,7 @@ def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: fl
     Whole multiples of the capacity are sequences of their own. The rest is spread over as
     many full sequences as it fills, and what is left over sequences of 2 ** i tokens, which
     need no padding; so the room is exactly the number of tokens, and a document is cut
-    only where no sequence among the cheapest has room for the whole of it.
+    only where no sequence has room for the whole of it, and then goes to the roomiest.
     """
     pieces, rest, n_seq = [], [], 0
     for d, n in enumerate(lengths):
@@ -40,27 +79,19 @@ def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: fl
     total = sum(r for r, _ in rest)
     room = [capacity] * (total // capacity) + [1 << i for i in range(capacity.bit_length()) if (total % capacity) >> i & 1]
     used = [0] * len(room)
-    heap = [(0.0, -c, j) for j, c in enumerate(room)]
-    heapq.heapify(heap)
+    open_ = _Sequences(capacity)
+    for j, c in enumerate(room):
+        open_.push(0.0, c, j)
     for r, d in sorted(rest, key=lambda x: (-x[0], x[1])):
         start = lengths[d] - r
         while r:
-            passed = []
-            while heap and len(passed) < TRIES and -heap[0][1] < r:
-                passed.append(heapq.heappop(heap))
-            if heap and -heap[0][1] >= r:
-                cost, left, j = heapq.heappop(heap)
-            else:  # cut: the roomiest of those tried
-                passed.sort(key=lambda x: (x[1], x[0]))
-                cost, left, j = passed.pop(0)
-            for x in passed:
-                heapq.heappush(heap, x)
-            n = min(r, -left)
+            cost, left, j = open_.pop(r)
+            n = min(r, left)
             pieces.append((d, start, n, n_seq + j, used[j]))
             used[j] += n
             start, r = start + n, r - n
-            if used[j] < room[j]:
-                heapq.heappush(heap, (cost + linear * n + quadratic * n * n, used[j] - room[j], j))
+            if n < left:
+                open_.push(cost + linear * n + quadratic * n * n, left - n, j)
     return pieces
 
 

@@ -105,3 +105,21 @@ def test_packing_keeps_each_id_once(spark):
         padded += 0 if at & (at - 1) == 0 else 2048 - at
     assert padded <= 0.02 * sum(map(len, ids.values()))
     assert packing.pack(frame(spark, True), BYTE).collect() == []
+
+
+def test_documents_go_to_the_cheapest_sequence_with_room():
+    lengths = [1000 + 37 * (i * i % 97) % 1000 for i in range(60)] + [30 + i * 13 % 400 for i in range(200)]
+    capacity, cut = 2048, 0
+    room = [capacity] * (sum(lengths) // capacity) + [1 << i for i in range(12) if (sum(lengths) % capacity) >> i & 1]
+    cost = [0.0] * len(room)
+    want = []
+    for r, d in sorted(zip(lengths, range(len(lengths))), key=lambda x: (-x[0], x[1])):
+        while r:
+            fit = [(cost[j], -room[j], j) for j in range(len(room)) if room[j] >= r]
+            j = min(fit)[2] if fit else min((-room[j], cost[j], j) for j in range(len(room)) if room[j])[2]
+            n = min(r, room[j])
+            want.append((d, n, j))
+            cost[j] += n + n * n / 2048
+            room[j] -= n
+            r -= n
+    assert [(d, n, j) for d, _, n, j, _ in packing.assign(lengths, capacity)] == want
