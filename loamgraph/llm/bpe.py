@@ -2,7 +2,8 @@
 
 Byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
 pre-tokens in turn; each distinct pre-token goes to the tokenizers library once and its
-ids are reused while the memo lasts.
+ids are reused while the memo lasts. Texts that may hold an added token, which the library
+looks for before it makes pre-tokens, go to the library as they are.
 """
 
 from __future__ import annotations
@@ -51,6 +52,13 @@ def pre_tokens(text: str) -> list[str]:
     return full(text) if any(c in text for c in "\xb2\xb3\xb9\xbc\xbd\xbe") else latin(text)
 
 
+def added_token_hint(tokenizer) -> re.Pattern:
+    """Matches in every text that holds an added token, whatever the tokenizer's normalizer does to letters: by the signs the token begins with."""
+    tokens = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    signs = {re.match(r"[!-/:-@\[-`{-~]*", t).group() for t in tokens}
+    return re.compile("|".join(map(re.escape, sorted(signs))) if signs else "(?!)")
+
+
 class PieceEncoder:
     """Texts to ids, as little-endian unsigned 16-bit (or 32-bit) integers in bytes."""
 
@@ -59,7 +67,7 @@ class PieceEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self._special = added_token_hint(self.tokenizer).search
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab()
@@ -94,12 +102,16 @@ class PieceEncoder:
         self._memo.update(zip(rest, [x.tobytes() for x in self._ids(rest)] if rest else ()))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        pieces = [pre_tokens(x) for x in texts]
+        texts = list(texts)
+        whole = [i for i, x in enumerate(texts) if self._special(x)]
+        ids = iter(self._ids([texts[i] for i in whole]) if whole else ())
+        by_library = {i: x.tobytes() for i, x in zip(whole, ids)}
+        pieces = [() if i in by_library else pre_tokens(x) for i, x in enumerate(texts)]
         if len(self._memo) > MEMO_ENTRIES:
             self._memo.clear()
         self._learn(list(set().union(*pieces).difference(self._memo)))
         get = self._memo.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        return [by_library[i] if i in by_library else b"".join(map(get, p)) for i, p in enumerate(pieces)]
 
 
 def piece_encoder(path: str) -> PieceEncoder:

@@ -5,7 +5,8 @@ same passage stands. A chunk that several documents share is encoded once for ea
 worker while a bounded memo lasts. The ends of a chunk may split a pre-token, so each join
 is repaired: the stretch around it is encoded anew out to the nearest blank on either side.
 A blank is never part of a token nor of a composed character, so there both encodings agree
-exactly, and the spliced ids are those of the whole text.
+exactly, and the spliced ids are those of the whole text. Texts that may hold an added token
+go to the library as they are.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.llm._common import documents, modest_batches, resident
+from loamgraph.llm.bpe import added_token_hint
 
 #: A cut on average every 2 ** 9 characters.
 CUT_BITS = 9
@@ -44,12 +46,15 @@ def cuts(text: str) -> list[int]:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str):
+    """With ``added_tokens``, as in all operators, those in texts are recognised, as the library does unless told not to."""
+
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = self.tokenizer = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = not added_tokens
+        self._special = added_token_hint(t).search if added_tokens else lambda x: None
         t.no_truncation()
         t.no_padding()
         self.vocabulary = np.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())], object)
@@ -95,6 +100,14 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, little-endian unsigned 32-bit."""
+        whole = [i for i, x in enumerate(texts) if self._special(x)]
+        if whole:
+            by_library = dict(zip(whole, self._ids([texts[i] for i in whole])))
+            rest = iter(self._encode([x for i, x in enumerate(texts) if i not in by_library]))
+            return [by_library[i] if i in by_library else next(rest) for i in range(len(texts))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if self._chars > MEMO_CHARS:
             self._chunks.clear()
             self._chars = 0
@@ -134,7 +147,7 @@ class ChunkEncoder:
 
 
 def chunk_encoder(path: str) -> ChunkEncoder:
-    return resident(("chunks", path), lambda: ChunkEncoder(path))
+    return resident(("chunks", path), lambda: ChunkEncoder(path, added_tokens=True))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", decoded: bool = False) -> DataFrame:

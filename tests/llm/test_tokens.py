@@ -123,3 +123,14 @@ def test_documents_go_to_the_cheapest_sequence_with_room():
             room[j] -= n
             r -= n
     assert [(d, n, j) for d, _, n, j, _ in packing.assign(lengths, capacity)] == want
+
+
+def test_added_tokens_in_texts_are_those_of_the_library(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|ENDOFTEXT|>y <|startoftext|> <|", "plain words", " tail <|endoftext|>\n next", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    byte, word = library(BYTE), library(WORD)
+    assert [r.ids for r in chunked_bpe.encode(docs, WORD).orderBy("doc_id").collect()] == [np.array(word.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    want = [(i, zlib.crc32(np.array(byte.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, x in enumerate(texts)]
+    got = token_files.digest(token_files.scan(token_files.write(docs, BYTE, shared_dir(spark), end_id=2))).collect()
+    assert sorted((r.doc_id, r.ids_crc32) for r in got) == want
+    assert 50256 in byte.encode(texts[0], add_special_tokens=False).ids and 49407 in word.encode(texts[0], add_special_tokens=False).ids
