@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,9 @@ def documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:  # one machine, as in tests
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/loamgraph-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/loamgraph/{uuid.uuid4().hex}"
@@ -37,7 +41,30 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = shared_dir(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of stored() frames after their last reader has been written itself."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def filter_bits(keys: DataFrame, size: int) -> np.ndarray:
+    """A filter of ``size`` bits, whatever the number of rows, over a column ``h`` of longs from 0 to size - 1."""
+    parts = keys.groupBy((F.col("h") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits")).collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for r in parts:
+        bits[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0
 
 
 def modest_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -90,13 +90,30 @@ def removed(texts, n):
     return out
 
 
-@pytest.mark.parametrize("length", [400, 100])
-def test_removed_bytes_equal_brute_force(spark, length):
-    texts = repeat_texts()
+@pytest.mark.parametrize("block", [1 << 12, 1 << 14])
+def test_anchors_of_pieces_are_those_of_whole_texts(monkeypatch, block):
+    r = random.Random(9)
+    texts = [prose(r, n).encode() for n in (10, 300, 9000, 40)] + [b"ab" * 9000]
+
+    def found():
+        return sorted((x.pieces[o][0], p, h) for x in repeats.anchored(texts, 240) for o, p, h in zip(x.owner.tolist(), (x.at + x.base).tolist(), x.hash.tolist()))
+
+    monkeypatch.setattr(repeats, "BLOCK", 1 << 20)
+    whole = found()
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    assert found() == whole and len(whole) > 500
+
+
+@pytest.mark.parametrize("length, also, hot", [(400, (240,), 20_000), (100, (), 20_000), (400, (240,), 3), (240, (400,), 1)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, length, also, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    texts = [*repeat_texts(), "ab" * 2500, prose(random.Random(3), 900), "q" * 4000, *(prose(random.Random(3), 900)[k : k + 2200] for k in (0, 7, 1300))]
     want = removed(texts, length)
     assert sum(x[2] > 0 for x in want) > 15
-    got = repeats.remove(table(spark, texts), length).collect()
+    got = repeats.remove(table(spark, texts), length, also=also).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == want
+    for n in also:
+        assert sorted((r.doc_id, r[f"covered_{n}"]) for r in got) == [(x[0], x[2]) for x in removed(texts, n)]
 
 
 def test_repeats_of_odd_and_no_rows(spark):
