@@ -1,17 +1,22 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles, over a token-group matrix.
 
-Documents with equal sets are one node. Of each node's shingles, in an order that puts
-frequent ones last, a prefix is kept of which any partner must share a certain number.
-Nodes that share enough with a central node and pass the check against it form the first
-groups. Then a matrix of prefix shingles by group (of at most about ``GROUP`` similar nodes)
-bounds a node's overlap with each group, as does a histogram of the group's shingles over
-``BUCKETS`` buckets; a group that qualifies is opened if the node's overlap with the union of
-its members' shingles is large enough too, and then checked member by member. Nodes that links already connect need no check, so large groups of copies cost no
-pairs.
+Documents with equal sets are one node. Of each node's shingles, in an order that puts frequent
+ones last, a prefix is kept of which any partner must share a certain number; prefix shingles
+that no other text can have (a sketch of fixed size tells) are dropped, and with them most
+documents. Candidates with the same least shingle hash and a similar size are compared with the
+first of them; those that are similar to it make groups, the others of the same key make groups
+of their own, each of a bounded number of members and shingles.
+
+The matrix has a row for each prefix shingle and group. Two groups of similar sizes qualify if
+they share enough rows, and if not all their members are known to be linked already. A group's
+record holds the union of its members' shingles and where each member's lie in it; if the unions
+of a qualifying pair share enough, the pair is opened and its members are compared at once, as a
+product of two 0-1 matrices. Links leave as stars, so large groups of copies cost no pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,21 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._common import documents, modest_batches, stored
-from loamgraph.llm.components import components
+from loamgraph.llm import sketch
+from loamgraph.llm._common import documents, forget, modest_batches, stored
+from loamgraph.llm.components import components, stars
 from loamgraph.llm.shingles import shingle_sets, signature
 
-#: Members of a group.
-GROUP = 128
+#: Members of a group, on average, and shingles of a group's members (unless one has more).
+GROUP, GROUP_SHINGLES = 96, 1 << 16
 #: At most so many shingles count as frequent: the most frequent ones that occur 8 times or more.
 FREQUENT = 1 << 20
-#: Bits of the filter that keeps the sets of nodes with a possible partner.
-FILTER_BITS = 1 << 24
-#: Buckets of a set's histogram, of a byte each; 255 stands for more.
-BUCKETS = 256
 
 
-def _need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+def _need(n: int, percent: int) -> int:
     """The least overlap of a set of n with any partner."""
     return -(-percent * n // 100)
 
@@ -43,28 +45,14 @@ def _spare(n: int) -> int:
     return n // 16
 
 
-def _histogram(x: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((x & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+def _least(n: int, percent: int) -> int:
+    """What a node's partner shares with its prefix at least: the partner may be smaller, and prefixes hold 32 bits of a shingle, of which two in a prefix may agree."""
+    return max(1, _spare(_need(n, percent)) * 63 // 64 - 2)
 
 
-def _possible(pairs: DataFrame, percent: int, keep: list[str]) -> DataFrame:
-    """Rows whose histograms x and y leave room for the overlap needed: of similar sets of n and m, or of n with some member if m is null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("x", "y"))
-            n = b.column("n").to_numpy()
-            m = b.column("m").to_numpy(zero_copy_only=False)
-            most = np.minimum(x, y).sum(1, dtype=np.int64)
-            most[((x == 255) & (y == 255)).any(1)] = 1 << 40
-            with np.errstate(invalid="ignore"):
-                pair = (100 * most >= percent * (n + m - most)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            ok = np.where(np.isnan(m.astype(float)), most >= _need(n, percent), pair)
-            yield b.select(keep).filter(pa.array(ok))
-
-    return pairs.select(*keep, "x", "y", "n", "m").mapInArrow(run, ", ".join(f"`{c}` long" for c in keep))
+def _bucket(n: int, percent: int) -> int:
+    """Sizes of a pair lie in the same bucket or in neighbouring ones."""
+    return int(math.log(n) / (math.log(100 / percent) * 1.000001)) if percent < 100 else n
 
 
 def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,189 +85,212 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             least = r.n + 1
             break
     got = counts.filter(F.col("n") >= least).select("token", "n").toArrow()
+    forget(counts)
     token, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's signature), prefix (32 bits of each of its prefix shingles), histogram."""
-    blob = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+def _prefix(x: np.ndarray, percent: int, token: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The prefix of a set, given the frequent shingles and their counts."""
+    p = min(len(x), len(x) - _need(len(x), percent) + 1 + _spare(len(x))) if len(x) else 0
+    if not len(token) or not p:
+        return x[:p]
+    at = np.minimum(np.searchsorted(token, x), len(token) - 1)
+    rank = np.where(token[at] == x, often[at], 0)
+    rare = np.flatnonzero(rank == 0)
+    return x[rare[:p]] if len(rare) >= p else x[np.argsort(rank, kind="stable")[:p]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, often = blob.value
-        for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), words)
-            prefixes, sigs = [], []
-            for x in sets:
-                p = len(x) - _need(len(x), percent) + 1 + _spare(len(x)) if len(x) else 0
-                if len(token) and p:
-                    at = np.minimum(np.searchsorted(token, x), len(token) - 1)
-                    rank = np.where(token[at] == x, often[at], 0)
-                    rare = np.flatnonzero(rank == 0)
-                    chosen = rare[:p] if len(rare) >= p else np.argsort(rank, kind="stable")[:p]
-                else:
-                    chosen = np.arange(p)
-                prefixes.append(np.unique((x[chosen] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                sigs.append(signature(x))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(x) for x in sets], pa.int64()), "s1": pa.array([s for s, _ in sigs], pa.int64()), "s2": pa.array([s for _, s in sigs], pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int32())), "histogram": pa.array([_histogram(x) for x in sets], pa.binary())})
-
-    return stored(docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<int>, histogram binary"))
-
-
-def _kept_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of at least the given nodes: a filter of fixed size, never too small a result, spares the rest."""
+
+def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """rid (a number of the row), doc_id, n, s1, s2 (the set's signature); of sets with a possible partner also least, bucket, first (the least shingle), prefix (32 bits of each shingle of it that others may have) and shingles."""
     spark = docs.sparkSession
-    h = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    parts = nodes.select(h.alias("h")).groupBy((F.col("h") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg((F.col("h") % 32768)).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        bits[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-    blob = spark.sparkContext.broadcast(bits)
+    order = spark.sparkContext.broadcast(_frequent(docs, words))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            h = b.column(2).to_numpy()
-            b = b.filter(pa.array((blob.value[h >> 3] >> (h & 7)) & 1 > 0))
-            if b.num_rows:
-                yield pa.RecordBatch.from_pydict({"node": b.column(0), "shingles": pa.array([x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), words)], pa.binary())})
+            for x in shingle_sets(b.column(0).to_pylist(), words):
+                if (key := signature(x)) not in seen and len(x):
+                    seen.add(key)
+                    yield _prefix(x, percent, *order.value)
 
-    return stored(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h")).mapInArrow(run, "node long, shingles binary"))
+    sent = docs.select("text").mapInArrow(lambda batches: sketch.send(prefixes(batches)), sketch.SCHEMA)
+    shared = spark.sparkContext.broadcast(sketch.frequent(sent, (0, 2))[0])
+    fields = [("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("least", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("prefix", pa.list_(pa.int32())), ("shingles", pa.binary())]
+    schema = pa.schema(fields)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum())
+        rid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            out = []
+            for d, x in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words)):
+                row = [rid, d, len(x), *signature(x), None, None, None, None, None]
+                rid += 1
+                if len(x) and d is not None:
+                    p = _prefix(x, percent, *order.value)
+                    p = p[sketch.has(shared.value, p)]
+                    if len(p) >= (least := _least(len(x), percent)):
+                        row[5:] = [least, _bucket(len(x), percent), int(x[0].view(np.int64)), np.unique((p >> np.uint64(32)).astype(np.uint32)).view(np.int32), x.tobytes()]
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return stored(docs.mapInArrow(run, "rid long, doc_id long, n long, s1 long, s2 long, least long, bucket long, first long, prefix array<int>, shingles binary"))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
-    both = _overlap(x, y) if len(x) <= len(y) else _overlap(y, x)
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _tops(rows: DataFrame) -> DataFrame:
-    """(group, y): the largest bytes of the histograms of each group, streamed in the order of groups, which are small."""
+def _near_first(cand: DataFrame, percent: int) -> DataFrame:
+    """(node, centre, ok): candidates whose key another has too, the first node of the key, and whether they are similar to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, top = None, None
         for b in batches:
-            out: list[tuple[int, bytes]] = []
-            for g, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if g != group:
-                    if top is not None:
-                        out.append((group, top.tobytes()))
-                    group, top = g, np.zeros(BUCKETS, np.uint8)
-                top = np.maximum(top, np.frombuffer(h, np.uint8))
-            yield pa.RecordBatch.from_pydict({"group": pa.array([g for g, _ in out], pa.int64()), "y": pa.array([t for _, t in out], pa.binary())})
-        if top is not None:
-            yield pa.RecordBatch.from_pydict({"group": pa.array([group], pa.int64()), "y": pa.array([top.tobytes()], pa.binary())})
+            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["node", "centre", "ok"])
 
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "group long, y binary")
+    key = ["first", "bucket"]
+    centres = cand.groupBy(*key).agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select(*key, "centre")
+    y = cand.select("node", F.col("shingles").alias("y")).join(centres, F.col("node") == F.col("centre")).select(*key, "centre", "y")
+    return cand.select("node", *key, F.col("shingles").alias("x")).join(y, key).filter("node <> centre").select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long, ok boolean")
 
 
-def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar. The shingles travel to the pair; nothing is grouped."""
+_RECORD = "group long, nodes binary, parts binary, sizes binary, union binary, places binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(pa.array(keep, pa.bool_())), "b": b.column(1).filter(pa.array(keep, pa.bool_()))})
 
-    return (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(run, "a long, b long")
-    )
+def _records(rows: DataFrame) -> DataFrame:
+    """A record for each group of (group, part, node, shingles) rows: the members, their parts and sizes, the union of their shingles, and the members' places in it in turn."""
+    schema = pa.schema([("group", pa.int64()), *((c, pa.binary()) for c in ("nodes", "parts", "sizes", "union", "places"))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
-def _open_groups(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between a query and members of the groups it was sent to.
+        def record() -> pa.RecordBatch:
+            sets = [np.frombuffer(r[3], np.uint64) for r in held]
+            union, places = np.unique(np.concatenate(sets), return_inverse=True)
+            columns = [held[0][0], np.array([r[2] for r in held], "<i8"), np.array([r[1] for r in held], "<i8"), np.array([len(x) for x in sets], "<i8"), union, places.astype("<u4")]
+            return pa.RecordBatch.from_arrays([pa.array([x if i == 0 else x.tobytes()], f.type) for i, (x, f) in enumerate(zip(columns, schema))], schema=schema)
 
-    queries: (group, node, shingles), members: (group, node, shingles), at most GROUP a group.
-    """
-    rows = members.select("group", F.lit(0).alias("q"), "node", "shingles").unionByName(queries.select("group", F.lit(1).alias("q"), "node", "shingles"))
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != r[0]:
+                    yield record()
+                    held.clear()
+                held.append(r)
+        if held:
+            yield record()
+
+    return rows.select("group", "part", "node", "shingles").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, _RECORD)
+
+
+class _Group:
+    def __init__(self, nodes: bytes, parts: bytes, sizes: bytes, union: bytes, places: bytes):
+        self.nodes, self.parts, self.n = (np.frombuffer(x, "<i8") for x in (nodes, parts, sizes))
+        self.union, self.places = np.frombuffer(union, np.uint64), np.frombuffer(places, "<u4")
+        self.member = np.repeat(np.arange(len(self.n)), self.n)
+
+    def matrix(self, column: np.ndarray, width: int) -> np.ndarray:
+        """Members by columns, given the column of each shingle of the union (-1: none of these)."""
+        out = np.zeros((len(self.n), width), np.float32)
+        at = column[self.places]
+        has = at >= 0
+        out[self.member[has], at[has]] = 1
+        return out
+
+
+def _open(g: _Group, h: _Group, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members of two groups that are not of one part yet, as stars."""
+    _, x, y = np.intersect1d(g.union, h.union, assume_unique=True, return_indices=True)
+    need = percent * (int(g.n.min()) + int(h.n.min()))
+    none = np.zeros(0, np.int64)
+    if (100 + percent) * len(x) < need:  # of sets of n and m, at least percent * (n + m) / (100 + percent) are common
+        return none, none
+    both = np.zeros((len(g.n), len(h.n)), np.float32)
+    for a in range(0, len(x), 8192):  # sums of ones are exact up to 2 ** 24
+        columns = []
+        for group, at in ((g, x), (h, y)):
+            column = np.full(len(group.union), -1, np.int64)
+            column[at[a : a + 8192]] = np.arange(len(at[a : a + 8192]))
+            columns.append(group.matrix(column, len(at[a : a + 8192])))
+        both += columns[0] @ columns[1].T
+    both = both.astype(np.int64)
+    i, j = np.nonzero((100 * both >= percent * (g.n[:, None] + h.n[None, :] - both)) & (g.parts[:, None] != h.parts[None, :]) & (g.nodes[:, None] != h.nodes[None, :]))
+    nodes = np.concatenate([g.nodes, h.nodes])
+    root = stars(i, j + len(g.n), len(nodes))
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[at], nodes[root[at]]
+
+
+def _open_pairs(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in the pairs (g1, g2) of groups."""
+    side = lambda k: records.select(*[F.col(c).alias(f"g{k}" if c == "group" else f"{c}{k}") for c in records.columns])
+    columns = [f"{c}{k}" for k in (1, 2) for c in ("nodes", "parts", "sizes", "union", "places")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, union = None, None
-        held: list[tuple[int, np.ndarray]] = []
         for b in batches:
-            links: list[tuple[int, int]] = []
-            for g, q, node, blob in zip(*(c.to_pylist() for c in b.columns)):
-                x = np.frombuffer(blob, np.uint64)
-                if g != group:
-                    group, union, held = g, None, []
-                if not q:
-                    held.append((node, x))
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate([y for _, y in held])) if held else np.zeros(0, np.uint64)
-                if len(union) and _overlap(x, union) >= _need(len(x), percent):
-                    links += [(node, m) for m, y in held if _linked(x, y, percent)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([m for _, m in links], pa.int64())})
-
-    return rows.repartition("group").sortWithinPartitions("group", "q").mapInArrow(run, "a long, b long")
+            out = [_open(_Group(*r[:5]), _Group(*r[5:]), percent) for r in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate([x[i] for x in out]) if out else [], pa.int64()) for i, k in enumerate(("a", "b"))})
+
+    return pairs.join(side(1), "g1").join(side(2), "g2").select(*columns).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document.
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row.
 
     Two documents link if their sets of word shingles have a Jaccard similarity of at least
     ``percent``/100. A text of fewer words is one shingle; one without words, like a null
     text, has an empty set and links with nothing. A null doc_id links with nothing and has a
-    null component. Repeated doc_ids give a row each, and are one node if their texts agree.
+    null component. Rows that share a doc_id are one document, with the links of all its texts.
     """
-    modest_batches(docs.sparkSession, 500)
-    docs = documents(docs, text, doc_id)
-    sets = _sets(docs, words, percent)
-    known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("histogram").alias("histogram")))
-    nodes = known.drop("histogram").join(classes.select(F.col("node").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"])
-    tokens = nodes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    tokens = stored(tokens.join(shared, "token"))
-    # What a node's partner shares with it at least: the partner may be smaller, and prefixes hold 32 bits of a
-    # shingle, of which two in a prefix may agree.
-    least = f"greatest(1, CAST(ceil({percent} * n / 100) DIV 16 * 63 / 64 AS BIGINT) - 2)"
-    bound = classes.select("node", F.expr(least).alias("least"))
-    # First groups: each node against the centre it shares most prefix shingles with.
-    votes = tokens.select("node", F.explode(F.array("low", "high")).alias("c")).filter("node <> c").groupBy("node", "c").agg(F.count("*").alias("k"))
-    pairs = votes.groupBy("node").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("b"), F.max("k").alias("k"))
-    pairs = pairs.join(bound, "node").filter("k >= least").select(F.col("node").alias("a"), "b")
-    shape = classes.select("node", "n", F.col("histogram").alias("h"))
-    pairs = pairs.join(shape.select(F.col("node").alias("a"), "n", F.col("h").alias("x")), "a").join(shape.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("h").alias("y")), "b")
-    pairs = stored(_possible(pairs, percent, ["a", "b"]))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = stored(_check_pairs(pairs, _kept_sets(docs, ends, words), percent))
-    grouped = stored(components(first))
-    # The matrix of prefix shingles by group, and the groups of another component with which a node shares enough.
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / (GROUP // 2)))
-    member = stored(
-        tokens.select("node").distinct().join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        .join(sizes, "component", "left")
-        .select("node", "component", F.xxhash64("component", salt).alias("group"))
-    )
-    placed = tokens.select("token", "node").join(member, "node")
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
-    placed = stored(placed.join(open_tokens, "token"))
-    matrix = placed.select("token", F.col("group").alias("to"), F.col("component").alias("other")).distinct()
-    sent = placed.join(matrix, "token").filter("component < other").groupBy("node", "to").agg(F.count("*").alias("k"))
-    sent = stored(sent.join(bound, "node").filter("k >= least").select("node", F.col("to").alias("group")))
-    # Of a group, the most that a member has in each bucket: a byte string for each node, then the largest bytes of a group.
-    shape = shape.join(sent.select("node").unionByName(member.join(sent.select("group").distinct(), "group", "left_semi").select("node")).distinct(), "node", "left_semi")
-    tops = _tops(member.join(shape, "node").select("group", "h"))
-    sent = sent.join(shape.select("node", "n", F.col("h").alias("x")), "node").join(tops, "group").withColumn("m", F.lit(None).cast("double"))
-    sent = stored(_possible(sent, percent, ["node", "group"]))
-    asked = member.join(sent.select("group").distinct(), "group", "left_semi").select("group", "node")
-    kept = _kept_sets(docs, sent.select("node").unionByName(asked.select("node")).distinct(), words)
-    links = first.unionByName(_open_groups(sent.join(kept, "node"), asked.join(kept, "node"), percent))
-    found = stored(components(links))
+    spark = docs.sparkSession
+    modest_batches(spark, 500)
+    rows = _rows(documents(docs, text, doc_id), words, percent)
+    known = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = stored(known.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "rid")).alias("r")).select("s1", "s2", F.col("r.doc_id").alias("node"), F.col("r.rid").alias("rid")))
+    wide = rows.filter("least IS NOT NULL").select("rid", "n", "least", "bucket", "first", "prefix", "shingles")
+    cand = stored(wide.join(classes.select("rid", "node"), "rid").drop("rid"))
+    first = stored(_near_first(cand, percent))
+    # Groups: those similar to the first of their key, the others of the key, and single nodes.
+    sorts = first.select("node", F.when(F.col("ok"), F.col("centre")).otherwise(F.col("node")).alias("part"), F.when(F.col("ok"), 1).otherwise(2).alias("kind"))
+    sorts = sorts.unionByName(first.filter("ok").select(F.col("centre").alias("node"), F.col("centre").alias("part"), F.lit(1).alias("kind")).distinct())
+    placed = cand.select("node", "n", "least", "bucket", "first", "prefix").join(sorts, "node", "left")
+    key = F.when(F.col("kind") == 1, F.xxhash64(F.lit(1), "part")).when(F.col("kind") == 2, F.xxhash64(F.lit(2), "first", "bucket")).otherwise(F.xxhash64(F.lit(3), "node"))
+    placed = stored(placed.select("node", F.coalesce("part", "node").alias("part"), "n", "least", "bucket", "prefix", key.alias("key")))
+    sizes = placed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("split"))
+    grouped = placed.join(sizes, "key").withColumn("group", F.xxhash64("key", "bucket", F.pmod(F.xxhash64("node"), F.col("split")))).drop("key", "split")
+    grouped = stored(grouped)
+    forget(placed)
+    # The matrix: a row for each prefix shingle and group.
+    matrix = grouped.select("group", "part", "least", "bucket", F.explode("prefix").alias("token")).groupBy("token", "bucket", "group")
+    matrix = stored(matrix.agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("least").alias("least"), F.count("*").alias("k")))
+    left = matrix.select("token", "bucket", F.col("group").alias("g1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.col("least").alias("least1"))
+    right = matrix.select("token", F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("own"), F.col("group").alias("g2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("least").alias("least2"))
+    met = left.join(right, ["token", "bucket"]).filter("(own > bucket OR g1 < g2) AND NOT (low1 = high1 AND low2 = high2 AND low1 = low2)")
+    pairs = met.groupBy("g1", "g2").agg(F.count("*").alias("k"), F.min("least1").alias("least1"), F.min("least2").alias("least2")).filter("k >= greatest(least1, least2)").select("g1", "g2")
+    own = matrix.filter("k > 1 AND low < high").groupBy("group").agg(F.count("*").alias("k"), F.min("least").alias("least")).filter("k >= least").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
+    pairs = stored(pairs.unionByName(own))
+    forget(matrix)
+    wanted = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
+    records = stored(_records(grouped.select("node", "group", "part").join(wanted, "group", "left_semi").join(cand.select("node", "shingles"), "node")))
+    forget(grouped, cand)
+    # Rows that share a doc_id and not their sets: the document is linked with the first node of each set.
+    several = known.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("s2").alias("x2"), F.max("s2").alias("y2")).filter("x < y OR x2 < y2").select("doc_id")
+    same = known.select("doc_id", "s1", "s2").join(several, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    links = _open_pairs(pairs, records, percent).unionByName(first.filter("ok").select(F.col("node").alias("a"), F.col("centre").alias("b"))).unionByName(same)
+    found = components(links)
+    forget(pairs, records, first)
     named = classes.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
-    alone = sets.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = rows.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return known.join(named, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 

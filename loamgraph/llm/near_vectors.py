@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.llm._common import stored
-from loamgraph.llm.components import components
+from loamgraph.llm.components import components, stars
 from loamgraph.llm.tiles import is_float, tiles, usable, wider
 
 TILE, BLOCKS = 2048, 4
@@ -47,20 +47,6 @@ def candidates(a: np.ndarray, b: np.ndarray, limit: float, blocks: int = BLOCKS)
     return np.unique(np.concatenate(found))
 
 
-def _stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The least node of each node's connected part, for links between nodes 0 to n - 1."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, vec: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
@@ -108,7 +94,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, vec: str = "embedd
                 ids = np.frombuffer(ids0, "<i8") if t0 == t1 else np.concatenate([np.frombuffer(ids0, "<i8"), np.frombuffer(ids1, "<i8")])
                 weight = np.frombuffer(w0, "<i8") if t0 == t1 else np.concatenate([np.frombuffer(w0, "<i8"), np.frombuffer(w1, "<i8")])
                 n = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-                root = _stars(i, j, len(ids))
+                root = stars(i, j, len(ids))
                 has = np.flatnonzero(n)
                 yield pa.RecordBatch.from_pydict({"node": pa.array(ids[has], pa.int64()), "n": pa.array(n[has].astype(np.int64)), "root": pa.array(ids[root[has]], pa.int64())})
 
