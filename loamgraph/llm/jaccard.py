@@ -5,7 +5,8 @@ ones last, a prefix is kept of which any partner must share a certain number; pr
 that no other text can have (a sketch of fixed size tells) are dropped, and with them most
 documents. Candidates with the same least shingle hash and a similar size are compared with the
 first of them; those that are similar to it make groups, the others of the same key make groups
-of their own, each of a bounded number of members and shingles.
+of their own, each of a bounded number of members and shingles. Only candidates' whole sets are
+ever stored.
 
 The matrix has a row for each prefix shingle and group. Two groups of similar sizes qualify if
 they share enough rows, and if not all their members are known to be linked already. A group's
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import sha1
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.llm import sketch
-from loamgraph.llm._common import documents, forget, modest_batches, stored
+from loamgraph.llm._common import documents, filter_bits, forget, in_filter, modest_batches, stored
 from loamgraph.llm.components import components, stars
-from loamgraph.llm.shingles import shingle_sets, signature
+from loamgraph.llm.shingles import mix, shingle_sets, signature
 
 #: Members of a group, on average, and shingles of a group's members (unless one has more).
 GROUP, GROUP_SHINGLES = 96, 1 << 16
 #: At most so many shingles count as frequent: the most frequent ones that occur 8 times or more.
 FREQUENT = 1 << 20
+#: Bits of the filter that keeps the sets of candidates.
+FILTER_BITS = 1 << 26
 
 
 def _need(n: int, percent: int) -> int:
@@ -103,22 +107,26 @@ def _prefix(x: np.ndarray, percent: int, token: np.ndarray, often: np.ndarray) -
 
 
 def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """rid (a number of the row), doc_id, n, s1, s2 (the set's signature); of sets with a possible partner also least, bucket, first (the least shingle), prefix (32 bits of each shingle of it that others may have) and shingles."""
+    """rid (a number of the row), doc_id, n, s1, s2 (the set's signature); of sets that may have a partner also least, bucket, first (the least shingle) and prefix (32 bits of each shingle of it that others may have)."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_frequent(docs, words))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[str] = set()
         for b in batches:
-            for x in shingle_sets(b.column(0).to_pylist(), words):
-                if (key := signature(x)) not in seen and len(x):
-                    seen.add(key)
+            if len(seen) > 200_000:
+                seen.clear()
+            texts = [x for x in b.column(0).to_pylist() if x]
+            keys = [sha1(x.encode("utf-8", "surrogatepass")).digest() for x in texts]
+            new = [x for k, x in dict(zip(keys, texts)).items() if k not in seen]
+            seen.update(keys)
+            for x in shingle_sets(new, words):
+                if len(x):
                     yield _prefix(x, percent, *order.value)
 
     sent = docs.select("text").mapInArrow(lambda batches: sketch.send(prefixes(batches)), sketch.SCHEMA)
     shared = spark.sparkContext.broadcast(sketch.frequent(sent, (0, 2))[0])
-    fields = [("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("least", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("prefix", pa.list_(pa.int32())), ("shingles", pa.binary())]
-    schema = pa.schema(fields)
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("least", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("prefix", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,17 +135,67 @@ def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for b in batches:
             out = []
             for d, x in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words)):
-                row = [rid, d, len(x), *signature(x), None, None, None, None, None]
+                row = [rid, d, len(x), *signature(x), None, None, None, None]
                 rid += 1
                 if len(x) and d is not None:
                     p = _prefix(x, percent, *order.value)
                     p = p[sketch.has(shared.value, p)]
                     if len(p) >= (least := _least(len(x), percent)):
-                        row[5:] = [least, _bucket(len(x), percent), int(x[0].view(np.int64)), np.unique((p >> np.uint64(32)).astype(np.uint32)).view(np.int32), x.tobytes()]
+                        row[5:] = [least, _bucket(len(x), percent), int(x[0].view(np.int64)), np.unique((p >> np.uint64(32)).astype(np.uint32)).view(np.int32)]
                 out.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return stored(docs.mapInArrow(run, "rid long, doc_id long, n long, s1 long, s2 long, least long, bucket long, first long, prefix array<int>, shingles binary"))
+    return stored(docs.mapInArrow(run, "rid long, doc_id long, n long, s1 long, s2 long, least long, bucket long, first long, prefix array<int>"))
+
+
+def _meeting(nodes: DataFrame) -> DataFrame:
+    """Those nodes that may share enough of their prefix with another of a similar size, and these shingles of their prefix."""
+    spark = nodes.sparkSession
+
+    def cells(bucket: int, prefix: np.ndarray) -> np.ndarray:
+        """A shingle meets others of the next bucket in its own cell, others of the bucket before in that one's."""
+        x = prefix.view(np.uint32).astype(np.uint64) << np.uint64(32)
+        return mix(np.stack([x + np.uint64(bucket + 1), x + np.uint64(bucket)]))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            for k, p in zip(b.column(0).to_pylist(), b.column(1)):
+                yield cells(k, p.values.to_numpy()).ravel()
+
+    sent = nodes.select("bucket", "prefix").mapInArrow(lambda batches: sketch.send(keys(batches)), sketch.SCHEMA)
+    shared = spark.sparkContext.broadcast(sketch.frequent(sent, (0, 2))[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, left = [], []
+            for least, k, p in zip(b.column("least").to_pylist(), b.column("bucket").to_pylist(), b.column("prefix")):
+                p = p.values.to_numpy()
+                p = p[sketch.has(shared.value, cells(k, p).ravel()).reshape(2, -1).any(0)]
+                keep.append(len(p) >= least)
+                if keep[-1]:
+                    left.append(p)
+            b = b.filter(pa.array(keep, pa.bool_()))
+            yield b.set_column(b.schema.get_field_index("prefix"), "prefix", pa.array(left, pa.list_(pa.int32())))
+
+    return stored(nodes.mapInArrow(run, nodes.schema))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of these (node, s1, s2): a filter of fixed size spares most others the work."""
+    spark = docs.sparkSession
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = spark.sparkContext.broadcast(filter_bits(nodes.select(slot("node").alias("h")), FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(in_filter(bits.value, b.column(2).to_numpy())))
+            if b.num_rows:
+                sets = shingle_sets(b.column(1).to_pylist(), words)
+                signs = [signature(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([s[k] for s in signs], pa.int64()) for k in (0, 1)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "s1", "s2", "shingles"])
+
+    found = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("h")).mapInArrow(run, "node long, s1 long, s2 long, shingles binary")
+    return stored(found.join(nodes.select("node", "s1", "s2"), ["node", "s1", "s2"], "left_semi").select("node", "shingles"))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -151,7 +209,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _near_first(cand: DataFrame, percent: int) -> DataFrame:
+def _near_first(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, centre, ok): candidates whose key another has too, the first node of the key, and whether they are similar to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +219,9 @@ def _near_first(cand: DataFrame, percent: int) -> DataFrame:
 
     key = ["first", "bucket"]
     centres = cand.groupBy(*key).agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select(*key, "centre")
-    y = cand.select("node", F.col("shingles").alias("y")).join(centres, F.col("node") == F.col("centre")).select(*key, "centre", "y")
-    return cand.select("node", *key, F.col("shingles").alias("x")).join(y, key).filter("node <> centre").select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long, ok boolean")
+    pairs = cand.select("node", *key).join(centres, key).filter("node <> centre").select("node", "centre")
+    x = pairs.join(sets.select("node", F.col("shingles").alias("x")), "node")
+    return x.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("y")), "centre").select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long, ok boolean")
 
 
 _RECORD = "group long, nodes binary, parts binary, sizes binary, union binary, places binary"
@@ -254,12 +313,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     """
     spark = docs.sparkSession
     modest_batches(spark, 500)
-    rows = _rows(documents(docs, text, doc_id), words, percent)
+    docs = documents(docs, text, doc_id)
+    rows = _rows(docs, words, percent)
     known = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stored(known.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "rid")).alias("r")).select("s1", "s2", F.col("r.doc_id").alias("node"), F.col("r.rid").alias("rid")))
-    wide = rows.filter("least IS NOT NULL").select("rid", "n", "least", "bucket", "first", "prefix", "shingles")
-    cand = stored(wide.join(classes.select("rid", "node"), "rid").drop("rid"))
-    first = stored(_near_first(cand, percent))
+    narrow = rows.filter("least IS NOT NULL").select("rid", "s1", "s2", "n", "least", "bucket", "first", "prefix")
+    cand = _meeting(narrow.join(classes.select("rid", "node"), "rid").select("node", "s1", "s2", "n", "least", "bucket", "first", "prefix"))
+    sets = _sets(docs, cand, words)
+    first = stored(_near_first(cand, sets, percent).distinct())
     # Groups: those similar to the first of their key, the others of the key, and single nodes.
     sorts = first.select("node", F.when(F.col("ok"), F.col("centre")).otherwise(F.col("node")).alias("part"), F.when(F.col("ok"), 1).otherwise(2).alias("kind"))
     sorts = sorts.unionByName(first.filter("ok").select(F.col("centre").alias("node"), F.col("centre").alias("part"), F.lit(1).alias("kind")).distinct())
@@ -281,8 +342,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     pairs = stored(pairs.unionByName(own))
     forget(matrix)
     wanted = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
-    records = stored(_records(grouped.select("node", "group", "part").join(wanted, "group", "left_semi").join(cand.select("node", "shingles"), "node")))
-    forget(grouped, cand)
+    records = stored(_records(grouped.select("node", "group", "part").join(wanted, "group", "left_semi").join(sets, "node")))
+    forget(grouped, cand, sets)
     # Rows that share a doc_id and not their sets: the document is linked with the first node of each set.
     several = known.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("s2").alias("x2"), F.max("s2").alias("y2")).filter("x < y OR x2 < y2").select("doc_id")
     same = known.select("doc_id", "s1", "s2").join(several, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
