@@ -209,7 +209,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _near_first(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _near_first(docs: DataFrame, cand: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, centre, ok): candidates whose key another has too, the first node of the key, and whether they are similar to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +219,13 @@ def _near_first(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     key = ["first", "bucket"]
     centres = cand.groupBy(*key).agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select(*key, "centre")
-    pairs = cand.select("node", *key).join(centres, key).filter("node <> centre").select("node", "centre")
-    x = pairs.join(sets.select("node", F.col("shingles").alias("x")), "node")
-    return x.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("y")), "centre").select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long, ok boolean")
+    met = stored(cand.select("node", "s1", "s2", *key).join(centres, key).select("node", "s1", "s2", "centre"))
+    sets = _sets(docs, met, words)
+    x = met.filter("node <> centre").select("node", "centre").join(sets.select("node", F.col("shingles").alias("x")), "node")
+    y = sets.join(met.filter("node = centre").select("node"), "node", "left_semi").select(F.col("node").alias("centre"), F.col("shingles").alias("y"))
+    out = stored(x.join(y, "centre").select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long, ok boolean").distinct())
+    forget(met, sets)
+    return out
 
 
 _RECORD = "group long, nodes binary, parts binary, sizes binary, union binary, places binary"
@@ -319,18 +323,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     classes = stored(known.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "rid")).alias("r")).select("s1", "s2", F.col("r.doc_id").alias("node"), F.col("r.rid").alias("rid")))
     narrow = rows.filter("least IS NOT NULL").select("rid", "s1", "s2", "n", "least", "bucket", "first", "prefix")
     cand = _meeting(narrow.join(classes.select("rid", "node"), "rid").select("node", "s1", "s2", "n", "least", "bucket", "first", "prefix"))
-    sets = _sets(docs, cand, words)
-    first = stored(_near_first(cand, sets, percent).distinct())
+    first = _near_first(docs, cand, words, percent)
     # Groups: those similar to the first of their key, the others of the key, and single nodes.
     sorts = first.select("node", F.when(F.col("ok"), F.col("centre")).otherwise(F.col("node")).alias("part"), F.when(F.col("ok"), 1).otherwise(2).alias("kind"))
     sorts = sorts.unionByName(first.filter("ok").select(F.col("centre").alias("node"), F.col("centre").alias("part"), F.lit(1).alias("kind")).distinct())
-    placed = cand.select("node", "n", "least", "bucket", "first", "prefix").join(sorts, "node", "left")
+    placed = cand.select("node", "s1", "s2", "n", "least", "bucket", "first", "prefix").join(sorts, "node", "left")
     key = F.when(F.col("kind") == 1, F.xxhash64(F.lit(1), "part")).when(F.col("kind") == 2, F.xxhash64(F.lit(2), "first", "bucket")).otherwise(F.xxhash64(F.lit(3), "node"))
-    placed = stored(placed.select("node", F.coalesce("part", "node").alias("part"), "n", "least", "bucket", "prefix", key.alias("key")))
+    placed = stored(placed.select("node", "s1", "s2", F.coalesce("part", "node").alias("part"), "n", "least", "bucket", "prefix", key.alias("key")))
     sizes = placed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("split"))
     grouped = placed.join(sizes, "key").withColumn("group", F.xxhash64("key", "bucket", F.pmod(F.xxhash64("node"), F.col("split")))).drop("key", "split")
     grouped = stored(grouped)
-    forget(placed)
+    forget(placed, cand)
     # The matrix: a row for each prefix shingle and group.
     matrix = grouped.select("group", "part", "least", "bucket", F.explode("prefix").alias("token")).groupBy("token", "bucket", "group")
     matrix = stored(matrix.agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("least").alias("least"), F.count("*").alias("k")))
@@ -342,8 +345,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     pairs = stored(pairs.unionByName(own))
     forget(matrix)
     wanted = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
-    records = stored(_records(grouped.select("node", "group", "part").join(wanted, "group", "left_semi").join(sets, "node")))
-    forget(grouped, cand, sets)
+    members = stored(grouped.select("node", "s1", "s2", "group", "part").join(wanted, "group", "left_semi"))
+    forget(grouped)
+    sets = _sets(docs, members, words)
+    records = stored(_records(members.select("node", "group", "part").join(sets, "node")))
+    forget(members, sets)
     # Rows that share a doc_id and not their sets: the document is linked with the first node of each set.
     several = known.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("s2").alias("x2"), F.max("s2").alias("y2")).filter("x < y OR x2 < y2").select("doc_id")
     same = known.select("doc_id", "s1", "s2").join(several, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
