@@ -124,7 +124,7 @@ def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(x):
                     yield _prefix(x, percent, *order.value)
 
-    sent = docs.select("text").mapInArrow(lambda batches: sketch.send(prefixes(batches)), sketch.SCHEMA)
+    sent = docs.select("text").mapInArrow(lambda batches: sketch.send((0, x) for x in prefixes(batches)), sketch.SCHEMA)
     shared = spark.sparkContext.broadcast(sketch.frequent(sent, (0, 2))[0])
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("least", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("prefix", pa.list_(pa.int32()))])
 
@@ -162,7 +162,7 @@ def _meeting(nodes: DataFrame) -> DataFrame:
             for k, p in zip(b.column(0).to_pylist(), b.column(1)):
                 yield cells(k, p.values.to_numpy()).ravel()
 
-    sent = nodes.select("bucket", "prefix").mapInArrow(lambda batches: sketch.send(keys(batches)), sketch.SCHEMA)
+    sent = nodes.select("bucket", "prefix").mapInArrow(lambda batches: sketch.send((0, x) for x in keys(batches)), sketch.SCHEMA)
     shared = spark.sparkContext.broadcast(sketch.frequent(sent, (0, 2))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

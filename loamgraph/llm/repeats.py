@@ -252,7 +252,7 @@ def _spans(docs: DataFrame, lengths: tuple[int, ...], text: str) -> DataFrame:
             for some in anchored([r[2] for r in new], least):
                 yield new, some
 
-    sent = rows.mapInArrow(lambda batches: sketch.send(x.hash for _, x in blocks(batches)), sketch.SCHEMA)
+    sent = rows.mapInArrow(lambda batches: sketch.send((0, x.hash) for _, x in blocks(batches)), sketch.SCHEMA)
     bits, hot_bits = sketch.frequent(sent, (0, 2), (0, hot_from))
     any_hot = bool(hot_bits.any())
     twice = spark.sparkContext.broadcast(bits)

@@ -47,27 +47,27 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != (255 if data[0] == 1 else 65535)]
 
 
-def send(hashes: Iterable[np.ndarray], kind: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows of SCHEMA for all these hashes, each counted as often as it comes. Sketches of other kinds keep apart."""
-    held: list[np.ndarray] = []
+def send(hashes: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA for all these (kind, hashes), each hash counted as often as it comes. Each kind, from 0, is a sketch of its own."""
+    held: dict[int, list[np.ndarray]] = {}
+    size: dict[int, int] = {}
     parts = 1 << (SLOT_BITS - PART_BITS)
 
-    def rows() -> pa.RecordBatch:
-        x = np.sort(np.concatenate(held))
+    def rows(kind: int) -> pa.RecordBatch:
+        x = np.sort(np.concatenate(held.pop(kind)))
+        del size[kind]
         edge = np.searchsorted(x, np.arange(parts + 1, dtype=np.uint64) << np.uint64(PART_BITS))
         some = [k for k in range(parts) if edge[k] < edge[k + 1]]
         blobs = [_written(x[edge[k] : edge[k + 1]] - np.uint32(k << PART_BITS)) for k in some]
         return pa.RecordBatch.from_arrays([pa.array([kind * parts + k for k in some], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "slots"])
 
-    n = 0
-    for h in hashes:
-        held.append(slots(h))
-        n += len(h)
-        if n >= HELD:
-            yield rows()
-            held, n = [], 0
-    if n:
-        yield rows()
+    for kind, h in hashes:
+        held.setdefault(kind, []).append(slots(h))
+        size[kind] = size.get(kind, 0) + len(h)
+        if size[kind] >= HELD:
+            yield rows(kind)
+    for kind in list(held):
+        yield rows(kind)
 
 
 def frequent(sent: DataFrame, *least: tuple[int, int]) -> list[np.ndarray]:

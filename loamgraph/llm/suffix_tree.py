@@ -1,20 +1,23 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The root holds the add-one word distribution of the training texts. A context of one or two
-words becomes a state if it was seen ``SUPPORT`` times or more, its next-word distribution
-diverges enough from that of its longest shorter state, and, for two words, if it is a
-context of kept grams. A gram is kept if it was seen ``SUPPORT`` times or more. With C(s) the
-count of a state, K(s) the sum of its kept grams and s' its longest shorter state,
+The root holds the add-one word distribution of the training texts. A context of up to ``DEPTH``
+words becomes a state if a gram that it begins was seen ``SUPPORT`` times or more and its
+next-word distribution diverges enough from that of its longest shorter state. Grams seen
+``SUPPORT`` times or more are kept. With C(s) the count of a context, K(s) the sum of its kept
+grams and s' its longest shorter state,
 
     P(w | s) = (c(sw) + (C(s) - K(s) + 1) P(w | s')) / (C(s) + 1)
 
 with c(sw) of kept grams only, so every distribution sums to one. s is retained if
 sum c(sw) ln(c(sw) / C(s) / P(w | s')) over its kept grams exceeds ``PENALTY`` for each of
-them and one more.
-
-Texts are coded once into blocks of a bounded size. Blocks send their distinct grams, level by
-level, to be counted by DataFrame aggregation, and get back only what concerns them; nothing
-that grows with the corpus is broadcast or gathered. Words are known by 64-bit hashes.
+them and one more. That sum is at most sum c(sw) ln(1 / P(w | s')), for all longer contexts
+too, so a context is only lengthened while this bound leaves room for a state.
+
+Texts are coded once into blocks of a bounded size. Level by level the blocks send grams to be
+counted by DataFrame aggregation: those that a sketch or a filter of fixed size cannot rule out.
+At last they ask, in one join, for what concerns them; nothing that grows with the corpus is
+broadcast or gathered. Words are known by 64-bit hashes; one that a single block holds is
+counted there.
 """
 
 from __future__ import annotations
@@ -26,23 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm._common import crc32_mod, modest_batches, stored
+from loamgraph.llm import sketch
+from loamgraph.llm._common import crc32_mod, filter_bits, forget, in_filter, modest_batches, release, stored
 from loamgraph.llm.shingles import _words, mix
 
 SUPPORT, PENALTY = 4, 2.0
+#: The most words of a context, as in the tree's definition by its greatest length of a suffix.
+DEPTH = 5
 #: Characters of a block; a longer text is a block of its own.
 BLOCK_CHARS = 6_000_000
+#: Bits of the filters of grams and contexts.
+FILTER_BITS = 1 << 27
 #: The token that ends a text.
 END = np.uint64(0x1F2E3D4C5B6A7988)
 _U = np.uint64
-_RESPONSE = "block long, kind int, a long, b long, v double"
-UNIGRAM, PAIR, PAIR_STATE, TRIPLE, TRIPLE_STATE = range(5)
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + b.astype(np.uint64))
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(37)).astype(np.int64)
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts in turn, each with its end, and tokens by text."""
     coded = [x.encode("utf-8", "surrogatepass") for x in texts]
@@ -56,22 +66,33 @@ class Block:
     """The tokens of a block with what precedes each in its text."""
 
     def __init__(self, row: dict):
-        vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.w = vocabulary[np.frombuffer(row["ids"], "<u4")]
+        self.block = row["block"]
+        self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
+        self.ids = np.frombuffer(row["ids"], "<u4")
+        self.w = self.vocabulary[self.ids]
         self.n = np.array(row["n"], np.int64)
         self.doc_id, self.held = row["doc_id"], np.array(row["held"], bool)
         ends = np.cumsum(self.n)
         self.place = np.arange(len(self.w)) - np.repeat(ends - self.n, self.n)
         self.train = ~np.repeat(self.held, self.n)
-        self.v = np.roll(self.w, 1)
-        self.uv = _join(np.roll(self.w, 2), self.v)
 
-    def grams(self, at: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-        """The distinct rows of these columns at these places, and how often each is in training."""
-        columns = tuple(c[at] for c in columns)
-        key = columns[0] if len(columns) == 1 else _join(columns[0], columns[-1])
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        return [*(c[first] for c in columns), np.bincount(inverse, self.train[at], len(first)).astype(np.int64)]
+    def counts(self) -> np.ndarray:
+        """How often each word of the vocabulary is in training."""
+        return np.bincount(self.ids, self.train, len(self.vocabulary)).astype(np.int64)
+
+    def contexts(self, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(d, hashes of the d words before each token) from one word on."""
+        context = np.roll(self.w, 1)
+        yield 1, context
+        for d in range(2, depth + 1):
+            context = _join(np.roll(self.w, d), context)
+            yield d, context
+
+
+def _distinct(key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Each key once, these columns there, and how often it comes."""
+    key, first, n = np.unique(key, return_index=True, return_counts=True)
+    return [key, *(c[first] for c in columns), n.astype(np.int64)]
 
 
 def _code(docs: DataFrame) -> DataFrame:
@@ -89,6 +110,7 @@ def _code(docs: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "doc_id", "held", "n", "vocabulary", "ids"])
 
+        release()
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 if held and size + len(r[1]) > BLOCK_CHARS:
@@ -106,64 +128,68 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _send(blocks: DataFrame, level: int) -> DataFrame:
-    """(block, a, w, n): distinct words (level 0) or pairs (level 1) of each block, with their number in training."""
+def _each(blocks: DataFrame, make, schema: str) -> DataFrame:
+    """make(Block) gives a list of columns."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                x = Block(row)
-                if level:
-                    a, w, n = x.grams(x.place > 0, x.v, x.w)
-                else:
-                    w, n = x.grams(x.place >= 0, x.w)
-                    a = np.zeros(len(w), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), row["block"])), _signed(a), _signed(w), pa.array(n)], names=["block", "a", "w", "n"])
+                columns = make(Block(row))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+    return blocks.mapInArrow(run, schema)
+
+
+def _context(x: Block, depth: int) -> np.ndarray:
+    for _, context in x.contexts(depth):
+        pass
+    return context
 
-    return blocks.mapInArrow(run, "block long, a long, w long, n long")
+
+def _filter(spark: SparkSession, *keys: DataFrame):
+    """A filter over columns of 64-bit hashes, at the places that _slot gives."""
+    every = None
+    for df in keys:
+        one = df.select(F.shiftrightunsigned(F.col(df.columns[0]), 37).alias("h"))
+        every = one if every is None else every.unionByName(one)
+    return spark.sparkContext.broadcast(filter_bits(every, FILTER_BITS))
 
 
 class Table:
-    """Values of one kind by key, among those a block got."""
+    """Values of one code by key, among those a block got."""
 
-    def __init__(self, got: pa.Table, kind: int, pair: bool):
-        at = got.column("kind").to_numpy() == kind
+    def __init__(self, got: pa.Table, code: int):
+        at = got.column("code").to_numpy() == code
         a, b = (got.column(c).to_numpy()[at].view(np.uint64) for c in ("a", "b"))
-        key = _join(a, b) if pair else a
+        key = _join(a, b)
         order = np.argsort(key)
         self.keys, self.values = key[order], got.column("v").to_numpy()[at][order]
 
-    def find(self, key: np.ndarray, missing: float) -> np.ndarray:
+    def find(self, a: np.ndarray, b: np.ndarray, missing: float) -> np.ndarray:
         if not len(self.keys):
-            return np.full(len(key), missing)
+            return np.full(len(a), missing)
+        key = _join(a, b)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], missing)
 
 
-def _triples(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(block, a, v, w, n) of the triples whose two pairs are both kept."""
-    out = []
-    for row in left.to_pylist():
-        x = Block(row)
-        kept = Table(right, PAIR, True).find(_join(x.v, x.w), 0) > 0
-        at = (x.place > 1) & kept & np.roll(kept, 1)
-        a, v, w, n = x.grams(at, x.uv, x.v, x.w)
-        out.append(pa.table([pa.array(np.full(len(w), row["block"])), _signed(a), _signed(v), _signed(w), pa.array(n)], names=["block", "a", "v", "w", "n"]))
-    return pa.concat_tables(out) if out else pa.table({k: pa.array([], pa.int64()) for k in ("block", "a", "v", "w", "n")})
-
-
-def _scorer(total: int, distinct: int):
+def _scorer(total: int, distinct: int, depth: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        tables = {k: Table(right, k, k in (PAIR, TRIPLE)) for k in range(5)}
         for row in left.to_pylist():
             x = Block(row)
-            count = tables[UNIGRAM].find(x.w, 0.0)
+            nothing = np.zeros(len(x.vocabulary), np.uint64)
+            # A word without an answer is in no other block, or in no training text.
+            of_word = Table(right, 0).find(x.vocabulary, nothing, -1.0)
+            count = np.where(of_word < 0, x.counts(), of_word)[x.ids]
             p0 = (count + 1) / (total + distinct + 1)
             p = p0
-            for pair, state, context, least in ((PAIR, PAIR_STATE, x.v, 1), (TRIPLE, TRIPLE_STATE, x.uv, 2)):
-                weight = np.where(x.place >= least, tables[state].find(context, 1.0), 1.0)
-                own = np.where(x.place >= least, tables[pair].find(_join(context, x.w), 0.0), 0.0)
+            nothing = np.zeros(len(x.w), np.uint64)
+            for d, context in x.contexts(depth):
+                has = x.place >= d
+                weight = np.where(has, Table(right, 2 * d + 1).find(context, nothing, 1.0), 1.0)
+                own = np.where(has, Table(right, 2 * d).find(context, x.w, 0.0), 0.0)
                 p = np.where(own > 0, own, weight * p)
             starts = np.cumsum(x.n) - x.n
             total_of = lambda v: np.add.reduceat(v, starts)  # noqa: E731 - every text has its end
@@ -178,21 +204,18 @@ def _scorer(total: int, distinct: int):
     return run
 
 
-def _answer(sent: DataFrame, kind: int, model: DataFrame, on: list[str], value: str) -> DataFrame:
-    """What the blocks that sent these grams need of the model."""
-    key = {"a": F.col(on[0]), "b": F.col(on[1]) if len(on) > 1 else F.lit(0).cast("long")}
-    asked = sent.select("block", *on) if len(on) > 1 or kind == UNIGRAM else sent.select("block", *on).distinct()
-    return asked.join(model.select(*on, F.col(value).cast("double").alias("v")), on).select("block", F.lit(kind).alias("kind"), key["a"].alias("a"), key["b"].alias("b"), "v")
-
-
-def _states(kept: DataFrame, counts: DataFrame, penalty: float) -> DataFrame:
-    """Retained states (a, seen, rest, weight) of kept grams (a, w, c, lower), lower being P(w | s'), and of the counts (a, seen) of contexts."""
+def _level(kept: DataFrame, counts: DataFrame, penalty: float) -> DataFrame:
+    """Kept grams (a, w, key, c, lower), lower being P(w | s'), with the counts (a, seen) of their contexts: adds weight (of states, else null), p and open, whether the context may be lengthened."""
     each = kept.join(counts, "a").groupBy("a").agg(F.first("seen").alias("seen"), F.sum("c").alias("K"), F.count("*").alias("T"), F.sum(F.col("c") * F.log(F.col("c") / F.col("seen") / F.col("lower"))).alias("G"))
     rest = F.col("seen") - F.col("K") + 1
-    return each.filter(F.col("G") > penalty * (F.col("T") + 1)).select("a", "seen", rest.alias("rest"), (rest / (F.col("seen") + 1)).alias("weight"))
+    states = each.filter(F.col("G") > penalty * (F.col("T") + 1)).select("a", "seen", rest.alias("rest"), (rest / (F.col("seen") + 1)).alias("weight"))
+    p = F.coalesce((F.col("c") + F.col("rest") * F.col("lower")) / (F.col("seen") + 1), "lower")
+    out = kept.join(states, "a", "left").select("a", "w", "key", "c", "weight", p.alias("p"))
+    bound = out.groupBy("a").agg((F.sum(F.col("c") * F.greatest(-F.log("p"), F.lit(0.0))) > 2 * penalty).alias("open"))
+    return stored(out.join(bound, "a"))
 
 
-def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, penalty: float = PENALTY) -> DataFrame:
+def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, penalty: float = PENALTY, depth: int = DEPTH) -> DataFrame:
     """Score every whole text by a tree learned from those that are not held out (a boolean column; null counts as false).
 
     doc_id, held_out, n_tokens and n_known (with the end), train_tokens, base_score (the
@@ -203,46 +226,107 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id",
     modest_batches(spark, 500)
     marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     blocks = stored(_code(marked))
-    words = stored(_send(blocks, 0).drop("a"))
-    unigrams = stored(words.groupBy("w").agg(F.sum("n").alias("c")).filter("c > 0"))
-    total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    root = (F.col("c0") + 1) / (total + distinct + 1)
-    # Pairs, and the states of one word.
-    sent1 = stored(_send(blocks, 1))
-    pairs = sent1.filter("n > 0").groupBy("a", "w").agg(F.sum("n").alias("c")).filter(F.col("c") >= support)
-    pairs = stored(pairs.join(unigrams.select("w", F.col("c").alias("c0")), "w").select("a", "w", "c", root.alias("lower")))
-    states1 = stored(_states(pairs, unigrams.select(F.col("w").alias("a"), F.col("c").alias("seen")), penalty))
-    p1 = (F.col("c") + F.col("rest") * F.col("lower")) / (F.col("seen") + 1)
-    all1 = stored(pairs.join(states1, "a", "left").select("a", "w", "c", F.coalesce(p1, "lower").alias("p"), F.col("seen").isNotNull().alias("state")))
-    answer1 = stored(_answer(sent1, PAIR, all1, ["a", "w"], "p"))
-    # Triples whose pairs are both kept, and the states of two words.
-    sent2 = stored(blocks.groupBy("block").cogroup(answer1.groupBy("block")).applyInArrow(_triples, "block long, a long, v long, w long, n long"))
-    triples = sent2.filter("n > 0").groupBy("a", "w").agg(F.first("v").alias("v"), F.sum("n").alias("c")).filter(F.col("c") >= support)
-    lower = all1.select(F.col("a").alias("v"), "w", F.col("p").alias("lower"))
-    triples = stored(triples.join(lower, ["v", "w"]).select("a", "w", "c", "lower"))
-    # The count of a pair of words as a context, ends excepted, is its count.
-    contexts = _context_counts(all1)
-    states2 = stored(_states(triples, contexts, penalty))
-    p2 = triples.join(states2, "a").select("a", "w", ((F.col("c") + F.col("rest") * F.col("lower")) / (F.col("seen") + 1)).alias("p"))
-    got = (
-        _answer(words, UNIGRAM, unigrams, ["w"], "c")
-        .unionByName(answer1)
-        .unionByName(_answer(sent1, PAIR_STATE, states1, ["a"], "weight"))
-        .unionByName(_answer(sent2, TRIPLE, p2, ["a", "w"], "p"))
-        .unionByName(_answer(sent2, TRIPLE_STATE, states2, ["a"], "weight"))
-    )
-    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_scorer(total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _context_counts(pairs: DataFrame) -> DataFrame:
-    """(a, seen): kept pairs as contexts of two words, under the hash that blocks give them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for b in batches:
-            u, v = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([_signed(_join(u, v)), b.column(2)], names=["a", "seen"])
+            for row in b.to_pylist():
+                x = Block(row)
+                yield 0, x.vocabulary
+                at = x.train & (x.place > 0)
+                key, n = _distinct(_join(np.roll(x.w, 1)[at], x.w[at]))
+                yield 1, np.repeat(key, np.minimum(n, support))
+
+    sent = blocks.mapInArrow(lambda batches: sketch.send(seen(batches)), sketch.SCHEMA)
+    several, often = (spark.sparkContext.broadcast(x) for x in sketch.frequent(sent, (0, 2), (1, support)))
+
+    # Words that other blocks may hold, and others that may be in kept grams; the rest in one row of no word.
+    def words_of(x: Block) -> list:
+        n = x.counts()
+        send = sketch.has(several.value, x.vocabulary) | (n >= support)
+        rest = n[~send]
+        w = np.append(x.vocabulary[send].view(np.int64), 0)
+        known = np.append((n[send] > 0).astype(np.int64), (rest > 0).sum())
+        return [pa.array(np.full(len(w), x.block)), pa.array(w, mask=np.arange(len(w)) == len(w) - 1), pa.array(np.append(n[send], rest.sum())), pa.array(known)]
+
+    words = stored(_each(blocks, words_of, "block long, w long, n long, known long"))
+    unigrams = stored(words.filter("w IS NOT NULL").groupBy("w").agg(F.sum("n").alias("c")).filter("c > 0"))
+    total, distinct = (x + y for x, y in zip(unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first(), words.filter("w IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()))
+    root = (F.col("c0") + 1) / (total + distinct + 1)
 
-    return pairs.select("a", "w", "c").mapInArrow(run, "a long, seen long")
+    def pairs_of(x: Block) -> list:
+        at = np.flatnonzero(x.train & (x.place > 0))
+        a, w = np.roll(x.w, 1)[at], x.w[at]
+        key = _join(a, w)
+        has = sketch.has(often.value, key)
+        key, a, w, n = _distinct(key[has], a[has], w[has])
+        return [_signed(a), _signed(w), _signed(key), pa.array(n)]
+
+    levels: list[DataFrame] = []
+    kept = _each(blocks, pairs_of, "a long, w long, key long, n long").groupBy("a", "w").agg(F.first("key").alias("key"), F.sum("n").alias("c")).filter(F.col("c") >= support)
+    kept = stored(kept.join(unigrams.select("w", F.col("c").alias("c0")), "w").select("a", "w", "key", "c", root.alias("lower")))
+    counts = unigrams.select(F.col("w").alias("a"), F.col("c").alias("seen"))
+    for d in range(1, depth + 1):
+        levels.append(_level(kept, counts, penalty))
+        forget(kept)
+        longer = levels[-1].filter("open")
+        if d == depth or longer.isEmpty():
+            break
+        bits = _filter(spark, longer.select("key"))
+
+        def grams_of(x: Block, d=d, bits=bits) -> list:
+            context = longer_context = None
+            for k, c in x.contexts(d + 1):
+                context, longer_context = (c, None) if k == d else (context, c)
+            at = np.flatnonzero(x.train & (x.place > d))
+            at = at[in_filter(bits.value, _slot(_join(context[at], x.w[at])))]
+            key, a, w, s, n = _distinct(_join(longer_context[at], x.w[at]), longer_context[at], x.w[at], context[at])
+            return [_signed(a), _signed(w), _signed(key), _signed(s), pa.array(n)]
+
+        kept = _each(blocks, grams_of, "a long, w long, key long, s long, n long").groupBy("a", "w").agg(F.first("key").alias("key"), F.first("s").alias("s"), F.sum("n").alias("c")).filter(F.col("c") >= support)
+        lower = levels[-1].select(F.col("a").alias("s"), "w", F.col("p").alias("lower"))
+        kept = stored(kept.join(lower, ["s", "w"]).select("a", "w", "key", "c", "lower"))
+        wanted = _filter(spark, kept.select("a"))
+
+        def contexts_of(x: Block, d=d, wanted=wanted) -> list:
+            context = _context(x, d + 1)
+            at = np.flatnonzero(x.train & (x.place > d))
+            context = context[at][in_filter(wanted.value, _slot(context[at]))]
+            a, n = _distinct(context)
+            return [_signed(a), pa.array(n)]
+
+        counts = _each(blocks, contexts_of, "a long, n long").groupBy("a").agg(F.sum("n").alias("seen"))
+
+    # What the blocks need of the model: code 0 words, 2 d grams and 2 d + 1 states of d words.
+    nothing = F.lit(0).cast("long")
+    model = unigrams.select(F.lit(0).alias("code"), F.col("w").alias("a"), nothing.alias("b"), F.col("c").cast("double").alias("v"))
+    for d, df in enumerate(levels, 1):
+        state = df.filter("weight IS NOT NULL")
+        model = model.unionByName(state.select(F.lit(2 * d).alias("code"), "a", F.col("w").alias("b"), F.col("p").alias("v")))
+        model = model.unionByName(state.groupBy("a").agg(F.first("weight").alias("v")).select(F.lit(2 * d + 1).alias("code"), "a", nothing.alias("b"), "v"))
+    states = [df.filter("weight IS NOT NULL") for df in levels]
+    of_states = _filter(spark, *(df.select("a") for df in states))
+    of_grams = _filter(spark, *(df.select("key") for df in states))
+    most = len(levels)
+
+    def asked_of(x: Block) -> list:
+        columns: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for d, context in x.contexts(most):
+            at = np.flatnonzero(x.place >= d)
+            at = at[in_filter(of_states.value, _slot(context[at]))]
+            a = np.unique(context[at])
+            columns.append((2 * d + 1, a, np.zeros(len(a), np.uint64)))
+            key = _join(context[at], x.w[at])
+            has = in_filter(of_grams.value, _slot(key))
+            _, a, w, _ = _distinct(key[has], context[at][has], x.w[at][has])
+            columns.append((2 * d, a, w))
+        size = [len(a) for _, a, _ in columns]
+        code = np.repeat(np.array([c for c, _, _ in columns], np.int32), size)
+        return [pa.array(np.full(len(code), x.block)), pa.array(code), *(_signed(np.concatenate([c[k] for c in columns])) for k in (1, 2))]
+
+    asked = _each(blocks, asked_of, "block long, code int, a long, b long")
+    asked = asked.unionByName(words.filter("w IS NOT NULL").select("block", F.lit(0).alias("code"), F.col("w").alias("a"), nothing.alias("b")))
+    got = asked.join(model, ["code", "a", "b"]).select("block", "code", "a", "b", "v")
+    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_scorer(total, distinct, most), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

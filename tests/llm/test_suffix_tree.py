@@ -17,10 +17,10 @@ def words(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")), END]
 
 
-def brute(data, support, penalty):
+def brute(data, support, penalty, most):
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in data]
     docs = [words(r[1]) for r in data]
-    c = Counter(tuple(d[i : i + k]) for d, h in zip(docs, held) if not h for k in (1, 2, 3) for i in range(len(d) - k + 1))
+    c = Counter(tuple(d[i : i + k]) for d, h in zip(docs, held) if not h for k in range(1, most + 2) for i in range(len(d) - k + 1))
     n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
     kept = {g: x for g, x in c.items() if len(g) == 1 or x >= support}
     states, sums = set(), defaultdict(int)
@@ -35,7 +35,7 @@ def brute(data, support, penalty):
             return p(s[1:], w)
         return (kept.get((*s, w), 0) + (c[s] - sums[s] + 1) * p(s[1:], w)) / (c[s] + 1)
 
-    for depth in (1, 2):
+    for depth in range(1, most + 1):
         grams = defaultdict(list)
         for g, x in kept.items():
             if len(g) == depth + 1:
@@ -45,16 +45,32 @@ def brute(data, support, penalty):
     out = []
     for r, h, d in zip(data, held, docs):
         base = sum(math.log10((c[(w,)] + 1) / (n + v + 1)) for w in d)
-        out.append((-1 if r[0] is None else r[0], h, len(d), sum(c[(w,)] > 0 for w in d), n, round(base, 6), round(sum(math.log10(p(tuple(d[max(0, i - 2) : i]), w)) for i, w in enumerate(d)), 6)))
-    return sorted(out), len(states)
+        out.append((-1 if r[0] is None else r[0], h, len(d), sum(c[(w,)] > 0 for w in d), n, round(base, 6), round(sum(math.log10(p(tuple(d[max(0, i - most) : i]), w)) for i, w in enumerate(d)), 6)))
+    return sorted(out), Counter(map(len, states))
 
 
-@pytest.mark.parametrize("chars", [6_000_000, 2000])
-def test_scores_equal_brute_force(spark, monkeypatch, chars):
+def branching():
+    """Rows whose next words depend on several words before."""
+    import random
+
+    r = random.Random(6)
+    out = []
+    for i in range(160):
+        text = []
+        for _ in range(12):
+            a, b = r.choice("ab"), r.choice("xy")
+            text += [a, b, "mid", "then", (a + b) if r.random() < 0.95 else "noise"]
+        out.append((i, " ".join(text)))
+    return out
+
+
+@pytest.mark.parametrize("chars, depth, data", [(6_000_000, 2, rows()), (2000, 5, rows()), (4000, 4, branching()), (2000, 1, branching())])
+def test_scores_equal_brute_force(spark, monkeypatch, chars, depth, data):
     monkeypatch.setattr(S, "BLOCK_CHARS", chars)
-    got = S.score(frame(spark), crc32_mod("doc_id", 7) == 2).collect()
-    want, states = brute(rows(), S.SUPPORT, S.PENALTY)
-    assert states > 5
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string").repartition(3) if len(data[0]) == 2 else frame(spark)
+    got = S.score(docs, crc32_mod("doc_id", 7) == 2, depth=depth).collect()
+    want, states = brute(data, S.SUPPORT, S.PENALTY, depth)
+    assert states[1] > 5 and (len(data[0]) > 2 or depth < 4 or states[4] > 3)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
 
 
