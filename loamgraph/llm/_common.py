@@ -10,6 +10,7 @@ from collections.abc import Callable, Hashable
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,17 +55,31 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def filter_bits(keys: DataFrame, size: int) -> np.ndarray:
+class Bits:
+    """Bits that travel compressed, as most of a filter is often empty."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __reduce__(self):
+        return _unpacked, (pa.compress(self.bits, codec="zstd", asbytes=True), len(self.bits))
+
+
+def _unpacked(data: bytes, size: int) -> Bits:
+    return Bits(np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), np.uint8))
+
+
+def filter_bits(keys: DataFrame, size: int) -> Bits:
     """A filter of ``size`` bits, whatever the number of rows, over a column ``h`` of longs from 0 to size - 1."""
     parts = keys.groupBy((F.col("h") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits")).collect()
     bits = np.zeros(size // 8, np.uint8)
     for r in parts:
         bits[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-    return bits
+    return Bits(bits)
 
 
-def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0
+def in_filter(bits: Bits, h: np.ndarray) -> np.ndarray:
+    return (bits.bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0
 
 
 def modest_batches(spark: SparkSession, rows: int = 1000) -> None:

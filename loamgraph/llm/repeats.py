@@ -254,7 +254,7 @@ def _spans(docs: DataFrame, lengths: tuple[int, ...], text: str) -> DataFrame:
 
     sent = rows.mapInArrow(lambda batches: sketch.send((0, x.hash) for _, x in blocks(batches)), sketch.SCHEMA)
     bits, hot_bits = sketch.frequent(sent, (0, 2), (0, hot_from))
-    any_hot = bool(hot_bits.any())
+    any_hot = bool(hot_bits.bits.any())
     twice = spark.sparkContext.broadcast(bits)
     hot = spark.sparkContext.broadcast(hot_bits) if any_hot else None
 

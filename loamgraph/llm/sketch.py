@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loamgraph.llm._common import Bits
+
 SLOT_BITS, PART_BITS = 27, 22
 SCHEMA = "part int, slots binary"
 #: Counters that a task gathers before it sends them.
@@ -25,10 +27,10 @@ def slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
 
 
-def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def has(bits: Bits, h: np.ndarray) -> np.ndarray:
     """Which of these hashes pass the filter."""
     s = slots(h)
-    return (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0
+    return (bits.bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0
 
 
 def _written(x: np.ndarray) -> bytes:
@@ -70,7 +72,7 @@ def send(hashes: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         yield rows(kind)
 
 
-def frequent(sent: DataFrame, *least: tuple[int, int]) -> list[np.ndarray]:
+def frequent(sent: DataFrame, *least: tuple[int, int]) -> list[Bits]:
     """For each (kind, number): the filter of the counters of this kind that reach this number."""
     parts = 1 << (SLOT_BITS - PART_BITS)
 
@@ -107,4 +109,4 @@ def frequent(sent: DataFrame, *least: tuple[int, int]) -> list[np.ndarray]:
     size = 1 << (PART_BITS - 3)
     for r in sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "i int, part int, bits binary").collect():
         out[r.i][r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return out
+    return [Bits(x) for x in out]

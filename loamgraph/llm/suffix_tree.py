@@ -39,7 +39,7 @@ DEPTH = 5
 #: Characters of a block; a longer text is a block of its own.
 BLOCK_CHARS = 6_000_000
 #: Bits of the filters of grams and contexts.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 #: The token that ends a text.
 END = np.uint64(0x1F2E3D4C5B6A7988)
 _U = np.uint64
@@ -50,7 +50,7 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(37)).astype(np.int64)
+    return (h >> _U(38)).astype(np.int64)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def _filter(spark: SparkSession, *keys: DataFrame):
     """A filter over columns of 64-bit hashes, at the places that _slot gives."""
     every = None
     for df in keys:
-        one = df.select(F.shiftrightunsigned(F.col(df.columns[0]), 37).alias("h"))
+        one = df.select(F.shiftrightunsigned(F.col(df.columns[0]), 38).alias("h"))
         every = one if every is None else every.unionByName(one)
     return spark.sparkContext.broadcast(filter_bits(every, FILTER_BITS))
 
