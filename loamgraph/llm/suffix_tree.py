@@ -15,9 +15,10 @@ too, so a context is only lengthened while this bound leaves room for a state.
 
 Texts are coded once into blocks of a bounded size. Level by level the blocks send grams to be
 counted by DataFrame aggregation: those that a sketch or a filter of fixed size cannot rule out.
-At last they ask, in one join, for what concerns them; nothing that grows with the corpus is
-broadcast or gathered. Words are known by 64-bit hashes; one that a single block holds is
-counted there.
+At last they ask, in one join, for what concerns them, but for the ``RESIDENT`` most frequent
+entries of the model, which all of them get; nothing that grows with the corpus is broadcast or
+gathered. Words, contexts and grams are known by 64-bit hashes; a word that a single block holds
+is counted there.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ from loamgraph.llm.shingles import _words, mix
 
 SUPPORT, PENALTY = 4, 2.0
 #: The most words of a context, as in the tree's definition by its greatest length of a suffix.
-DEPTH = 5
+DEPTH = 3
 #: Characters of a block; a longer text is a block of its own.
 BLOCK_CHARS = 6_000_000
 #: Bits of the filters of grams and contexts.
 FILTER_BITS = 1 << 26
+#: At most so many entries of the model, the most frequent ones, go to all tasks.
+RESIDENT = 1 << 20
 #: The token that ends a text.
 END = np.uint64(0x1F2E3D4C5B6A7988)
 _U = np.uint64
@@ -55,11 +58,22 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts in turn, each with its end, and tokens by text."""
+    words, sizes = [], []
     coded = [x.encode("utf-8", "surrogatepass") for x in texts]
-    data = np.frombuffer(b" ".join([b"", *coded, b""]), np.uint8)
-    starts, _, h = _words(data) if data.any() and len(data.tobytes().strip()) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    stops = np.searchsorted(starts, np.cumsum([1, *(len(x) + 1 for x in coded)])[1:])
-    return np.insert(h, stops, END), np.diff(stops, prepend=0) + 1
+    at = 0
+    while at < len(coded):
+        to, size = at, 0
+        while to < len(coded) and (to == at or size + len(coded[to]) < 1 << 19):
+            size += len(coded[to]) + 1
+            to += 1
+        part = coded[at:to]
+        data = np.frombuffer(b" ".join([b"", *part, b""]), np.uint8)
+        starts, _, h = _words(data) if any(x.strip(b" \t\n\v\f\r") for x in part) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        stops = np.searchsorted(starts, np.cumsum([1, *(len(x) + 1 for x in part)])[1:])
+        words.append(np.insert(h, stops, END))
+        sizes.append(np.diff(stops, prepend=0) + 1)
+        at = to
+    return np.concatenate(words), np.concatenate(sizes)
 
 
 class Block:
@@ -156,41 +170,44 @@ def _filter(spark: SparkSession, *keys: DataFrame):
     return spark.sparkContext.broadcast(filter_bits(every, FILTER_BITS))
 
 
-class Table:
-    """Values of one code by key, among those a block got."""
+def _entry(code: int, a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
+    """The key of an entry of the model: code 0 words, 2 d grams and 2 d + 1 states of d words."""
+    return mix((_join(a, np.uint64(b) if isinstance(b, int) else b)) + _U(code * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
-    def __init__(self, got: pa.Table, code: int):
-        at = got.column("code").to_numpy() == code
-        a, b = (got.column(c).to_numpy()[at].view(np.uint64) for c in ("a", "b"))
-        key = _join(a, b)
-        order = np.argsort(key)
-        self.keys, self.values = key[order], got.column("v").to_numpy()[at][order]
 
-    def find(self, a: np.ndarray, b: np.ndarray, missing: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(a), missing)
-        key = _join(a, b)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], missing)
+class Model:
+    """Values by key, among those that all tasks have and those a block got."""
 
+    def __init__(self, *tables: tuple[np.ndarray, np.ndarray]):
+        self.tables = [(k[order], v[order]) for k, v in tables if len(k) for order in [np.argsort(k)]]
 
-def _scorer(total: int, distinct: int, depth: int):
+    def find(self, key: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full(len(key), missing)
+        for keys, values in self.tables:
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out = np.where(keys[at] == key, values[at], out)
+        return out
+
+
+def _scorer(total: int, distinct: int, depth: int, common):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        model = Model(common.value, (right.column("k").to_numpy().view(np.uint64), right.column("v").to_numpy()))
         for row in left.to_pylist():
             x = Block(row)
-            nothing = np.zeros(len(x.vocabulary), np.uint64)
             # A word without an answer is in no other block, or in no training text.
-            of_word = Table(right, 0).find(x.vocabulary, nothing, -1.0)
+            of_word = model.find(_entry(0, x.vocabulary), -1.0)
             count = np.where(of_word < 0, x.counts(), of_word)[x.ids]
             p0 = (count + 1) / (total + distinct + 1)
             p = p0
-            nothing = np.zeros(len(x.w), np.uint64)
             for d, context in x.contexts(depth):
-                has = x.place >= d
-                weight = np.where(has, Table(right, 2 * d + 1).find(context, nothing, 1.0), 1.0)
-                own = np.where(has, Table(right, 2 * d).find(context, x.w, 0.0), 0.0)
-                p = np.where(own > 0, own, weight * p)
+                at = np.flatnonzero(x.place >= d)
+                weight = model.find(_entry(2 * d + 1, context[at]), 1.0)
+                of_state = weight < 1  # the weight of a state is below 1
+                at, weight = at[of_state], weight[of_state]
+                own = model.find(_entry(2 * d, context[at], x.w[at]), 0.0)
+                p = p.copy()
+                p[at] = np.where(own > 0, own, weight * p[at])
             starts = np.cumsum(x.n) - x.n
             total_of = lambda v: np.add.reduceat(v, starts)  # noqa: E731 - every text has its end
             out.append(
@@ -204,13 +221,46 @@ def _scorer(total: int, distinct: int, depth: int):
     return run
 
 
+def _mapped(df: DataFrame, make, schema: str) -> DataFrame:
+    """make(batch) gives a list of arrays."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(make(b), names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _unsigned(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _keyed(kept: DataFrame) -> DataFrame:
+    """(a, w, key, c, lower) of grams (a, w, c, lower)."""
+    return _mapped(kept.select("a", "w", "c", "lower"), lambda b: [b.column(0), b.column(1), _signed(_join(_unsigned(b, "a"), _unsigned(b, "w"))), b.column(2), b.column(3)], "a long, w long, key long, c long, lower double")
+
+
+def _most_frequent(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of at most RESIDENT entries."""
+    # As many rows as there are different counts: few, since n of them need n * n / 2 tokens.
+    least, room = 1, RESIDENT
+    for r in sorted(model.groupBy("c").agg(F.count("*").alias("k")).collect(), reverse=True):
+        room -= r.k
+        if room < 0:
+            least = r.c + 1
+            break
+    got = model.filter(F.col("c") >= least).select("k", "v").toArrow()
+    return got["k"].to_numpy().view(np.uint64), got["v"].to_numpy()
+
+
 def _level(kept: DataFrame, counts: DataFrame, penalty: float) -> DataFrame:
     """Kept grams (a, w, key, c, lower), lower being P(w | s'), with the counts (a, seen) of their contexts: adds weight (of states, else null), p and open, whether the context may be lengthened."""
     each = kept.join(counts, "a").groupBy("a").agg(F.first("seen").alias("seen"), F.sum("c").alias("K"), F.count("*").alias("T"), F.sum(F.col("c") * F.log(F.col("c") / F.col("seen") / F.col("lower"))).alias("G"))
     rest = F.col("seen") - F.col("K") + 1
     states = each.filter(F.col("G") > penalty * (F.col("T") + 1)).select("a", "seen", rest.alias("rest"), (rest / (F.col("seen") + 1)).alias("weight"))
     p = F.coalesce((F.col("c") + F.col("rest") * F.col("lower")) / (F.col("seen") + 1), "lower")
-    out = kept.join(states, "a", "left").select("a", "w", "key", "c", "weight", p.alias("p"))
+    out = kept.join(states, "a", "left").select("a", "w", "key", "c", "seen", "weight", p.alias("p"))
     bound = out.groupBy("a").agg((F.sum(F.col("c") * F.greatest(-F.log("p"), F.lit(0.0))) > 2 * penalty).alias("open"))
     return stored(out.join(bound, "a"))
 
@@ -251,6 +301,7 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id",
     words = stored(_each(blocks, words_of, "block long, w long, n long, known long"))
     unigrams = stored(words.filter("w IS NOT NULL").groupBy("w").agg(F.sum("n").alias("c")).filter("c > 0"))
     total, distinct = (x + y for x, y in zip(unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first(), words.filter("w IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()))
+    forget(words)
     root = (F.col("c0") + 1) / (total + distinct + 1)
 
     def pairs_of(x: Block) -> list:
@@ -258,12 +309,12 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id",
         a, w = np.roll(x.w, 1)[at], x.w[at]
         key = _join(a, w)
         has = sketch.has(often.value, key)
-        key, a, w, n = _distinct(key[has], a[has], w[has])
-        return [_signed(a), _signed(w), _signed(key), pa.array(n)]
+        _, a, w, n = _distinct(key[has], a[has], w[has])
+        return [_signed(a), _signed(w), pa.array(n)]
 
     levels: list[DataFrame] = []
-    kept = _each(blocks, pairs_of, "a long, w long, key long, n long").groupBy("a", "w").agg(F.first("key").alias("key"), F.sum("n").alias("c")).filter(F.col("c") >= support)
-    kept = stored(kept.join(unigrams.select("w", F.col("c").alias("c0")), "w").select("a", "w", "key", "c", root.alias("lower")))
+    kept = _each(blocks, pairs_of, "a long, w long, n long").groupBy("a", "w").agg(F.sum("n").alias("c")).filter(F.col("c") >= support)
+    kept = stored(_keyed(kept.join(unigrams.select("w", F.col("c").alias("c0")), "w").withColumn("lower", root)))
     counts = unigrams.select(F.col("w").alias("a"), F.col("c").alias("seen"))
     for d in range(1, depth + 1):
         levels.append(_level(kept, counts, penalty))
@@ -279,12 +330,12 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id",
                 context, longer_context = (c, None) if k == d else (context, c)
             at = np.flatnonzero(x.train & (x.place > d))
             at = at[in_filter(bits.value, _slot(_join(context[at], x.w[at])))]
-            key, a, w, s, n = _distinct(_join(longer_context[at], x.w[at]), longer_context[at], x.w[at], context[at])
-            return [_signed(a), _signed(w), _signed(key), _signed(s), pa.array(n)]
+            _, a, w, s, n = _distinct(_join(longer_context[at], x.w[at]), longer_context[at], x.w[at], context[at])
+            return [_signed(a), _signed(w), _signed(s), pa.array(n)]
 
-        kept = _each(blocks, grams_of, "a long, w long, key long, s long, n long").groupBy("a", "w").agg(F.first("key").alias("key"), F.first("s").alias("s"), F.sum("n").alias("c")).filter(F.col("c") >= support)
+        kept = _each(blocks, grams_of, "a long, w long, s long, n long").groupBy("a", "w").agg(F.first("s").alias("s"), F.sum("n").alias("c")).filter(F.col("c") >= support)
         lower = levels[-1].select(F.col("a").alias("s"), "w", F.col("p").alias("lower"))
-        kept = stored(kept.join(lower, ["s", "w"]).select("a", "w", "key", "c", "lower"))
+        kept = stored(_keyed(kept.join(lower, ["s", "w"])))
         wanted = _filter(spark, kept.select("a"))
 
         def contexts_of(x: Block, d=d, wanted=wanted) -> list:
@@ -296,37 +347,44 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id",
 
         counts = _each(blocks, contexts_of, "a long, n long").groupBy("a").agg(F.sum("n").alias("seen"))
 
-    # What the blocks need of the model: code 0 words, 2 d grams and 2 d + 1 states of d words.
+    # The model: an entry for each word, each gram of a state and each state.
     nothing = F.lit(0).cast("long")
-    model = unigrams.select(F.lit(0).alias("code"), F.col("w").alias("a"), nothing.alias("b"), F.col("c").cast("double").alias("v"))
+    model = unigrams.select(F.lit(0).alias("code"), F.col("w").alias("a"), nothing.alias("b"), F.col("c").cast("double").alias("v"), "c")
     for d, df in enumerate(levels, 1):
         state = df.filter("weight IS NOT NULL")
-        model = model.unionByName(state.select(F.lit(2 * d).alias("code"), "a", F.col("w").alias("b"), F.col("p").alias("v")))
-        model = model.unionByName(state.groupBy("a").agg(F.first("weight").alias("v")).select(F.lit(2 * d + 1).alias("code"), "a", nothing.alias("b"), "v"))
+        model = model.unionByName(state.select(F.lit(2 * d).alias("code"), "a", F.col("w").alias("b"), F.col("p").alias("v"), "c"))
+        model = model.unionByName(state.groupBy("a").agg(F.first("weight").alias("v"), F.first("seen").alias("c")).select(F.lit(2 * d + 1).alias("code"), "a", nothing.alias("b"), "v", "c"))
+
+    def entries(b: pa.RecordBatch) -> list:
+        code, x, y = b.column("code").to_numpy(), _unsigned(b, "a"), _unsigned(b, "b")
+        k = np.zeros(len(code), np.uint64)
+        for c in np.unique(code).tolist():
+            at = code == c
+            k[at] = _entry(c, x[at], y[at])
+        return [_signed(k), b.column("v"), b.column("c")]
+
+    model = stored(_mapped(model, entries, "k long, v double, c long"))
+    most = len(levels)
     states = [df.filter("weight IS NOT NULL") for df in levels]
     of_states = _filter(spark, *(df.select("a") for df in states))
     of_grams = _filter(spark, *(df.select("key") for df in states))
-    most = len(levels)
+    common = spark.sparkContext.broadcast(_most_frequent(model))
 
     def asked_of(x: Block) -> list:
-        columns: list[tuple[int, np.ndarray, np.ndarray]] = []
+        k = [_entry(0, x.vocabulary[sketch.has(several.value, x.vocabulary)])]
         for d, context in x.contexts(most):
             at = np.flatnonzero(x.place >= d)
             at = at[in_filter(of_states.value, _slot(context[at]))]
-            a = np.unique(context[at])
-            columns.append((2 * d + 1, a, np.zeros(len(a), np.uint64)))
-            key = _join(context[at], x.w[at])
-            has = in_filter(of_grams.value, _slot(key))
-            _, a, w, _ = _distinct(key[has], context[at][has], x.w[at][has])
-            columns.append((2 * d, a, w))
-        size = [len(a) for _, a, _ in columns]
-        code = np.repeat(np.array([c for c, _, _ in columns], np.int32), size)
-        return [pa.array(np.full(len(code), x.block)), pa.array(code), *(_signed(np.concatenate([c[k] for c in columns])) for k in (1, 2))]
-
-    asked = _each(blocks, asked_of, "block long, code int, a long, b long")
-    asked = asked.unionByName(words.filter("w IS NOT NULL").select("block", F.lit(0).alias("code"), F.col("w").alias("a"), nothing.alias("b")))
-    got = asked.join(model, ["code", "a", "b"]).select("block", "code", "a", "b", "v")
-    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_scorer(total, distinct, most), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            k.append(np.unique(_entry(2 * d + 1, context[at])))
+            at = at[in_filter(of_grams.value, _slot(_join(context[at], x.w[at])))]
+            k.append(np.unique(_entry(2 * d, context[at], x.w[at])))
+        k = np.concatenate(k)
+        k = k[Model((common.value[0], np.ones(len(common.value[0])))).find(k, 0.0) == 0]
+        return [pa.array(np.full(len(k), x.block)), _signed(k)]
+
+    asked = _each(blocks, asked_of, "block long, k long")
+    got = asked.join(model.select("k", "v"), "k").select("block", "k", "v")
+    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_scorer(total, distinct, most, common), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
