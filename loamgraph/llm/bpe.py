@@ -20,7 +20,8 @@ from loamgraph.llm._common import resident
 #: The contractions and white space of the byte-level vocabulary's pre-token pattern (fixed values).
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACE = r"\t-\r \x85\xa0  -     　"
-MEMO_ENTRIES = 600_000
+#: Bounds of the memo: pre-tokens, and their characters.
+MEMO_ENTRIES, MEMO_CHARS = 600_000, 16_000_000
 #: Missing words are encoded so many at a time, as one text.
 JOINED = 2000
 
@@ -76,6 +77,7 @@ class PieceEncoder:
         for token, i in vocabulary.items():
             self._bytes[i] = len(token)
         self._memo: dict[str, bytes] = {}
+        self._chars = 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,9 +109,12 @@ class PieceEncoder:
         ids = iter(self._ids([texts[i] for i in whole]) if whole else ())
         by_library = {i: x.tobytes() for i, x in zip(whole, ids)}
         pieces = [() if i in by_library else pre_tokens(x) for i, x in enumerate(texts)]
-        if len(self._memo) > MEMO_ENTRIES:
+        if len(self._memo) > MEMO_ENTRIES or self._chars > MEMO_CHARS:
             self._memo.clear()
-        self._learn(list(set().union(*pieces).difference(self._memo)))
+            self._chars = 0
+        new = list(set().union(*pieces).difference(self._memo))
+        self._chars += sum(map(len, new))
+        self._learn(new)
         get = self._memo.__getitem__
         return [by_library[i] if i in by_library else b"".join(map(get, p)) for i, p in enumerate(pieces)]
 

@@ -4,9 +4,9 @@ A rolling hash over 16 characters cuts texts into chunks, at the same places whe
 same passage stands. A chunk that several documents share is encoded once for each Python
 worker while a bounded memo lasts. The ends of a chunk may split a pre-token, so each join
 is repaired: the stretch around it is encoded anew out to the nearest blank on either side.
-A blank is never part of a token nor of a composed character, so there both encodings agree
-exactly, and the spliced ids are those of the whole text. Texts that may hold an added token
-go to the library as they are.
+The library then encodes the repaired stretch together with the words on both sides: if these
+ids are not exactly the spliced ones, the stretch is widened until they are, at last to the
+whole text. Texts that may hold an added token go to the library as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from loamgraph.llm.bpe import added_token_hint
 #: A cut on average every 2 ** 9 characters.
 CUT_BITS = 9
 #: Bounds of the memos: characters of chunks, and words.
-MEMO_CHARS, MEMO_WORDS = 24_000_000, 500_000
+MEMO_CHARS, MEMO_WORDS, WORD_CHARS = 24_000_000, 500_000, 8_000_000
+#: Words on either side of a join that must agree, tried in turn before the whole text.
+AROUND = (1, 4, 16)
 BLANKS = " \n\t"
 #: Missing words are encoded so many at a time, as one text.
 JOINED = 2000
@@ -45,6 +47,19 @@ def cuts(text: str) -> list[int]:
     return out
 
 
+def _around(text: str, at: int, words: int) -> str:
+    """The stretch without blanks at this place and so many words on either side."""
+    a = b = at
+    for k in range(words + 1):
+        while a and k and text[a - 1] in BLANKS:
+            a -= 1
+        a = max(text.rfind(c, 0, a) for c in BLANKS) + 1
+        while b < len(text) and k and text[b] in BLANKS:
+            b += 1
+        b = min((p for p in (text.find(c, b) for c in BLANKS) if p >= 0), default=len(text))
+    return text[a:b]
+
+
 class ChunkEncoder:
     """With ``added_tokens``, as in all operators, those in texts are recognised, as the library does unless told not to."""
 
@@ -60,7 +75,8 @@ class ChunkEncoder:
         self.vocabulary = np.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())], object)
         self._chunks: dict[str, tuple[str, bytes | None, str]] = {}
         self._words: dict[str, bytes] = {"": b""}
-        self._chars = 0
+        self._agreed: set[str] = set()
+        self._chars = self._word_chars = 0
         suffix = getattr(t.model, "end_of_word_suffix", None)
         self._ends = np.array([bool(suffix) and x.endswith(suffix) for x in self.vocabulary])
 
@@ -84,6 +100,7 @@ class ChunkEncoder:
                 self._words[w] = data[start:stop]
                 start = stop
         self._words.update(zip(rest, self._ids(rest) if rest else ()))
+        self._word_chars += sum(map(len, words))
 
     def _encode_words(self, rows: list[list[str]]) -> list[bytes]:
         self._learn(set().union(*rows).difference(self._words))
@@ -111,8 +128,10 @@ class ChunkEncoder:
         if self._chars > MEMO_CHARS:
             self._chunks.clear()
             self._chars = 0
-        if len(self._words) > MEMO_WORDS:
+        if len(self._words) > MEMO_WORDS or self._word_chars > WORD_CHARS:
             self._words = {"": b""}
+            self._agreed.clear()
+            self._word_chars = 0
         docs = []
         for x in texts:
             ends = cuts(x)
@@ -137,7 +156,33 @@ class ChunkEncoder:
             row.append("".join(join))
             laid.append(row)
         self._learn({x for row in laid for x in row if isinstance(x, str) and x not in self._words})
-        return [b"".join([self._words[x] if isinstance(x, str) else x for x in row]) for row in laid]
+        out = [b"".join([self._words[x] if isinstance(x, str) else x for x in row]) for row in laid]
+        wrong = self._disagreeing(texts, docs)
+        for i, x in zip(wrong, self._ids([texts[i] for i in wrong]) if wrong else ()):
+            out[i] = x
+        return out
+
+    def _disagreeing(self, texts: list[str], docs: list[list[str]]) -> list[int]:
+        """Texts of which some join does not agree with the library, however wide it is taken."""
+        open_ = []
+        for i, (text, chunks) in enumerate(zip(texts, docs)):
+            at = 0
+            for c in chunks[:-1]:
+                at += len(c)
+                open_.append((i, at))
+        for n in AROUND:
+            windows = [_around(texts[i], at, n) for i, at in open_]
+            new = list(dict.fromkeys(w for w in windows if w not in self._agreed))
+            words = [w.replace("\n", " ").replace("\t", " ").split(" ") for w in new]
+            self._learn(set().union(*words).difference(self._words))
+            for w, parts, ids in zip(new, words, self._ids(new) if new else ()):
+                if b"".join([self._words[x] for x in parts]) == ids:
+                    self._agreed.add(w)
+                    self._word_chars += len(w)
+            open_ = [x for x, w in zip(open_, windows) if w not in self._agreed]
+            if not open_:
+                return []
+        return sorted({i for i, _ in open_})
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode for a vocabulary without a decoder: tokens with blanks between, special ones too."""

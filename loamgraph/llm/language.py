@@ -3,7 +3,8 @@
 For each language a suffix automaton of labelled text is built. A text is parsed into the
 fewest phrases that occur in that text, greedily: a phrase goes on while the automaton has
 a transition. Few phrases per character mean that the texts are alike; the language that
-needs fewest wins.
+needs fewest wins, each phrase normalised by what it costs to point into that language's text,
+the logarithm of its length.
 
 Letters are lower-cased and runs of anything else count as one blank. Whole texts are
 parsed, in segments of ``SEGMENT`` characters at whose ends a phrase ends, so that many
@@ -95,6 +96,7 @@ class Model:
         self.symbols = np.zeros(0x110000, np.int16)
         self.symbols[alphabet] = np.arange(2, len(alphabet) + 2)
         self.automata = [Automaton(self.symbols[x].tolist(), len(alphabet) + 2) for x in texts]
+        self.cost = np.log2(np.array([len(x) for x in texts]) + 2)  # of a phrase
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and characters by text."""
@@ -125,14 +127,15 @@ class Model:
         return counts, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score: how far the best needs fewer phrases than the next, from 0 to 1."""
+        """Language and score: how far the best needs less than the next, from 0 to 1."""
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         counts, sizes = self.phrases([x or "" for x in texts])
-        best = counts.argmin(1)  # ties: the first by name
-        ordered = np.sort(counts, 1)
+        bits = counts * self.cost
+        best = bits.argmin(1)  # ties: the first by name
+        ordered = np.sort(bits, 1)
         if len(self.languages) == 1:
-            score = 1 - ordered[:, 0] / np.maximum(sizes + 1, 1)
+            score = 1 - counts[:, 0] / np.maximum(sizes + 1, 1)
         else:
             score = 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1)
         score = np.where(sizes > 0, np.clip(score, 0, 1), 0.0)
@@ -144,27 +147,21 @@ def _model(samples: bytes) -> Model:
 
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> dict[str, list[str]]:
-    """Labelled texts of each language, at most SAMPLE_ROWS and SAMPLE_CHARS of them; a hash of doc_id chooses."""
-    chosen = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = (
-        docs.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("h"), F.length(text).alias("n"))
-        .filter("lang IS NOT NULL AND n > 0 AND doc_id IS NOT NULL")
-        .filter(F.col("n") <= SAMPLE_CHARS)
-        .drop("n")
-        .withColumn("k", chosen)
-        .filter(F.col("k") <= SAMPLE_ROWS)
-        .select("doc_id", "lang", "h")
-        .collect()
-    )
+    """Labelled texts of each language, at most SAMPLE_ROWS and SAMPLE_CHARS of them; a hash of doc_id chooses. Of a longer text the first part is learned from."""
+    first = W.partitionBy("lang").orderBy("h", "doc_id", "t")
+    labelled = docs.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("h"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text <> ''")
+    ids = labelled.drop("text").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_ROWS).select("doc_id").distinct().collect()
     if not ids:
         return {}
-    rows = docs.filter(F.col(doc_id).isin(sorted({r.doc_id for r in ids}))).select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    # At most SAMPLE_ROWS of a language, however often an id repeats.
+    rows = labelled.filter(F.col("doc_id").isin(sorted(r.doc_id for r in ids))).withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_ROWS).select("lang", "k", "text")
     out: dict[str, list[str]] = {}
     room: dict[str, int] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        if len(r.text) <= room.setdefault(r.lang, SAMPLE_CHARS):
-            room[r.lang] -= len(r.text)
-            out.setdefault(r.lang, []).append(r.text)
+    for r in sorted(rows.collect()):
+        left = room.setdefault(r.lang, SAMPLE_CHARS)
+        if left:
+            out.setdefault(r.lang, []).append(r.text[:left])
+            room[r.lang] = max(0, left - len(r.text))
     return out
 
 

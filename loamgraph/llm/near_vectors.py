@@ -26,6 +26,14 @@ from loamgraph.llm.components import components, stars
 from loamgraph.llm.tiles import is_float, tiles, usable, wider
 
 TILE, BLOCKS = 2048, 4
+#: Largest components between which squares and their sums are far from the limits of doubles.
+SAFE = (1e-100, 1e100)
+
+
+def _safe(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(1, keepdims=True, initial=0)
+    odd = (top < SAFE[0]) | (top > SAFE[1])
+    return x / np.where(odd, top, 1.0) if odd.any() else x
 
 
 def rotation(width: int) -> np.ndarray:
@@ -66,7 +74,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, vec: str = "embedd
     width = classes.agg(F.max(F.size("vec"))).first()[0] or 1
     turn = rotation(width)
     axis = F.array(*[F.lit(float(x)) for x in turn[:, 0]])
-    doubles = F.transform(F.col("vec"), lambda x: x.cast("double"))
+    # Vectors whose squares would leave the range of doubles are scaled by their largest component.
+    top = F.array_max(F.transform(F.col("vec"), lambda x: F.abs(x.cast("double"))))
+    unit = F.when(top.between(*SAFE), F.lit(1.0)).otherwise(top)
+    doubles = F.transform(F.col("vec"), lambda x: x.cast("double") / unit)
     norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda s, x: s + x * x))
     dot = F.aggregate(F.zip_with(doubles, F.slice(axis, 1, F.size("vec")), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     dtype = "<f4" if is_float(vectors, vec) else "<f8"
@@ -84,6 +95,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, vec: str = "embedd
         for b in batches:
             for t0, t1, n0, ids0, w0, x0, n1, ids1, w1, x1 in zip(*(c.to_pylist() for c in b.columns)):
                 x, y = (wider(np.frombuffer(d, dtype).reshape(n, -1).astype(np.float64), width) for d, n in ((x0, n0), (x1, n1)))
+                x, y = _safe(x), _safe(y)
                 nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
                 place = candidates(x / nx[:, None] @ turn, y / ny[:, None] @ turn, limit)
                 i, j = place // n1, place % n1

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loamgraph.llm._common import documents, modest_batches
 
 BLOCK_TOKENS = 4_000_000
+#: Room beyond the tokens, as a share of them: padding that leaves costs some freedom to balance.
+SLACK = 1 / 128
 
 
 class _Sequences:
@@ -61,13 +63,13 @@ class _Sequences:
         return cost, -left, j
 
 
-def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> list[tuple[int, int, int, int, int]]:
+def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048, slack: float = 0.0) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents with these lengths.
 
     Whole multiples of the capacity are sequences of their own. The rest is spread over as
-    many full sequences as it fills, and what is left over sequences of 2 ** i tokens, which
-    need no padding; so the room is exactly the number of tokens, and a document is cut
-    only where no sequence has room for the whole of it, and then goes to the roomiest.
+    many full sequences as it and ``slack`` times it fill; what they cannot take, over
+    sequences of 2 ** i tokens, which need no padding. A document is cut only where no
+    sequence has room for the whole of it, and then goes to the roomiest.
     """
     pieces, rest, n_seq = [], [], 0
     for d, n in enumerate(lengths):
@@ -77,7 +79,9 @@ def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: fl
         if n % capacity:
             rest.append((n % capacity, d))
     total = sum(r for r, _ in rest)
-    room = [capacity] * (total // capacity) + [1 << i for i in range(capacity.bit_length()) if (total % capacity) >> i & 1]
+    full = int(total * (1 + slack)) // capacity
+    left_over = max(0, total - full * capacity)
+    room = [capacity] * full + [1 << i for i in range(capacity.bit_length()) if left_over >> i & 1]
     used = [0] * len(room)
     open_ = _Sequences(capacity)
     for j, c in enumerate(room):
@@ -101,8 +105,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     doc_id, start (the document's ids before the piece), length, ids (little-endian unsigned
     32-bit), doc_tokens, sequence_id, offset. A null text is empty and gives its end id
     only; with no end id, empty documents give no piece. Rows with equal or null doc_ids are
-    packed one by one. Sequences hold ``capacity`` tokens, but for the last few of a block,
-    which hold a power of two.
+    packed one by one. Sequences are padded to ``capacity`` tokens, by SLACK of them on average,
+    but for the last few of a block, which hold a power of two.
     """
     modest_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -119,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal first
-            made = assign([len(x) for x in ids], capacity)
+            made = assign([len(x) for x in ids], capacity, slack=SLACK)
             for at in range(0, len(made), 2000):
                 part = made[at : at + 2000]
                 columns = zip(*((doc_ids[d], s, n, ids[d][s : s + n].astype("<u4").tobytes(), len(ids[d]), first + q, o) for d, s, n, q, o in part))

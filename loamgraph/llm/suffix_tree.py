@@ -179,7 +179,13 @@ class Model:
     """Values by key, among those that all tasks have and those a block got."""
 
     def __init__(self, *tables: tuple[np.ndarray, np.ndarray]):
-        self.tables = [(k[order], v[order]) for k, v in tables if len(k) for order in [np.argsort(k)]]
+        self.tables = []
+        for k, v in tables:
+            if len(k):
+                if not (k[1:] >= k[:-1]).all():
+                    order = np.argsort(k)
+                    k, v = k[order], v[order]
+                self.tables.append((k, v))
 
     def find(self, key: np.ndarray, missing: float) -> np.ndarray:
         out = np.full(len(key), missing)
@@ -189,7 +195,7 @@ class Model:
         return out
 
 
-def _scorer(total: int, distinct: int, depth: int, common):
+def _scorer(total: int, distinct: int, depth: int, common, of_states, of_grams):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         model = Model(common.value, (right.column("k").to_numpy().view(np.uint64), right.column("v").to_numpy()))
@@ -202,10 +208,13 @@ def _scorer(total: int, distinct: int, depth: int, common):
             p = p0
             for d, context in x.contexts(depth):
                 at = np.flatnonzero(x.place >= d)
+                at = at[in_filter(of_states.value, _slot(context[at]))]
                 weight = model.find(_entry(2 * d + 1, context[at]), 1.0)
                 of_state = weight < 1  # the weight of a state is below 1
                 at, weight = at[of_state], weight[of_state]
-                own = model.find(_entry(2 * d, context[at], x.w[at]), 0.0)
+                own = np.zeros(len(at))
+                likely = np.flatnonzero(in_filter(of_grams.value, _slot(_join(context[at], x.w[at]))))
+                own[likely] = model.find(_entry(2 * d, context[at[likely]], x.w[at[likely]]), 0.0)
                 p = p.copy()
                 p[at] = np.where(own > 0, own, weight * p[at])
             starts = np.cumsum(x.n) - x.n
@@ -251,7 +260,9 @@ def _most_frequent(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             least = r.c + 1
             break
     got = model.filter(F.col("c") >= least).select("k", "v").toArrow()
-    return got["k"].to_numpy().view(np.uint64), got["v"].to_numpy()
+    k, v = got["k"].to_numpy().view(np.uint64), got["v"].to_numpy()
+    order = np.argsort(k)
+    return k[order], v[order]
 
 
 def _level(kept: DataFrame, counts: DataFrame, penalty: float) -> DataFrame:
@@ -384,7 +395,7 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id",
 
     asked = _each(blocks, asked_of, "block long, k long")
     got = asked.join(model.select("k", "v"), "k").select("block", "k", "v")
-    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_scorer(total, distinct, most, common), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_scorer(total, distinct, most, common, of_states, of_grams), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

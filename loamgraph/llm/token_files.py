@@ -68,10 +68,19 @@ class EliasFano:
         place = 8 * byte + (word & -word).bit_length() - 1
         return ((place - i) << self.low_bits) | int(self._low(np.array([i], np.int64))[0])
 
-    def all(self) -> np.ndarray:
-        i = np.arange(self.n, dtype=np.int64)
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((places - i) << self.low_bits) | self._low(i)
+    def window(self, i: int, k: int) -> np.ndarray:
+        """Values i to i + k - 1, from the sample before them on; no more than these are ever expanded."""
+        place = int(self.samples[i // SAMPLE])
+        start, need = place >> 3, i % SAMPLE + k
+        size = need
+        while True:
+            places = np.flatnonzero(np.unpackbits(self.high[start : start + size], bitorder="little")) + 8 * start
+            places = places[np.searchsorted(places, place) :]
+            if len(places) >= need or start + size >= len(self.high):
+                break
+            size *= 2
+        at = np.arange(i, i + k)
+        return ((places[i % SAMPLE : need] - at) << self.low_bits) | self._low(at)
 
 
 def dump(doc_ids: list[int | None], lengths: np.ndarray, ids: bytes, width: int) -> bytes:
@@ -107,9 +116,11 @@ class Shard:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
     def __iter__(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        ends = self.bounds.all()
-        for d, a, b in zip(self.doc_ids, ends[:-1].tolist(), ends[1:].tolist()):
-            yield d, a, self.ids[a:b]
+        for at in range(0, len(self.doc_ids), SAMPLE):
+            some = self.doc_ids[at : at + SAMPLE]
+            ends = self.bounds.window(at, len(some) + 1).tolist()
+            for d, a, b in zip(some, ends, ends[1:]):
+                yield d, a, self.ids[a:b]
 
 
 def put(path: str, data: bytes) -> None:
@@ -138,10 +149,11 @@ def get(path: str) -> bytes:
 def write(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Write whole texts, encoded, as shards below ``out``, in ascending doc_id order; return the manifest.
 
-    docs is range-partitioned by doc_id (texts are shuffled, not ids, so that nothing is
-    encoded twice) and each partition becomes a shard. Manifest: shard, path, n_docs,
-    n_tokens, start (ids of all shards before it). A null text is empty; null doc_ids come
-    first; repeated doc_ids are kept, in no set order; an empty table gives no shards.
+    docs is range-partitioned by doc_id, then a hash of the text (texts are shuffled, not ids,
+    so that nothing is encoded twice), and each partition becomes a shard; so one id that many
+    rows share is spread over shards. Manifest: shard, path, n_docs, n_tokens, start (ids of all
+    shards before it). A null text is empty; null doc_ids come first; rows that share a doc_id
+    are in the order of that hash, then of the text; an empty table gives no shards.
     """
     spark = docs.sparkSession
     modest_batches(spark)
@@ -163,7 +175,8 @@ def write(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = None,
             put(path := f"{out}/shard-{k:07d}.efids", dump(doc_ids, np.array(lengths, np.int64), ids.getvalue(), encoder.dtype.itemsize))
             yield pa.RecordBatch.from_pydict({"shard": [k], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [sum(lengths)]}, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    laid = documents(docs, text, doc_id).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    laid = documents(docs, text, doc_id).withColumn("h", F.xxhash64("text"))
+    laid = laid.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     # One small row for each shard comes to the driver, which starts the read from it.
     rows = sorted(laid.mapInArrow(encode, "shard long, path string, n_docs long, n_tokens long").collect())
     starts = np.cumsum([0, *(r.n_tokens for r in rows)]).tolist()

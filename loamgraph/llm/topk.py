@@ -1,10 +1,11 @@
 """Exact top-k search by inner product over integer vectors, block at a time.
 
 A component is a term, its value the term's weight. Vectors lie in ranges of ``RANGE`` ids,
-each cut into blocks of ``BLOCK``; a block keeps its largest and least value of every term.
-For a query the sum of its weights times these bounds what any vector of the block can score.
-Blocks are visited by falling bound, each scored through its forward index (the vectors
-themselves) for the queries that still need it, until all bounds fall below the k-th score.
+each cut into blocks of at most ``BLOCK`` similar ones, by halving along the direction of most
+spread; a block keeps its largest and least value of every term. For a query the sum of its
+weights times these bounds what any vector of the block can score. Each query visits the
+blocks by its own falling bounds, each scored through its forward index (the vectors
+themselves), until the next bound falls below the k-th score.
 """
 
 from __future__ import annotations
@@ -14,48 +15,80 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.llm._common import stored
 from loamgraph.llm.tiles import tiles, usable, wider
 
-BLOCK, RANGE, QUERIES = 256, 8192, 1024
+BLOCK, RANGE, QUERIES = 128, 8192, 1024
+#: Components from here on have no integer of 64 bits.
+TOO_LARGE = float(1 << 57)
+#: Below every score.
+NONE = -(1 << 140)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids (-1: none) of each query's k best among other docs, ties to the smaller id."""
+def _blocks(d: np.ndarray, block: int) -> list[np.ndarray]:
+    """Rows in blocks of at most so many, halved again and again along the direction of most spread."""
+    out, todo = [], [np.arange(len(d))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= block:
+            out.append(at)
+            continue
+        x = d[at].astype(np.float64)
+        x -= x.mean(0)
+        top = np.abs(x).max(initial=0) or 1.0
+        _, v = np.linalg.eigh((x / top).T @ (x / top))
+        order = np.argsort(x @ v[:, -1], kind="stable")
+        todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
+
+
+def search(queries: np.ndarray, query_ids: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int, block: int = BLOCK, scored: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each query's k best among other docs, ties to the smaller id; a score below every sum of longs stands for none.
+
+    scored, if given, gets the pairs of query and block that were scored, and all of them.
+    """
     width = max(queries.shape[1], docs.shape[1])
     q, d = wider(queries, width), wider(docs, width)
     top = width * int(np.abs(q).max(initial=0)) * int(np.abs(d).max(initial=0))
     kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else object  # all of them exact
-    order = np.argsort(doc_ids, kind="stable")
-    d, doc_ids = d[order].astype(kind), doc_ids[order]
-    q = q.astype(kind)
-    starts = np.arange(0, len(d), block)
-    high, low = np.maximum.reduceat(d, starts), np.minimum.reduceat(d, starts)
+    rows = _blocks(d, block)
+    q, d = q.astype(kind), d.astype(kind)
+    parts = [d[at] for at in rows]
+    high, low = (np.stack([of(x, 0) for x in parts]) for of in (np.max, np.min))
     zero = q * 0
     bound = np.maximum(q, zero) @ high.T + np.minimum(q, zero) @ low.T
-    least = -(1 << 62)
+    least = NONE if kind is object else -(1 << 62)
     exact = np.int64 if kind is not object else object
     best = np.full((len(q), k), least, exact)
     ids = np.full((len(q), k), -1, np.int64)
-    for j in np.argsort(-bound.max(0) if kind is not object else np.array([-int(x) for x in bound.max(0)], object), kind="stable").tolist():
-        live = np.flatnonzero(bound[:, j] >= best[:, -1])  # an equal score may still win by its id
+    by = np.argsort(-bound, axis=1, kind="stable") if kind is not object else np.array([sorted(range(len(parts)), key=lambda j: -int(x[j])) for x in bound], np.int64).reshape(bound.shape)
+    live = np.arange(len(q))
+    n = 0
+    for turn in range(len(parts)):
+        at = by[live, turn]
+        need = bound[live, at] >= best[live, -1]  # an equal score may still win by its id
+        live, at = live[need], at[need]  # the bounds fall: whoever is done stays so
         if not len(live):
-            continue
-        of = doc_ids[starts[j] : starts[j] + block]
-        scores = q[live] @ d[starts[j] : starts[j] + block].T
-        scores = scores.astype(exact)
-        scores[query_ids[live][:, None] == of[None, :]] = least
-        need = np.flatnonzero((scores >= best[live][:, -1:]).any(1))
-        if not len(need):
-            continue
-        rows = live[need]
-        s = np.concatenate([best[rows], scores[need]], 1)
-        i = np.concatenate([ids[rows], np.broadcast_to(of, (len(rows), len(of)))], 1)
-        keep = np.lexsort((i, -s))[:, :k] if kind is not object else np.array([sorted(range(s.shape[1]), key=lambda c: (-s[r, c], i[r, c]))[:k] for r in range(len(rows))])
-        best[rows], ids[rows] = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-        ids[rows] = np.where(best[rows] == least, -1, ids[rows])
+            break
+        n += len(live)
+        for j in np.unique(at).tolist():
+            who = live[at == j]
+            of = doc_ids[rows[j]]
+            scores = (q[who] @ parts[j].T).astype(exact)
+            scores[query_ids[who][:, None] == of[None, :]] = least
+            more = np.flatnonzero((scores >= best[who][:, -1:]).any(1))
+            if not len(more):
+                continue
+            who = who[more]
+            s = np.concatenate([best[who], scores[more]], 1)
+            i = np.concatenate([ids[who], np.broadcast_to(of, (len(who), len(of)))], 1)
+            keep = np.lexsort((i, -s))[:, :k] if kind is not object else np.array([sorted(range(s.shape[1]), key=lambda c: (-s[r, c], i[r, c]))[:k] for r in range(len(who))])
+            best[who], ids[who] = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+    if scored is not None:
+        scored += [n, bound.size]
     return best, ids
 
 
@@ -65,16 +98,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec: str = "embeddi
     Queries are rows of ``vectors``; a query is no candidate of its own. Vectors that are null or
     empty or hold null or non-finite components take no part, nor do rows with a null id. Missing
     components of shorter vectors count as 0. Rows that repeat an id are candidates one by one (and
-    none of them for the query of that id). Fewer than k candidates give all of them.
+    none of them for the query of that id, which comes once for each of them). Fewer than k
+    candidates give all of them. Vectors with a component of 2 ** 57 or more, whose integer would
+    not fit 64 bits, take no part; a score beyond 64 bits is the largest or least of them.
     """
-    good = vectors.filter(usable(vec) & F.col(vec_id).isNotNull())
+    fits = F.forall(F.col(vec), lambda x: F.abs(x.cast("double") * scale) < F.lit(TOO_LARGE * 64))
+    good = vectors.filter(usable(vec) & F.col(vec_id).isNotNull()).filter(fits)
     ints = F.transform(F.col(vec), lambda x: F.floor(x.cast("double") * scale))
     rows = good.select(F.col(vec_id).cast("long").alias("id"), F.lit(1).alias("weight"), F.col(vec_id).cast("double").alias("key"), ints.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q"))
     ranges = stored(tiles(rows, RANGE, ["id"], "<i8").select(F.col("tile"), "n", "ids", "data"))
     asked = stored(tiles(rows.filter("q"), QUERIES, ["id"], "<i8").select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata")))
-    # The query set meets all rows in blocks: each tile of queries goes to every range.
-    names = [r.tile for r in ranges.select("tile").collect()]
-    pairs = asked.select("*", F.explode(F.array(*[F.lit(x).cast("long") for x in names]) if names else F.array().cast("array<bigint>")).alias("tile")).repartition("tile").join(ranges, "tile")
+    # The query set meets all rows in blocks: each tile of queries goes to every range, by its number.
+    number = ranges.select("tile").withColumn("number", F.row_number().over(W.orderBy("tile")))
+    n = ranges.count()
+    ranges = ranges.join(number, "tile").drop("tile")
+    every = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
+    pairs = asked.select("*", F.explode(every).alias("number")).repartition("number").join(ranges, "number")
     schema = pa.schema([("query_id", pa.int64()), ("score", pa.list_(pa.int64())), ("vec_id", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +121,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec: str = "embeddi
             for qn, qids, qdata, n, ids, data in zip(*(c.to_pylist() for c in b.columns)):
                 q_ids, d_ids = np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
                 scores, found = search(np.frombuffer(qdata, "<i8").reshape(qn, -1), q_ids, np.frombuffer(data, "<i8").reshape(n, -1), d_ids, k)
-                has = [f >= 0 if (d_ids >= 0).all() else s > -(1 << 62) for f, s in zip(found, scores)]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array([s[h].astype(np.int64) for s, h in zip(scores, has)], schema.field(1).type), pa.array([f[h] for f, h in zip(found, has)], schema.field(2).type)], schema=schema)
+                has = [s > (NONE if scores.dtype == object else -(1 << 62)) for s in scores]
+                longs = [np.array([max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in s[h]], np.int64) if scores.dtype == object else s[h] for s, h in zip(scores, has)]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(longs, schema.field(1).type), pa.array([f[h] for f, h in zip(found, has)], schema.field(2).type)], schema=schema)
 
     parts = pairs.select("qn", "qids", "qdata", "n", "ids", "data").mapInArrow(run, "query_id long, score array<long>, vec_id array<long>")
-    scored = F.arrays_zip(F.transform("score", lambda x: -x).alias("s"), F.col("vec_id").alias("v"))
+    scored = F.arrays_zip(F.transform("score", lambda x: F.bitwise_not(x)).alias("s"), F.col("vec_id").alias("v"))  # ~x falls as x rises, and always fits
     best = parts.select("query_id", scored.alias("top")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
     out = best.select("query_id", F.posexplode("top").alias("p", "t"))
-    return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("t.v").alias("vec_id"), (-F.col("t.s")).alias("score"))
+    return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("t.v").alias("vec_id"), F.bitwise_not(F.col("t.s")).alias("score"))
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

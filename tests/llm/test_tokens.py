@@ -31,8 +31,10 @@ def key(r):
 def test_elias_fano_selects_every_value():
     for values in ([0], [0, 0, 0], [0, 5, 5, 90], list(range(0, 9000, 7)), [0, *[1 << 33] * 600]):
         ef = token_files.EliasFano.build(np.array(values))
-        assert ef.all().tolist() == values
         assert [ef.select(i) for i in range(len(values))] == values
+        for i in range(0, len(values), 97):
+            k = min(257, len(values) - i)
+            assert ef.window(i, k).tolist() == values[i : i + k]
 
 
 def test_files_hold_the_ids_of_the_library(spark):
@@ -57,8 +59,7 @@ def test_chunks_encode_and_decode_as_the_library(spark, monkeypatch, bits):
     t = library(WORD)
     odd = ["<|endoftext|> a<|startoftext|>b", "é e ́x", "don't 'S it's'll", "a b c\r\nd\x0be", "日本語テキスト" * 40, "x" * 5000 + " y", "1234 5.6,7 !!?? -- ..."]
     texts = [*(r[1] or "" for r in rows()), *odd, " ".join(odd * 20)]
-    got = chunked_bpe.ChunkEncoder(WORD)
-    t.encode_special_tokens = True
+    got = chunked_bpe.ChunkEncoder(WORD, added_tokens=True)
     for x, data in zip(texts, got.encode(texts)):
         want = t.encode(x, add_special_tokens=False).ids
         assert np.frombuffer(data, "<u4").tolist() == want
@@ -125,6 +126,38 @@ def test_documents_go_to_the_cheapest_sequence_with_room():
     assert [(d, n, j) for d, _, n, j, _ in packing.assign(lengths, capacity)] == want
 
 
+def test_slack_leaves_more_documents_whole():
+    lengths = [40 + i * i * 7919 % 1900 for i in range(1500)]
+    total = sum(lengths)
+    loose, tight = (packing.assign(lengths, 2048, slack=s) for s in (packing.SLACK, 0.0))
+    assert len(loose) < len(tight)
+    for made in (loose, tight):
+        used = {}
+        for d, start, n, q, offset in sorted(made, key=lambda x: (x[3], x[4])):
+            assert used.get(q, 0) == offset
+            used[q] = offset + n
+        assert sum(used.values()) == total and max(used.values()) <= 2048
+        assert sum(2048 - n for n in used.values() if n & (n - 1)) <= 0.01 * total
+        cost = {}
+        for _, _, n, q, _ in made:
+            cost[q] = cost.get(q, 0) + n + n * n / 2048
+    assert len({d for d, *_ in loose}) == len(lengths)
+
+
+def test_joins_that_disagree_are_encoded_whole(monkeypatch):
+    got = chunked_bpe.ChunkEncoder(WORD, added_tokens=True)
+    text = " ".join(f"word{i} and" for i in range(400))
+    want = np.array(library(WORD).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(got, "_words", {"": b"", "and": b"\0\0\0\0"})  # a wrong memo
+    assert len(chunked_bpe.cuts(text)) > 3 and got.encode([text]) == [want]
+
+
+def test_rows_of_one_doc_id_have_an_order(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7} of one id") for i in range(60)] + [(None, f"none {i}") for i in range(9)], "doc_id long, text string")
+    runs = [sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_files.digest(token_files.scan(token_files.write(docs.repartition(n), BYTE, shared_dir(spark), end_id=2))).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 69
+
+
 def test_added_tokens_in_texts_are_those_of_the_library(spark):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|ENDOFTEXT|>y <|startoftext|> <|", "plain words", " tail <|endoftext|>\n next", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)

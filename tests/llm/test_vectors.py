@@ -60,6 +60,40 @@ def test_topk_equals_brute_force(spark, rows, monkeypatch, block):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_topk_of_huge_components(spark):
+    data = [(0, [1e9, -3e9, 2.0]), (5, [-1e15, 1e15, 1.0]), (20, [-1e30, 0.0, 1.0]), (40, [1e17, 1e17, -1e17]), (60, [1e17, 1e17, 1e17]), (60, [0.5, 0.25, -0.01])]
+    docs = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(2)
+    good = [(i, [math.floor(64 * c) for c in v]) for i, v in data if i != 20]
+    want = []
+    for q, x in good:
+        if q % 20 == 0:
+            scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x, y)))), i) for i, y in good if i != q)
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+    got = topk.top_k(docs, F.col("vec_id") % 20 == 0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got if r.query_id != 60} == {w for w in want if w[0] != 60}
+
+
+def test_blocks_of_far_clusters_are_not_scored():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 32)) * 300
+    docs = np.floor(centres[r.integers(40, size=4000)] + r.normal(size=(4000, 32)) * 8).astype(np.int64)
+    scored = []
+    ids = np.arange(4000)
+    best, _ = topk.search(docs[::50], ids[::50], docs, ids, 20, scored=scored)
+    full = docs[::50] @ docs.T
+    full[np.arange(80), ids[::50]] = -(1 << 62)
+    assert (best == -np.sort(-full, 1)[:, :20]).all()
+    assert scored[0] < 0.35 * scored[1]
+
+
+def test_near_vectors_of_tiny_and_huge_components(spark):
+    data = [(0, [1e-200, 0.0]), (1, [2e-200, 1e-205]), (2, [1.0, 0.0]), (3, [0.0, 3e200]), (4, [1e180, 5e200]), (5, [-1.0, 0.0]), (6, [0.0, 0.0]), (7, [5e-324, 0.0]), (2, [1.0, 0.0])]
+    got = near_vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 4, 0), (1, 4, 0), (2, 4, 0), (2, 4, 0), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 0, 6), (7, 4, 0)]
+
+
 def test_topk_few_or_no_candidates(spark, rows):
     assert topk.top_k(frame(spark, rows).limit(0), F.col("vec_id") % 20 == 0).collect() == []
     two = topk.top_k(frame(spark, rows[:2]), F.lit(True)).collect()
