@@ -20,10 +20,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language (null, empty or no letter); the others get the predicted one as their lang."""
+    """Rejects texts without a language (null, empty or no letter); the others get the predicted one as their lang, or keep their own where nothing could be learned."""
     training = docs.filter(~F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)))
-    out = language.identify(docs, training, keep=("text", "source", "n_chars"))
-    return out.filter(F.col("lang_pred") != language.UNDETERMINED).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+    out = language.identify(docs, training, keep=("text", "lang", "source", "n_chars"))
+    known = F.col("lang_pred") != language.UNDETERMINED
+    out = out.filter(known | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return out.withColumn("lang", F.when(known, F.col("lang_pred")).otherwise(F.col("lang"))).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occur again out of the texts; half characters at the cuts become replacement characters, null texts empty."""
-    out = repeats.remove(docs, keep=("doc_id", "lang", "source", "n_chars"))
+    """Cuts passages of repeats.PASSAGE bytes or more, some 40 words, that occur again out of the texts; half characters at the cuts become replacement characters, null texts empty."""
+    out = repeats.remove(docs, repeats.PASSAGE, keep=("doc_id", "lang", "source", "n_chars"))
     return _counted(out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))))
 
 
