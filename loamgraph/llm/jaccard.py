@@ -55,7 +55,7 @@ def _least(n: int, percent: int) -> int:
 
 
 def _bucket(n: int, percent: int) -> int:
-    """Sizes of a pair lie in the same bucket or in neighbouring ones."""
+    """Sizes of a pair lie in the same bucket or in neighbouring ones; buckets are below 2 ** 16."""
     return int(math.log(n) / (math.log(100 / percent) * 1.000001)) if percent < 100 else n
 
 
@@ -323,6 +323,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     classes = stored(known.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "rid")).alias("r")).select("s1", "s2", F.col("r.doc_id").alias("node"), F.col("r.rid").alias("rid")))
     narrow = rows.filter("least IS NOT NULL").select("rid", "s1", "s2", "n", "least", "bucket", "first", "prefix")
     cand = _meeting(narrow.join(classes.select("rid", "node"), "rid").select("node", "s1", "s2", "n", "least", "bucket", "first", "prefix"))
+    # Those that met others only which went themselves go too.
+    cand, before = _meeting(cand), cand
+    forget(before)
     first = _near_first(docs, cand, words, percent)
     # Groups: those similar to the first of their key, the others of the key, and single nodes.
     sorts = first.select("node", F.when(F.col("ok"), F.col("centre")).otherwise(F.col("node")).alias("part"), F.when(F.col("ok"), 1).otherwise(2).alias("kind"))
@@ -334,14 +337,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     grouped = placed.join(sizes, "key").withColumn("group", F.xxhash64("key", "bucket", F.pmod(F.xxhash64("node"), F.col("split")))).drop("key", "split")
     grouped = stored(grouped)
     forget(placed, cand)
-    # The matrix: a row for each prefix shingle and group.
-    matrix = grouped.select("group", "part", "least", "bucket", F.explode("prefix").alias("token")).groupBy("token", "bucket", "group")
-    matrix = stored(matrix.agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("least").alias("least"), F.count("*").alias("k")))
-    left = matrix.select("token", "bucket", F.col("group").alias("g1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.col("least").alias("least1"))
-    right = matrix.select("token", F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("own"), F.col("group").alias("g2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("least").alias("least2"))
-    met = left.join(right, ["token", "bucket"]).filter("(own > bucket OR g1 < g2) AND NOT (low1 = high1 AND low2 = high2 AND low1 = low2)")
+    # The matrix: a row for each prefix shingle and group; of groups of one part, that part.
+    cell = F.shiftleft(F.col("token").cast("long"), 16) + F.col("bucket")
+    matrix = grouped.select("group", "part", "least", "bucket", F.explode("prefix").alias("token")).select(cell.alias("cell"), "bucket", "group", "part", "least").groupBy("cell", "bucket", "group")
+    matrix = stored(matrix.agg(F.when(F.min("part") == F.max("part"), F.min("part")).alias("pure"), F.min("least").cast("int").alias("least"), F.count("*").cast("int").alias("k")))
+    left = matrix.select("cell", F.col("group").alias("g1"), F.col("pure").alias("pure1"), F.col("least").alias("least1"))
+    right = matrix.select("cell", F.lit(False).alias("next"), F.col("group").alias("g2"), F.col("pure").alias("pure2"), F.col("least").alias("least2"))
+    right = right.unionByName(right.select(F.col("cell") - 1, F.lit(True), "g2", "pure2", "least2").toDF(*right.columns))
+    met = left.join(right, "cell").filter("(next OR g1 < g2) AND NOT coalesce(pure1 = pure2, false)")
     pairs = met.groupBy("g1", "g2").agg(F.count("*").alias("k"), F.min("least1").alias("least1"), F.min("least2").alias("least2")).filter("k >= greatest(least1, least2)").select("g1", "g2")
-    own = matrix.filter("k > 1 AND low < high").groupBy("group").agg(F.count("*").alias("k"), F.min("least").alias("least")).filter("k >= least").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
+    own = matrix.filter("k > 1 AND pure IS NULL").groupBy("group").agg(F.count("*").alias("k"), F.min("least").alias("least")).filter("k >= least").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
     pairs = stored(pairs.unionByName(own))
     forget(matrix)
     wanted = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()

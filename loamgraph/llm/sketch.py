@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from loamgraph.llm._common import Bits
 
-SLOT_BITS, PART_BITS = 27, 22
+SLOT_BITS, PART_BITS = 28, 22
 SCHEMA = "part int, slots binary"
 #: Counters that a task gathers before it sends them.
 HELD = 2_000_000
