@@ -21,7 +21,7 @@ from loamgraph.llm._common import resident
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Bounds of the memo: pre-tokens, and their characters.
-MEMO_ENTRIES, MEMO_CHARS = 600_000, 16_000_000
+MEMO_ENTRIES, MEMO_CHARS = 1_200_000, 16_000_000
 #: Missing words are encoded so many at a time, as one text.
 JOINED = 2000
 
