@@ -52,11 +52,6 @@ def intent(question: Column) -> Column:
     return out
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 # The same in SQL, for the oracle.
 def sql_terms(x: str) -> str:
     raw = f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:[-/][a-z0-9]+)*')"

@@ -1,0 +1,33 @@
+"""Vectors as arrays: norms once for each row, products as one expression."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Up to this width a product is written out, so that it compiles as a whole.
+WRITTEN_OUT = 256
+
+
+def _unit(x: Column) -> Column:
+    """The vector as doubles by its norm; null if it is null, empty or zero."""
+    doubles = F.transform(x, lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))
+    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(norm > 0, F.transform(doubles, lambda v: v / norm))
+
+
+def prepared(rows: DataFrame, queries: DataFrame, vec: str = "embedding", query: str = "query") -> tuple[DataFrame, DataFrame, int]:
+    """Both with unit vectors, and the largest width."""
+    width = rows.agg(F.max(F.size(vec))).first()[0] or 0
+    return rows.withColumn(vec, _unit(F.col(vec))), queries.withColumn(query, _unit(F.col(query))), width
+
+
+def cosine(a: Column, b: Column, width: int) -> Column:
+    """Of two prepared vectors; 0 where one is null or their widths differ."""
+    if 0 < width <= WRITTEN_OUT:
+        dot = reduce(lambda x, y: x + y, [F.coalesce(F.get(a, F.lit(i)) * F.get(b, F.lit(i)), F.lit(0.0)) for i in range(width)])
+    else:
+        dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.coalesce(F.size(a) == F.size(b), F.lit(False)), dot).otherwise(0.0)

@@ -1,88 +1,180 @@
-"""Search and ranking: exact vector top-k, trigram keywords, and the hybrid of terms and trigrams."""
+"""Search and ranking: exact vector top-k, literal and trigram keywords, and the hybrid of terms and trigrams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
+from loamgraph.functions.vectors import cosine, prepared
 from loamgraph.sources.bindings import source_documents, table
 
 MINIMUM = 0.1
+#: Characters of a document in which terms count.
+HEAD = 5000
 
 
-def candidates(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, document_id, hits): distinct question terms that a document holds, for pairs with any.
+def shared(questions: DataFrame, docs: DataFrame, of_question: Column, of_document: Column) -> DataFrame:
+    """(item_id, document_id, n): how many values of two arrays without repeats a question and a document share, for pairs that share any.
 
-    An equi join on terms: only terms of questions reach the shuffle.
+    Only values of questions leave the documents, and each task adds up its documents' pairs before they are shuffled.
     """
-    asked = questions.select("item_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
-    held = docs.select("document_id", F.explode(T.signal_terms(F.col("content"))).alias("term"))
-    return held.join(asked, "term").groupBy("item_id", "document_id").agg(F.count("*").alias("hits"))
+    asked = questions.select("item_id", F.explode(of_question).alias("value"))
+    held = docs.select("document_id", F.explode(of_document).alias("value"))
+    return held.join(asked, "value").groupBy("item_id", "document_id").agg(F.count("*").alias("n"))
 
 
-def keyword_pairs(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates with their trigram similarity of at least MINIMUM; set sizes rule out most before the sets meet.
+def _grams(text: Column) -> Column:
+    return F.transform(T.trigrams(text), lambda g: F.xxhash64(g))
 
-    Only ids and counts of pairs are shuffled: a document's questions are gathered to its one
-    row, and its text and trigrams (64-bit hashes) meet theirs where it lies.
+
+def trigram_pairs(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, document_id, n, nq, nd, similarity): shared trigrams, those of each side, and what of all of them is shared."""
+    q = questions.select("item_id", _grams(F.col("text")).alias("grams"))
+    d = docs.select("document_id", _grams(F.col("content")).alias("grams"))
+    both = q.select("item_id", F.explode("grams").alias("gram"), F.size("grams").alias("nq"))
+    pairs = d.select("document_id", F.explode("grams").alias("gram"), F.size("grams").alias("nd")).join(both, "gram").groupBy("item_id", "document_id", "nq", "nd").agg(F.count("*").alias("n"))
+    return pairs.withColumn("similarity", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6))
+
+
+def literal_matches(questions: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(item_id, document_id) of documents that hold a question literally, whatever its case.
+
+    All words of a question but the first and the last then are words of the document, with all
+    their trigrams, so few pairs are looked at. Questions of one word or two have no such words:
+    these few meet all documents.
     """
-    grams = lambda c: F.transform(T.trigrams(F.col(c)), lambda g: F.xxhash64(g))
-    q = questions.select("item_id", F.col("text").alias("question"), grams("text").alias("q"))
-    asked = candidates(questions, docs).groupBy("document_id").agg(F.collect_list(F.struct("item_id", "hits")).alias("asked"))
-    d = docs.join(asked, "document_id").select("document_id", "content", "asked", grams("content").alias("d"))
-    pairs = d.select("document_id", "content", "d", F.explode("asked").alias("p")).select("document_id", "content", "d", "p.*").join(q, "item_id")
-    sized = pairs.filter(F.least(F.size("q"), F.size("d")) >= MINIMUM * F.greatest(F.size("q"), F.size("d")))
-    both = F.size(F.array_intersect("q", "d"))
-    return sized.withColumn("similarity", F.round(both / (F.size("q") + F.size("d") - both), 6)).filter(F.col("similarity") >= MINIMUM)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    sized = questions.withColumn("w", words).withColumn("inner", F.size(F.array_distinct(_grams(F.array_join(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), " ")))))
+    holds = F.contains(F.lower("content"), F.lower("text"))
+    likely = pairs.join(sized.filter("inner > 0").select("item_id", "text", "inner"), "item_id").filter("n >= inner").select("item_id", "document_id", "text")
+    found = likely.join(docs.select("document_id", "content"), "document_id").filter(holds).select("item_id", "document_id")
+    short = sized.filter("inner = 0 AND text <> ''").select("item_id", "text")
+    return found.unionByName(docs.join(short, holds).select("item_id", "document_id"))  # a stated query set against all rows
+
+
+def keyword_search(questions: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    """For each question at most ``limit`` documents: those that hold it literally (1.0), then by trigram similarity of at least MINIMUM; ties by id."""
+    pairs = trigram_pairs(questions, docs)
+    exact = literal_matches(questions, docs, pairs).select("item_id", "document_id", F.lit(1.0).alias("rank_score"), F.lit(1).alias("exact"))
+    similar = pairs.filter(F.col("similarity") >= MINIMUM).select("item_id", "document_id", F.col("similarity").alias("rank_score"), F.lit(0).alias("exact"))
+    both = exact.unionByName(similar).groupBy("item_id", "document_id").agg(F.max("exact").alias("exact"), F.max("rank_score").alias("rank_score"))
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("exact"), F.desc("rank_score"), "document_id"))).filter(F.col("rank") <= limit)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _head() -> Column:
+    """What of a document terms are looked for in."""
+    return F.concat_ws(" ", F.lower("title"), F.lower("doc_type"), F.lower(F.substring("content", 1, HEAD)))
+
+
+# Terms of a question, parts of a document's type, and what such a pair adds.
+BOOSTS = [
+    (["insurance", "policy", "coverage", "premium"], ["insurance", "policy"], 0.12),
+    (["tax", "irs", "return", "w-2", "1099"], ["tax", "financial"], 0.12),
+    (["medical", "doctor", "diagnosis", "medication", "lab", "labs", "blood", "bloodwork"], ["medical"], 0.12),
+    (["mortgage", "loan", "escrow", "home"], ["mortgage", "statement", "contract"], 0.10),
+    (["vehicle", "auto", "car", "truck", "vin"], ["vehicle", "registration", "insurance"], 0.10),
+]
+
+
+def doc_type_boost(question: Column, doc_type: Column) -> Column:
+    """The boost of the first rule whose terms and types both occur."""
+    out = F.lit(0.0)
+    for terms, types, boost in reversed(BOOSTS):
+        out = F.when(T.contains_any(question, terms) & T.contains_any(doc_type, types), boost).otherwise(out)
+    return out
+
+
+def rerank(combined: Column, hits: Column, question: Column, doc_type: Column, content: Column) -> Column:
+    return combined + doc_type_boost(question, doc_type) + 0.18 * hits - F.when(T.contains_any(content, T.SUPERSEDED), 0.18).otherwise(0.0)
+
+
+def merge_ranked(vector: DataFrame, keyword: DataFrame) -> DataFrame:
+    """One row for each (item_id, document_id) of either side with vector_score, keyword_score and combined."""
+    v = vector.groupBy("item_id", "document_id").agg(F.max("similarity").alias("vector_score"))
+    k = keyword.groupBy("item_id", "document_id").agg(F.max("rank_score").alias("keyword_score"))
+    out = v.join(k, ["item_id", "document_id"], "full").fillna(0.0, ["vector_score", "keyword_score"])
+    return out.withColumn("combined", F.round(0.7 * F.col("vector_score") + 0.3 * F.col("keyword_score"), 7))
+
+
 def hybrid_rank_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each question the five best documents."""
-    score = 0.3 * F.col("similarity") + 0.18 * F.col("hits") - F.when(T.contains_any(F.col("content"), T.SUPERSEDED), 0.18).otherwise(0.0)
-    scored = keyword_pairs(_questions(spark, sf_dir), source_documents(spark, sf_dir)).select("item_id", "document_id", "hits", "similarity", F.round(score, 7).alias("score"))
+    """For each question the five best of all documents similar to it."""
+    questions, docs = _questions(spark, sf_dir), source_documents(spark, sf_dir)
+    pairs = trigram_pairs(questions, docs).filter(F.col("similarity") >= MINIMUM).select("item_id", "document_id", "similarity")
+    hits = shared(questions, docs, T.query_terms(F.col("text")), T.signal_terms(_head())).withColumnRenamed("n", "hits")
+    scored = pairs.join(hits, ["item_id", "document_id"], "left").join(questions, "item_id").join(docs.select("document_id", "doc_type", T.contains_any(F.col("content"), T.SUPERSEDED).alias("old")), "document_id")
+    score = 0.3 * F.col("similarity") + doc_type_boost(F.col("text"), F.col("doc_type")) + 0.18 * F.coalesce("hits", F.lit(0)) - F.when(F.col("old"), 0.18).otherwise(0.0)
+    scored = scored.select("item_id", "document_id", F.coalesce("hits", F.lit(0)).alias("hits"), "similarity", F.round(score, 7).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "document_id"))).filter("rank <= 5")
 
 
 def keyword_trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each question 15 documents: those that hold it literally, then the most similar."""
-    exact = F.contains(F.lower("content"), F.lower("question"))
-    scored = keyword_pairs(_questions(spark, sf_dir), source_documents(spark, sf_dir)).select("item_id", "document_id", F.when(exact, 1.0).otherwise(F.col("similarity")).alias("rank_score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("rank_score"), "document_id"))).filter("rank <= 15")
+    return keyword_search(_questions(spark, sf_dir), source_documents(spark, sf_dir), 15).select("item_id", "document_id", "rank_score", "rank")
+
+
+def keyword_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a question literally."""
+    questions, docs = _questions(spark, sf_dir), source_documents(spark, sf_dir)
+    return literal_matches(questions, docs, trigram_pairs(questions, docs))
 
 
-def _vectors(spark: SparkSession, sf_dir: str, same: bool) -> DataFrame:
+def vector_search(rows: DataFrame, queries: DataFrame, k: int, on: Column | None = None) -> DataFrame:
+    """query_id, vec_id, similarity, rank: each query's k most similar rows, ties to the smaller id, among those that ``on`` allows."""
+    rows, queries, width = prepared(rows, queries)
+    pairs = rows.crossJoin(queries) if on is None else rows.join(queries, on)  # a stated query set against all rows
+    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding"), width), 6).alias("similarity"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("rank") <= k)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), F.col("embedding").alias("query"))
-    pairs = rows.join(asked, F.col("label") == F.col("wanted")) if same else rows.crossJoin(asked)  # a stated query set against all rows
-    scored = pairs.select("query_id", "vec_id", F.round(T.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).filter("rank <= 20")
+    return rows, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), F.col("embedding").alias("query"))
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir, False)
+    return vector_search(*_vectors(spark, sf_dir), 20)
 
 
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir, True)
+    return vector_search(*_vectors(spark, sf_dir), 20, F.col("label") == F.col("wanted"))
+
+
+def vector_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Among the vectors of documents that carry a label of high quality only."""
+    rows, queries = _vectors(spark, sf_dir)
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("vec_id")).distinct()
+    return vector_search(rows.join(good, "vec_id", "left_semi"), queries, 20)
+
+
+def merged_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector and keyword results of the same questions as one ranking: the 25 best of each question."""
+    vectors = vector_topk(spark, sf_dir).select((F.col("query_id") / 20).cast("long").alias("item_id"), F.col("vec_id").alias("document_id"), "similarity")
+    merged = merge_ranked(vectors, keyword_trigram_search(spark, sf_dir))
+    return merged.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("combined"), "document_id"))).filter("rank <= 25")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_rank_top5, keyword_trigram_search, vector_topk, vector_topk_filtered)}
+QUERIES = {f.__name__: f for f in (hybrid_rank_top5, keyword_trigram_search, keyword_exact, vector_topk, vector_topk_filtered, vector_topk_scoped, merged_ranking)}
+_BOOST = "CASE " + " ".join(f"WHEN {T.sql_any('question', a)} AND {T.sql_any('doc_type', b)} THEN {x}::DOUBLE" for a, b, x in BOOSTS) + " ELSE 0::DOUBLE END"
 _PAIRS = f"""WITH q AS (SELECT item_id, text, {T.sql_query_terms('text')} AS terms, {T.sql_trigrams('text')} AS g FROM benchmark),
-d AS (SELECT doc_id AS document_id, coalesce(text, '') AS content, {T.sql_terms("coalesce(text, '')")} AS terms, {T.sql_trigrams("coalesce(text, '')")} AS g FROM documents),
-p AS (SELECT item_id, document_id, q.text AS question, content, len(list_intersect(q.terms, d.terms)) AS hits, len(list_intersect(q.g, d.g)) AS both_n, len(q.g) + len(d.g) AS n FROM q, d WHERE least(len(q.g), len(d.g)) >= {MINIMUM} * greatest(len(q.g), len(d.g))),
-s AS (SELECT *, round(both_n / (n - both_n), 6) AS similarity FROM p WHERE hits > 0)
+c AS (SELECT doc_id AS document_id, source AS doc_type, coalesce(text, '') AS content, lower('Document ' || doc_id || ' ' || source || ' ' || substr(coalesce(text, ''), 1, {HEAD})) AS head FROM documents),
+d AS (SELECT *, {T.sql_terms('head')} AS terms, {T.sql_trigrams('content')} AS g FROM c),
+p AS (SELECT item_id, document_id, q.text AS question, doc_type, content, len(list_intersect(q.terms, d.terms)) AS hits, len(list_intersect(q.g, d.g)) AS both_n, len(q.g) + len(d.g) AS n FROM q, d),
+s AS (SELECT *, round(both_n / (n - both_n), 6) AS similarity, contains(lower(content), lower(question)) AS exact FROM p)
 """
 _COSINE = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
 _VECTOR = f"SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON %s WHERE q.vec_id %% 20 = 0 QUALIFY rank <= 20"
+_KEYWORD = f"SELECT item_id, document_id, CASE WHEN exact THEN 1.0::DOUBLE ELSE similarity END AS rank_score, row_number() OVER (PARTITION BY item_id ORDER BY exact DESC, rank_score DESC, document_id) AS rank FROM s WHERE exact OR similarity >= {MINIMUM} QUALIFY rank <= 15"
 ORACLE_SQL = {
-    "hybrid_rank_top5": _PAIRS + f"SELECT item_id, document_id, hits, similarity, round(0.3::DOUBLE * similarity + 0.18::DOUBLE * hits - CASE WHEN {T.sql_any('content', T.SUPERSEDED)} THEN 0.18::DOUBLE ELSE 0 END, 7) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, document_id) AS rank FROM s WHERE similarity >= {MINIMUM} QUALIFY rank <= 5",
-    "keyword_trigram_search": _PAIRS + f"SELECT item_id, document_id, CASE WHEN contains(lower(content), lower(question)) THEN 1.0::DOUBLE ELSE similarity END AS rank_score, row_number() OVER (PARTITION BY item_id ORDER BY rank_score DESC, document_id) AS rank FROM s WHERE similarity >= {MINIMUM} QUALIFY rank <= 15",
+    "hybrid_rank_top5": _PAIRS + f"SELECT item_id, document_id, hits, similarity, round(0.3::DOUBLE * similarity + {_BOOST} + 0.18::DOUBLE * hits - CASE WHEN {T.sql_any('content', T.SUPERSEDED)} THEN 0.18::DOUBLE ELSE 0 END, 7) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, document_id) AS rank FROM s WHERE similarity >= {MINIMUM} QUALIFY rank <= 5",
+    "keyword_trigram_search": _PAIRS + _KEYWORD,
+    "keyword_exact": "SELECT item_id, doc_id AS document_id FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text))",
     "vector_topk": _VECTOR % "true",
     "vector_topk_filtered": _VECTOR % "q.label = e.label",
+    "vector_topk_scoped": _VECTOR % "e.vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "merged_ranking": _PAIRS + f", k AS ({_KEYWORD}), v AS ({_VECTOR % 'true'}), m AS (SELECT coalesce(v.query_id // 20, k.item_id) AS item_id, coalesce(v.vec_id, k.document_id) AS document_id, coalesce(v.similarity, 0)::DOUBLE AS vector_score, coalesce(k.rank_score, 0)::DOUBLE AS keyword_score FROM v FULL JOIN k ON v.query_id // 20 = k.item_id AND v.vec_id = k.document_id) SELECT *, round(0.7::DOUBLE * vector_score + 0.3::DOUBLE * keyword_score, 7) AS combined, row_number() OVER (PARTITION BY item_id ORDER BY combined DESC, document_id) AS rank FROM m QUALIFY rank <= 25",
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loamgraph.operators import archive, graph, search
+from loamgraph.operators import archive, entities, evidence, graph, names, planning, search
 
-QUERIES: dict = search.QUERIES | graph.QUERIES | archive.QUERIES
-ORACLE_SQL: dict[str, str] = search.ORACLE_SQL | graph.ORACLE_SQL | archive.ORACLE_SQL
+_PARTS = (search, graph, archive, planning, names, evidence, entities)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: f for part in _PARTS for k, f in part.ORACLE_SQL.items()}

@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, content, doc_type, content_hash; a null text is an empty one."""
+    """document_id, title, content, doc_type, content_hash; a null text is an empty one."""
     content = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), content.alias("content"), F.col("source").alias("doc_type"), F.sha2(content, 256).alias("content_hash"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), content.alias("content"), F.col("source").alias("doc_type"), F.sha2(content, 256).alias("content_hash"))
 
 
 def _id(prefix: str, column: str) -> F.Column:

@@ -25,17 +25,21 @@ def plain(v):
     return v
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+#: Beyond SQL: chunks, patterns with look-ahead, subsequences, greedy choice. test_rules.py compares them with plain Python.
+WITHOUT_SQL = {"chunk_documents", "structured_facts", "evidence_items", "evidence_documents", "evidence_coverage", "diversify_chunks", "fuzzy_candidates", "auto_merge_flags", "resolve_components"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - set(ORACLE_SQL) == WITHOUT_SQL and set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, con, name):
     got = QUERIES[name](spark, DATA)
     want = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     rows = want.fetchall()
-    assert rows or name == "orphan_nodes"
+    assert rows
     key = lambda r: tuple((v is None, v) for v in r)
     assert sorted((tuple(map(plain, r)) for r in got.select(*columns).collect()), key=key) == sorted((tuple(map(plain, r)) for r in rows), key=key)
