@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from loamgraph import streaming
 from loamgraph.operators import archive, entities, evidence, graph, names, planning, search
 
-_PARTS = (search, graph, archive, planning, names, evidence, entities)
+_PARTS = (search, graph, archive, planning, names, evidence, entities, streaming)
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: f for part in _PARTS for k, f in part.ORACLE_SQL.items()}
