@@ -180,8 +180,8 @@ def _meeting(nodes: DataFrame) -> DataFrame:
     return stored(nodes.mapInArrow(run, nodes.schema))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of these (node, s1, s2): a filter of fixed size spares most others the work."""
+def _with_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """These rows of (node, s1, s2, ...) with their shingles: a filter of fixed size spares most other documents the work."""
     spark = docs.sparkSession
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bits = spark.sparkContext.broadcast(filter_bits(nodes.select(slot("node").alias("h")), FILTER_BITS))
@@ -195,7 +195,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([s[k] for s in signs], pa.int64()) for k in (0, 1)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "s1", "s2", "shingles"])
 
     found = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("h")).mapInArrow(run, "node long, s1 long, s2 long, shingles binary")
-    return stored(found.join(nodes.select("node", "s1", "s2"), ["node", "s1", "s2"], "left_semi").select("node", "shingles"))
+    return nodes.join(found, ["node", "s1", "s2"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -220,9 +220,9 @@ def _near_first(docs: DataFrame, cand: DataFrame, words: int, percent: int) -> D
     key = ["first", "bucket"]
     centres = cand.groupBy(*key).agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select(*key, "centre")
     met = stored(cand.select("node", "s1", "s2", *key).join(centres, key).select("node", "s1", "s2", "centre"))
-    sets = _sets(docs, met, words)
-    x = met.filter("node <> centre").select("node", "centre").join(sets.select("node", F.col("shingles").alias("x")), "node")
-    y = sets.join(met.filter("node = centre").select("node"), "node", "left_semi").select(F.col("node").alias("centre"), F.col("shingles").alias("y"))
+    sets = stored(_with_sets(docs, met, words).select("node", "centre", "shingles"))
+    x = sets.filter("node <> centre").withColumnRenamed("shingles", "x")
+    y = sets.filter("node = centre").select("centre", F.col("shingles").alias("y"))
     out = stored(x.join(y, "centre").select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long, ok boolean").distinct())
     forget(met, sets)
     return out
@@ -352,9 +352,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     wanted = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
     members = stored(grouped.select("node", "s1", "s2", "group", "part").join(wanted, "group", "left_semi"))
     forget(grouped)
-    sets = _sets(docs, members, words)
-    records = stored(_records(members.select("node", "group", "part").join(sets, "node")))
-    forget(members, sets)
+    records = stored(_records(_with_sets(docs, members, words)))
+    forget(members)
     # Rows that share a doc_id and not their sets: the document is linked with the first node of each set.
     several = known.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("s2").alias("x2"), F.max("s2").alias("y2")).filter("x < y OR x2 < y2").select("doc_id")
     same = known.select("doc_id", "s1", "s2").join(several, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
