@@ -89,7 +89,7 @@ def frequent(sent: DataFrame, *least: tuple[int, int]) -> list[Bits]:
         def done() -> pa.RecordBatch:
             flush()
             some = [i for i, (kind, _) in enumerate(least) if kind == part // parts]
-            bits = [np.packbits(counts >= least[i][1], bitorder="little").tobytes() for i in some]
+            bits = [pa.compress(np.packbits(counts >= least[i][1], bitorder="little"), codec="zstd", asbytes=True) for i in some]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part % parts] * len(some), pa.int32()), pa.array(bits, pa.binary())], names=["i", "part", "bits"])
 
         for b in batches:
@@ -105,8 +105,10 @@ def frequent(sent: DataFrame, *least: tuple[int, int]) -> list[Bits]:
         if part is not None:
             yield done()
 
+    # Filters come to the driver compressed: of a fixed size at most, mostly far less.
+    rows = sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "i int, part int, bits binary").collect()
     out = [np.zeros(1 << (SLOT_BITS - 3), np.uint8) for _ in least]
     size = 1 << (PART_BITS - 3)
-    for r in sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "i int, part int, bits binary").collect():
-        out[r.i][r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    for r in rows:
+        out[r.i][r.part * size : (r.part + 1) * size] = np.frombuffer(pa.decompress(r.bits, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
     return [Bits(x) for x in out]
