@@ -27,17 +27,20 @@ JOINED = 2000
 
 
 def _pattern(letter: str, digit: str, other: str) -> str:
-    return rf"{CONTRACTIONS}| ?{letter}+| ?{digit}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+    # Letters come first, as most pre-tokens are words; no contraction begins like them.
+    return rf" ?{letter}+|{CONTRACTIONS}| ?{digit}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
 @functools.lru_cache(maxsize=1)
 def _finders() -> tuple:
-    """Splitters for texts of ASCII, for texts of Latin-1 whose numbers are all decimal digits, and for any; the first two are faster."""
+    """Splitters for texts of ASCII, of Latin-1 and any; classes written out are faster than properties."""
     import regex
 
+    every = [chr(i) for i in range(256)]
+    letters, digits = ("".join(c for c in every if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
     return (
         re.compile(_pattern("[A-Za-z]", "[0-9]", rf"[^{SPACE}A-Za-z0-9]")).findall,
-        re.compile(_pattern(r"[^\W\d_]", r"\d", rf"(?:[^{SPACE}\w]|_)")).findall,
+        re.compile(_pattern(f"[{letters}]", f"[{digits}]", f"[^{SPACE}{letters}{digits}]")).findall,
         regex.compile(_pattern(r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]")).findall,
     )
 
@@ -50,7 +53,7 @@ def pre_tokens(text: str) -> list[str]:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return full(text)
-    return full(text) if any(c in text for c in "\xb2\xb3\xb9\xbc\xbd\xbe") else latin(text)
+    return latin(text)
 
 
 def added_token_hint(tokenizer) -> re.Pattern:
