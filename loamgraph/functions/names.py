@@ -130,6 +130,28 @@ def distinctive(x: Column) -> Column:
     return F.array_sort(F.array_except(parts(x), strings(ORG_SUFFIXES)))
 
 
+def joint(x: Column) -> Column:
+    """The names of the people that one string of more than three words holds, else the string itself.
+
+    They stand on both sides of "&" or "and", a left one of at most two words then taking the last
+    word of the right; or they are two names of two to four words in a row, the first ending in a
+    word that the second holds too.
+    """
+    each = words(name(x))
+    n, both = F.size(each), F.array_join(each, " ")
+    pattern = r"^(.+?)\s+(?:&|(?i:and))\s+(.+)$"
+    left, right = F.regexp_extract(both, pattern, 1), F.regexp_extract(both, pattern, 2)
+    surname = F.element_at(words(right), -1)
+    lends = (F.size(words(left)) <= 2) & (F.size(words(right)) >= 2) & ~F.array_contains(words(F.lower(left)), F.lower(surname))
+    around = F.array(F.when(lends, F.concat(left, F.lit(" "), surname)).otherwise(left), right)
+
+    lower = F.transform(each, lambda w: F.lower(w))
+    ends = F.filter(F.array(*map(F.lit, (2, 3, 4))), lambda i: (n - i).between(2, 4) & (F.length(F.get(lower, i - 1)) >= 3) & F.array_contains(F.slice(lower, i + 1, F.greatest(n - i, F.lit(0))), F.get(lower, i - 1)))
+    end = F.get(ends, F.lit(0))
+    in_row = F.array(F.array_join(F.slice(each, F.lit(1), end), " "), F.array_join(F.slice(each, end + 1, n), " "))
+    return F.when((n > 3) & both.rlike(pattern), around).when((n >= 5) & (F.size(ends) > 0), in_row).otherwise(F.array(x))
+
+
 def steward_name(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), STEWARD_SUFFIXES, " "), "[^a-z0-9]+", " "))
 

@@ -16,7 +16,7 @@ from loamgraph.functions import fuzzy as Z
 from loamgraph.functions import names as N
 from loamgraph.functions import questions as Q
 from loamgraph.functions.vectors import cosine, prepared
-from loamgraph.operators import archive, entities, evidence, graph, search
+from loamgraph.operators import archive, entities, evidence, graph, resolution, search, status
 
 DATA = "/root/testdata/sf0.001"
 
@@ -198,3 +198,36 @@ def test_stream_keeps_the_last_version(spark, tmp_path):
         S.sync(spark.readStream.schema(S.DOCUMENTS).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), path)
     got = {r.document_id: (r.content, r.version) for r in S.read_state(spark, path, 2).collect()}
     assert got == {1: ("a2", 1), 2: ("b", 1), 3: ("c", 2)}
+
+
+def test_joint_names(spark):
+    x = F.col("x")
+    texts = ["Blake & Chelsea McCarn", "Blake T and Chelsea J McCarn", "BLAKE T MCCARN CHELSEA J MCCARN", "Doe Ann Kay & Doe Bob Lee", "Ann Doe", "One Two Three Four Five", ""]
+    assert values(spark, texts, N.joint(x)) == [
+        (["Blake McCarn", "Chelsea McCarn"],), (["Blake T McCarn", "Chelsea J McCarn"],), (["BLAKE T MCCARN", "CHELSEA J MCCARN"],), (["Doe Ann Kay", "Doe Bob Lee"],),
+        (["Ann Doe"],), (["One Two Three Four Five"],), ([""],),
+    ]
+    assert resolution.people(spark.createDataFrame([(None,), (" ",)], "name string")).count() == 0
+
+
+def test_resolving_organisations(spark):
+    known = spark.createDataFrame([("a", "Acme Rockets", ["Acme Rocketry"]), ("b", "Globex Partners", None)], "id string, name string, aliases array<string>")
+    named = spark.createDataFrame([(n,) for n in ["ACME ROCKETS", "acme rocketry", "Acme Rockets Inc", "Initech Systems", "initech systems", "ab", None, "Globex Partners"]], "name string")
+    got = {r.name: (r.id, r.how) for r in resolution.resolve_organisations(named, known).collect()}
+    assert got == {
+        "ACME ROCKETS": ("a", "exact"), "acme rocketry": ("a", "exact"), "Acme Rockets Inc": ("a", "alike"), "Globex Partners": ("b", "exact"),
+        "Initech Systems": ("new:initech systems", "created"), "initech systems": ("new:initech systems", "created"),
+    }
+    assert resolution.resolve_organisations(named, known.limit(0)).filter("how <> 'created'").count() == 0
+
+
+def test_scores_of_cases(spark):
+    schema = "id long, answer string, required_terms array<string>, required_docs array<long>, docs array<long>, confidence double, trust double, min_trust double"
+    rows = [(1, "The Due date", ["due"], [3], [3, 4], 0.4, 0.5, 0.5), (2, None, ["due"], [3, 2], None, 0.9, None, None), (3, "x", None, None, None, 0.2, None, None), (4, "x", None, None, None, 0.35, 0.1, 0.2)]
+    got = {r.id: (r.missing_terms, r.missing_docs, r.passed) for r in status.score_cases(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: ([], [], True), 2: (["due"], [2, 3], False), 3: ([], [], False), 4: ([], [], False)}
+
+
+def test_export_reads_back(spark, tmp_path):
+    tables = {"a": spark.range(3), "b": spark.range(0)}
+    assert {tuple(r) for r in resolution.export(tables, f"file://{tmp_path}/out").collect()} == {("a", 3), ("b", 0)}
