@@ -67,6 +67,12 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source's documents, dealt out by id where the files come in fewer splits than there are cores; pairs of a document are then added up where it lies."""
+    docs, cores = source_documents(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "document_id")
+
+
 def _head() -> Column:
     """What of a document terms are looked for in."""
     return F.concat_ws(" ", F.lower("title"), F.lower("doc_type"), F.lower(F.substring("content", 1, HEAD)))
@@ -104,7 +110,7 @@ def merge_ranked(vector: DataFrame, keyword: DataFrame) -> DataFrame:
 
 def hybrid_rank_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each question the five best of all documents similar to it."""
-    questions, docs = _questions(spark, sf_dir), source_documents(spark, sf_dir)
+    questions, docs = _questions(spark, sf_dir), _documents(spark, sf_dir)
     pairs = trigram_pairs(questions, docs).filter(F.col("similarity") >= MINIMUM).select("item_id", "document_id", "similarity")
     hits = shared(questions, docs, T.query_terms(F.col("text")), T.signal_terms(_head())).withColumnRenamed("n", "hits")
     scored = pairs.join(hits, ["item_id", "document_id"], "left").join(questions, "item_id").join(docs.select("document_id", "doc_type", T.contains_any(F.col("content"), T.SUPERSEDED).alias("old")), "document_id")
@@ -114,12 +120,12 @@ def hybrid_rank_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_search(_questions(spark, sf_dir), source_documents(spark, sf_dir), 15).select("item_id", "document_id", "rank_score", "rank")
+    return keyword_search(_questions(spark, sf_dir), _documents(spark, sf_dir), 15).select("item_id", "document_id", "rank_score", "rank")
 
 
 def keyword_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a question literally."""
-    questions, docs = _questions(spark, sf_dir), source_documents(spark, sf_dir)
+    questions, docs = _questions(spark, sf_dir), _documents(spark, sf_dir)
     return literal_matches(questions, docs, trigram_pairs(questions, docs))
 
 
