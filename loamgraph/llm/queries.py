@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgraph.llm import chunked_bpe, jaccard, language, near_vectors, packing, pii, repeats, suffix_tree, token_files, topk
+from loamgraph.llm import chunked_bpe, histogram_packing, jaccard, language, near_vectors, packing, pii, repeats, suffix_tree, token_files, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_vectors": near_vectors.op8_near_vectors,
     "op9_repeats": repeats.op9_repeats,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_best_fit": histogram_packing.op11_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {}
