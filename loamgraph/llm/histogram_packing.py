@@ -82,16 +82,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         encode = word_bpe.encoder(tokenizer)
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        end = b"" if end_id is None else np.array([end_id], encode.dtype).tobytes()
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        wide = encode.dtype.itemsize == 4
 
         def rows(ids_of: list[int | None], texts: list[str]) -> Iterator[pa.RecordBatch]:
             out = []
             for d, data in zip(ids_of, encode.encode(texts)):
-                ids = np.frombuffer(data + end, encode.dtype).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    x = ids[at : at + capacity]
-                    out.append((d, k, at, len(x), x.tobytes(), len(ids), part, seen[len(x)]))
-                    seen[len(x)] += 1
+                data = (data if wide else np.frombuffer(data, encode.dtype).astype("<u4").tobytes()) + end
+                total = len(data) // 4
+                for k, at in enumerate(range(0, total, capacity)):
+                    n = min(capacity, total - at)
+                    out.append((d, k, at, n, data[at * 4 : (at + n) * 4], total, part, seen[n]))
+                    seen[n] += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
