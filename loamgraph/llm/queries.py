@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgraph.llm import chunked_bpe, histogram_packing, jaccard, language, near_vectors, packing, pii, repeats, suffix_tree, token_files, topk
+from loamgraph.llm import chunked_bpe, hard_negatives, histogram_packing, jaccard, language, near_vectors, packing, pii, repeats, replay, suffix_tree, token_files, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_repeats": repeats.op9_repeats,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_best_fit": histogram_packing.op11_best_fit,
+    "op12_replay": replay.op12_replay,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_hard_negatives": hard_negatives.SQL}
