@@ -79,8 +79,10 @@ class VantageTree:
         while todo:
             at, path = todo.pop()
             if len(at) <= leaf:
+                y = full[at]
+                vantage.append(int(at[_distances(y, y.mean(0)).argmin()]))  # a leaf has a vantage point in its middle too: the only near one for most queries
                 self.leaves.append(at)
-                paths.append(np.array(path, np.int64))
+                paths.append(np.array([*path, len(vantage) - 1], np.int64))
                 continue
             v, near, far = _split(full, at)
             vantage.append(v)
@@ -97,11 +99,10 @@ class VantageTree:
         whole = (q * q).sum(1)[:, None] + self.m2
         slack = 2e-6 * np.sqrt(whole)
         d = np.sqrt(np.maximum(whole - 2 * (q @ self._points.T), 0))
-        near, far = np.zeros((len(q), len(self.leaves))), np.full((len(q), len(self.leaves)), np.inf)
+        near, far = (np.empty((len(q), len(self.leaves))) for _ in range(2))
         for j, (path, least, most) in enumerate(self._paths):
-            if len(path):
-                near[:, j] = np.maximum(d[:, path] - most, least - d[:, path]).max(1)
-                far[:, j] = (d[:, path] + most).min(1)
+            near[:, j] = np.maximum(d[:, path] - most, least - d[:, path]).max(1)
+            far[:, j] = (d[:, path] + most).min(1)
         near = np.maximum(near - slack, 0)
         return (whole - near**2) / 2 * (1 + 1e-9) + 1, (whole - (far + slack) ** 2) / 2 - 1e-9 * whole - 1
 
