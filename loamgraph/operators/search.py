@@ -2,65 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
-from loamgraph.functions.vectors import cosine, prepared
+from loamgraph.operators import blocksearch as B
+from loamgraph.operators.blocksearch import BOOSTS, HEAD, MINIMUM
 from loamgraph.sources.bindings import source_documents, table
 
-MINIMUM = 0.1
-#: Characters of a document in which terms count.
-HEAD = 5000
-
-
-def shared(questions: DataFrame, docs: DataFrame, of_question: Column, of_document: Column) -> DataFrame:
-    """(item_id, document_id, n): how many values of two arrays without repeats a question and a document share, for pairs that share any.
-
-    Only values of questions leave the documents, and each task adds up its documents' pairs before they are shuffled.
-    """
-    asked = questions.select("item_id", F.explode(of_question).alias("value"))
-    held = docs.select("document_id", F.explode(of_document).alias("value"))
-    return held.join(asked, "value").groupBy("item_id", "document_id").agg(F.count("*").alias("n"))
-
-
-def _grams(text: Column) -> Column:
-    return F.transform(T.trigrams(text), lambda g: F.xxhash64(g))
-
-
-def trigram_pairs(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, document_id, n, nq, nd, similarity): shared trigrams, those of each side, and what of all of them is shared."""
-    q = questions.select("item_id", _grams(F.col("text")).alias("grams"))
-    d = docs.select("document_id", _grams(F.col("content")).alias("grams"))
-    both = q.select("item_id", F.explode("grams").alias("gram"), F.size("grams").alias("nq"))
-    pairs = d.select("document_id", F.explode("grams").alias("gram"), F.size("grams").alias("nd")).join(both, "gram").groupBy("item_id", "document_id", "nq", "nd").agg(F.count("*").alias("n"))
-    return pairs.withColumn("similarity", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6))
-
-
-def literal_matches(questions: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(item_id, document_id) of documents that hold a question literally, whatever its case.
-
-    All words of a question but the first and the last then are words of the document, with all
-    their trigrams, so few pairs are looked at. Questions of one word or two have no such words:
-    these few meet all documents.
-    """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    sized = questions.withColumn("w", words).withColumn("inner", F.size(F.array_distinct(_grams(F.array_join(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), " ")))))
-    holds = F.contains(F.lower("content"), F.lower("text"))
-    likely = pairs.join(sized.filter("inner > 0").select("item_id", "text", "inner"), "item_id").filter("n >= inner").select("item_id", "document_id", "text")
-    found = likely.join(docs.select("document_id", "content"), "document_id").filter(holds).select("item_id", "document_id")
-    short = sized.filter("inner = 0 AND text <> ''").select("item_id", "text")
-    return found.unionByName(docs.join(short, holds).select("item_id", "document_id"))  # a stated query set against all rows
-
 
 def keyword_search(questions: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
     """For each question at most ``limit`` documents: those that hold it literally (1.0), then by trigram similarity of at least MINIMUM; ties by id."""
-    pairs = trigram_pairs(questions, docs)
-    exact = literal_matches(questions, docs, pairs).select("item_id", "document_id", F.lit(1.0).alias("rank_score"), F.lit(1).alias("exact"))
-    similar = pairs.filter(F.col("similarity") >= MINIMUM).select("item_id", "document_id", F.col("similarity").alias("rank_score"), F.lit(0).alias("exact"))
-    both = exact.unionByName(similar).groupBy("item_id", "document_id").agg(F.max("exact").alias("exact"), F.max("rank_score").alias("rank_score"))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("exact"), F.desc("rank_score"), "document_id"))).filter(F.col("rank") <= limit)
+    found = B.search(questions.withColumnRenamed("item_id", "qid"), docs.withColumn("chunk_index", F.lit(0)), {"keyword": limit})
+    return found.select(F.col("qid").alias("item_id"), "document_id", F.when(F.col("exact"), 1.0).otherwise(F.col("similarity")).alias("rank_score"), "rank")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,38 +23,11 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source's documents, dealt out by id where the files come in fewer splits than there are cores; pairs of a document are then added up where it lies."""
+    """The source's documents, dealt out by id where the files come in fewer splits than there are cores."""
     docs, cores = source_documents(spark, sf_dir), spark.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "document_id")
 
 
-def _head() -> Column:
-    """What of a document terms are looked for in."""
-    return F.concat_ws(" ", F.lower("title"), F.lower("doc_type"), F.lower(F.substring("content", 1, HEAD)))
-
-
-# Terms of a question, parts of a document's type, and what such a pair adds.
-BOOSTS = [
-    (["insurance", "policy", "coverage", "premium"], ["insurance", "policy"], 0.12),
-    (["tax", "irs", "return", "w-2", "1099"], ["tax", "financial"], 0.12),
-    (["medical", "doctor", "diagnosis", "medication", "lab", "labs", "blood", "bloodwork"], ["medical"], 0.12),
-    (["mortgage", "loan", "escrow", "home"], ["mortgage", "statement", "contract"], 0.10),
-    (["vehicle", "auto", "car", "truck", "vin"], ["vehicle", "registration", "insurance"], 0.10),
-]
-
-
-def doc_type_boost(question: Column, doc_type: Column) -> Column:
-    """The boost of the first rule whose terms and types both occur."""
-    out = F.lit(0.0)
-    for terms, types, boost in reversed(BOOSTS):
-        out = F.when(T.contains_any(question, terms) & T.contains_any(doc_type, types), boost).otherwise(out)
-    return out
-
-
-def rerank(combined: Column, hits: Column, question: Column, doc_type: Column, content: Column) -> Column:
-    return combined + doc_type_boost(question, doc_type) + 0.18 * hits - F.when(T.contains_any(content, T.SUPERSEDED), 0.18).otherwise(0.0)
-
-
 def merge_ranked(vector: DataFrame, keyword: DataFrame) -> DataFrame:
     """One row for each (item_id, document_id) of either side with vector_score, keyword_score and combined."""
     v = vector.groupBy("item_id", "document_id").agg(F.max("similarity").alias("vector_score"))
@@ -110,51 +38,39 @@ def merge_ranked(vector: DataFrame, keyword: DataFrame) -> DataFrame:
 
 def hybrid_rank_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each question the five best of all documents similar to it."""
-    questions, docs = _questions(spark, sf_dir), _documents(spark, sf_dir)
-    pairs = trigram_pairs(questions, docs).filter(F.col("similarity") >= MINIMUM).select("item_id", "document_id", "similarity")
-    hits = shared(questions, docs, T.query_terms(F.col("text")), T.signal_terms(_head())).withColumnRenamed("n", "hits")
-    scored = pairs.join(hits, ["item_id", "document_id"], "left").join(questions, "item_id").join(docs.select("document_id", "doc_type", T.contains_any(F.col("content"), T.SUPERSEDED).alias("old")), "document_id")
-    score = 0.3 * F.col("similarity") + doc_type_boost(F.col("text"), F.col("doc_type")) + 0.18 * F.coalesce("hits", F.lit(0)) - F.when(F.col("old"), 0.18).otherwise(0.0)
-    scored = scored.select("item_id", "document_id", F.coalesce("hits", F.lit(0)).alias("hits"), "similarity", F.round(score, 7).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "document_id"))).filter("rank <= 5")
+    found = B.search(_questions(spark, sf_dir).withColumnRenamed("item_id", "qid"), _documents(spark, sf_dir).withColumn("chunk_index", F.lit(0)), {"hybrid": 5})
+    score = F.round((F.col("key") - 10**7) / 10**7, 7)
+    return found.select(F.col("qid").alias("item_id"), "document_id", "hits", "similarity", score.alias("score"), "rank")
 
 
 def keyword_trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_search(_questions(spark, sf_dir), _documents(spark, sf_dir), 15).select("item_id", "document_id", "rank_score", "rank")
+    return keyword_search(_questions(spark, sf_dir), _documents(spark, sf_dir), 15)
 
 
 def keyword_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a question literally."""
-    questions, docs = _questions(spark, sf_dir), _documents(spark, sf_dir)
-    return literal_matches(questions, docs, trigram_pairs(questions, docs))
-
-
-def vector_search(rows: DataFrame, queries: DataFrame, k: int, on: Column | None = None) -> DataFrame:
-    """query_id, vec_id, similarity, rank: each query's k most similar rows, ties to the smaller id, among those that ``on`` allows."""
-    rows, queries, width = prepared(rows, queries)
-    pairs = rows.crossJoin(queries) if on is None else rows.join(queries, on)  # a stated query set against all rows
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding"), width), 6).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("rank") <= k)
+    found = B.literal_matches(_questions(spark, sf_dir).withColumnRenamed("item_id", "qid"), _documents(spark, sf_dir).withColumn("chunk_index", F.lit(0)))
+    return found.select(F.col("qid").alias("item_id"), "document_id")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    return rows, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), F.col("embedding").alias("query"))
+    return rows, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query"))
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search(*_vectors(spark, sf_dir), 20)
+    return B.nearest(*_vectors(spark, sf_dir), 20)
 
 
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search(*_vectors(spark, sf_dir), 20, F.col("label") == F.col("wanted"))
+    return B.nearest(*_vectors(spark, sf_dir), 20, "label")
 
 
 def vector_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Among the vectors of documents that carry a label of high quality only."""
     rows, queries = _vectors(spark, sf_dir)
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("vec_id")).distinct()
-    return vector_search(rows.join(good, "vec_id", "left_semi"), queries, 20)
+    return B.nearest(rows.join(good, "vec_id", "left_semi"), queries, 20)
 
 
 def merged_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rules beyond SQL against plain Python, and cases that the tables at hand do not hold."""
 
 import datetime
+import math
 import random
 import re
 
@@ -15,8 +16,7 @@ from loamgraph.functions import facts as X
 from loamgraph.functions import fuzzy as Z
 from loamgraph.functions import names as N
 from loamgraph.functions import questions as Q
-from loamgraph.functions.vectors import cosine, prepared
-from loamgraph.operators import archive, entities, evidence, graph, resolution, search, status
+from loamgraph.operators import archive, blocksearch, entities, evidence, graph, resolution, search, status
 
 DATA = "/root/testdata/sf0.001"
 
@@ -159,17 +159,47 @@ def test_literal_matches_of_long_texts(spark):
     long = "filler words here " * 400 + "the exact Phrase wanted stands here" + " more filler" * 300
     docs = spark.createDataFrame([(1, "t", long, "s"), (2, "t", "other words", "s"), (3, "t", "cat", "s"), (4, "t", "", "s"), (5, "t", "concatenate", "s")], "document_id long, title string, content string, doc_type string")
     asked = spark.createDataFrame([(10, "exact phrase wanted stands"), (11, "CAT"), (12, "act phrase wanted sta"), (13, ""), (14, "!!")], "item_id long, text string")
-    pairs = search.trigram_pairs(asked, docs)
-    assert {tuple(x) for x in search.literal_matches(asked, docs, pairs).collect()} == {(10, 1), (12, 1), (11, 3), (11, 5)}
+    found = blocksearch.literal_matches(asked.withColumnRenamed("item_id", "qid"), docs.withColumn("chunk_index", F.lit(0)))
+    assert {tuple(x) for x in found.select("qid", "document_id").collect()} == {(10, 1), (12, 1), (11, 3), (11, 5)}
     top = search.keyword_search(asked, docs, 15).filter("item_id = 10").orderBy("rank").collect()
     assert (top[0].document_id, top[0].rank_score) == (1, 1.0)
 
 
-def test_cosine_of_odd_vectors(spark):
-    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, None), (5, [3.0, 4.0])], "vec_id long, embedding array<float>")
-    a, b, width = prepared(rows, rows.select(F.col("embedding").alias("query")).filter("size(query) = 2 AND query[0] = 3"))
-    got = {r.vec_id: round(r.s, 6) for r in a.crossJoin(b).select("vec_id", cosine(F.col("query"), F.col("embedding"), width).alias("s")).collect()}
-    assert got == {1: 0.0, 2: 0.6, 3: 0.0, 4: 0.0, 5: 1.0}
+@pytest.mark.parametrize("vectors", [blocksearch.VECTORS, 7])
+def test_nearest_vectors_equal_brute_force(spark, monkeypatch, vectors):
+    monkeypatch.setattr(blocksearch, "VECTORS", vectors)
+    r = random.Random(3)
+    data = [(i, [float(r.randrange(-3, 4)) for _ in range(4)], i % 3) for i in range(60)]
+    data += [(100, [0.0, 0.0], 1), (101, [1.0, 0.0], 1), (102, [1.0], 1), (103, None, 1), (104, [3.0, 4.0], None), (105, [None, 4.0], 1), (106, [], 2)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)
+
+    def cosine(a, b):
+        a, b = ([x or 0.0 for x in v or []] for v in (a, b))
+        if len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b)), 6)
+
+    for group in (None, "label"):
+        got = blocksearch.nearest(rows, rows.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label"), 5, group).collect()
+        want = set()
+        for q, a, c in data:
+            if q % 5 == 0:
+                some = sorted((-cosine(a, b), i) for i, b, d in data if group is None or c is not None and c == d)[:5]
+                want |= {(q, i, -s, rank) for rank, (s, i) in enumerate(some, 1)}
+        assert {(x.query_id, x.vec_id, x.similarity, x["rank"]) for x in got} == want and len(got) == len(want)
+
+
+def test_blocks_of_questions_and_texts(spark, monkeypatch):
+    monkeypatch.setattr(blocksearch, "QUESTIONS", 2)
+    monkeypatch.setattr(blocksearch, "TEXTS", 3)
+    texts = [(i, i % 2, f"title {i}", "medical", f"blood test w-2/{i} no. {i % 4} prior version" if i % 3 else None) for i in range(20)]
+    docs = spark.createDataFrame(texts, "document_id long, chunk_index int, title string, doc_type string, content string").repartition(4)
+    asked = spark.createDataFrame([(1, "blood test w-2"), (2, ""), (3, None), (4, "title 7 w-2/7"), (5, "doctor no. 3")], "qid long, text string")
+    got = blocksearch.search(asked, docs, {"keyword": 4, "cosine": 3, "hybrid": 2}).collect()
+    assert {(x.qid, x.list) for x in got} == {(q, n) for q in (1, 4, 5) for n in ("keyword", "cosine", "hybrid")}
+    assert [(x.document_id, x.exact) for x in sorted(got, key=lambda x: x["rank"]) if (x.qid, x.list) == (1, "keyword")] == [(1, True), (2, True), (4, True), (5, True)]
+    assert next(x.document_id for x in got if (x.qid, x.list, x["rank"]) == (4, "cosine", 1)) == 7
+    assert blocksearch.search(asked.limit(0), docs, {"keyword": 4}).collect() == [] and blocksearch.search(asked, docs.limit(0), {"keyword": 4}).collect() == []
 
 
 def test_repair_leaves_no_drift(spark):
