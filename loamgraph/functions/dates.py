@@ -49,7 +49,7 @@ def source_date(content: Column) -> Column:
 def recency_boost(content: Column, as_of: Column) -> Column:
     """By the age of the date that the content begins a line with, on a stated day."""
     day = F.try_to_date(F.regexp_extract(content, r"(?m)^Date:\s*([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd")
-    age = F.greatest(F.datediff(as_of, day), F.lit(0))
+    age = F.when(day.isNotNull(), F.greatest(F.datediff(as_of, day), F.lit(0)))  # greatest() passes over nulls
     return F.when(age <= 90, 0.12).when(age <= 365, 0.08).when(age <= 730, 0.04).otherwise(0.0)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
@@ -129,36 +129,38 @@ def required_doc_types(domain_: Column) -> Column:
 def deduped(subqueries: Column) -> Column:
     """(role, query) structs without blank queries, the first of each query whatever its case, at most eight."""
     clean = F.filter(F.transform(subqueries, lambda x: F.struct(F.coalesce(F.when(x["role"] != "", x["role"]), F.lit("planned")).alias("role"), F.trim(x["query"]).alias("query"))), lambda x: x["query"] != "")
-    return F.slice(F.filter(clean, lambda x, i: F.array_position(F.transform(clean, lambda y: F.lower(y["query"])), F.lower(x["query"])) == i + 1), 1, 8)
+    seen = lambda kept, x: F.exists(kept, lambda y: F.lower(y["query"]) == F.lower(x["query"]))
+    first = F.aggregate(clean, F.array().cast("array<struct<role:string,query:string>>"), lambda kept, x: F.when(seen(kept, x), kept).otherwise(F.array_append(kept, x)))
+    return F.slice(first, 1, 8)
 
 
-def subqueries(question: Column, mode: Column) -> Column:
-    """The planned (role, query) structs of a question, in order."""
-    d = domain(question)
-    i = intent(question, mode)
+def _planned(question: Column, mode: Column, domain_: Column, intent_: Column, current: Column) -> Column:
     sub = lambda role, query: F.struct(F.lit(role).alias("role"), query.alias("query"))
     behind = lambda words: F.concat(question, F.lit(" " + words))
     none = F.lit(None).cast("struct<role:string,query:string>")
     deep = mode != "quick"
-    out = F.array(
-        sub("primary", question),
-        F.when(deep & requires_current(question, d, i), sub("current_state", behind(LATEST))).otherwise(none),
-        F.when(deep & (d != "general"), sub("domain_inventory", F.concat(d, F.lit(f" {INVENTORY} "), question))).otherwise(none),
-        F.when(deep & (i == "timeline"), sub("timeline_dates", behind(TIMELINE_DATES))).otherwise(none),
-        F.when(mode == "strict", sub("source_quality", behind(SOURCE_QUALITY))).otherwise(none),
-        F.when(mode == "strict", sub("contradiction_check", behind(CONTRADICTION))).otherwise(none),
+    return F.array_compact(
+        F.array(
+            sub("primary", question),
+            F.when(deep & current, sub("current_state", behind(LATEST))).otherwise(none),
+            F.when(deep & (domain_ != "general"), sub("domain_inventory", F.concat(domain_, F.lit(f" {INVENTORY} "), question))).otherwise(none),
+            F.when(deep & (intent_ == "timeline"), sub("timeline_dates", behind(TIMELINE_DATES))).otherwise(none),
+            F.when(mode == "strict", sub("source_quality", behind(SOURCE_QUALITY))).otherwise(none),
+            F.when(mode == "strict", sub("contradiction_check", behind(CONTRADICTION))).otherwise(none),
+        )
     )
-    return deduped(F.array_compact(out))
 
 
-def retrieval_queries(question: Column, mode: Column) -> Column:
-    """The sub-questions that are asked: one, six or eight by mode, with one for the current state where it is needed."""
-    planned = subqueries(question, mode)
-    d = domain(question)
-    wants = requires_current(question, d, intent(question, mode)) & ~F.exists(planned, lambda x: x["role"] == "current_state")
-    latest = F.struct(F.lit("current_state").alias("role"), F.trim(F.concat(F.get(planned, F.lit(0))["query"], F.lit(" " + LATEST))).alias("query"))
-    most = F.when(mode == "quick", 1).when(mode == "strict", 8).otherwise(6)
-    return F.slice(F.when(wants & (F.size(planned) > 0), F.array_append(planned, latest)).otherwise(planned), F.lit(1), most)
+def with_retrieval_queries(questions: DataFrame) -> DataFrame:
+    """questions (text, mode: normalised) with ``asked``: the sub-questions, one, six or eight by mode, with one for the current state where it is needed. Step by step, as each step is used many times by the next."""
+    out = questions.withColumn("_domain", domain(F.col("text"))).withColumn("_intent", intent(F.col("text"), F.col("mode")))
+    out = out.withColumn("_current", requires_current(F.col("text"), F.col("_domain"), F.col("_intent")))
+    out = out.withColumn("_asked", _planned(F.col("text"), F.col("mode"), F.col("_domain"), F.col("_intent"), F.col("_current"))).withColumn("_asked", deduped(F.col("_asked")))
+    wants = F.col("_current") & ~F.exists("_asked", lambda x: x["role"] == "current_state")
+    latest = F.struct(F.lit("current_state").alias("role"), F.trim(F.concat(F.get("_asked", F.lit(0))["query"], F.lit(" " + LATEST))).alias("query"))
+    most = F.when(F.col("mode") == "quick", 1).when(F.col("mode") == "strict", 8).otherwise(6)
+    asked = F.slice(F.when(wants & (F.size("_asked") > 0), F.array_append("_asked", latest)).otherwise(F.col("_asked")), F.lit(1), most)
+    return out.withColumn("asked", asked).drop("_domain", "_intent", "_current", "_asked")
 
 
 def entity_types(question: Column) -> Column:

@@ -38,7 +38,7 @@ def question_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sub-questions that are asked, in order from 1."""
     asked = _questions(spark, sf_dir).withColumn("mode", Q.normalize_mode(F.col("mode")))
-    out = asked.select("item_id", F.posexplode(Q.retrieval_queries(F.col("text"), F.col("mode"))).alias("p", "s"))
+    out = Q.with_retrieval_queries(asked).select("item_id", F.posexplode("asked").alias("p", "s"))
     return out.select("item_id", (F.col("p") + 1).cast("long").alias("position"), "s.role", "s.query")
 
 

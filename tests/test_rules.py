@@ -71,7 +71,7 @@ def test_names(spark):
 def test_modes_and_plans(spark):
     x = F.col("x")
     assert [r[0] for r in values(spark, ["fast", "STRICT", "high-stakes", "timeline", "x", "", None], Q.normalize_mode(x))] == ["quick", "strict", "strict", "timeline", "deep", "deep", "deep"]
-    got = values(spark, ["my insurance policy"], Q.retrieval_queries(x, F.lit("strict")))[0][0]
+    got = Q.with_retrieval_queries(spark.createDataFrame([("my insurance policy", "strict")], "text string, mode string")).first().asked
     assert [r.role for r in got] == ["primary", "current_state", "domain_inventory", "source_quality", "contradiction_check"]
     assert values(spark, ["bank tax loan"], Q.domain(x)) == [("mixed",)]
 
