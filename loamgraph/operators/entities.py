@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.functions import fuzzy as Z
@@ -10,39 +11,45 @@ from loamgraph.functions import names as N
 from loamgraph.sources.bindings import nodes, table
 
 LEAST = 82
-#: Signs in an order of falling rarity; any order gives the same pairs.
-RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "
 # Labels by the risk of a wrong merge.
 HIGH_RISK = ["Person", "Address", "MedicalResult", "Condition", "Contract", "InsurancePolicy", "FinancialItem", "DateEvent", "Event"]
 LOW_RISK = ["Organization", "Product", "System", "DocumentRef", "Location"]
 TERMINAL = ["ignore", "split", "merged", "never_merge", "auto_merged"]
 
 
-def _signs(name: Column) -> Column:
-    """Each sign of a name without blanks with the number of its occurrence, rare ones first: names that share a subsequence share so many of them."""
-    chars = F.filter(F.split(F.replace(name, F.lit(" "), F.lit("")), ""), lambda c: c != "")
-    numbered = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c))).alias("k"), F.instr(F.lit(RARE_FIRST), c).alias("o"), c.alias("c")))
-    return F.array_sort(numbered)
+def alike(strings: DataFrame, least: float) -> DataFrame:
+    """(a, b) of (s) distinct strings of 3 characters or more whose ratio can reach ``least`` (0.7 to 1); a < b. No such pair is lost.
 
-
-def candidates(named: DataFrame, least: int = LEAST) -> DataFrame:
-    """(label, a, b, score): pairs of distinct names of one label whose sorted words are at least so similar.
-
-    No pair is lost. A ratio of ``least`` percent needs so much in common that the lengths are
-    near and the rarest signs of a name, up to what may differ, hold one of the partner's; only
-    names that share such a sign and label are compared.
+    A ratio r of lengths m and n leaves a common subsequence of r (m + n) / 2, and each character
+    outside it breaks two bigrams of its own string and one of the other at most: so
+    (1.5 r - 1) (m + n) - 1 bigrams are common, and two strings share one of their rarest, as many
+    as they may lack and one more.
     """
-    share = least / (200 - least)  # of a name's length that a partner shares at least
-    distinct = named.select("label", "name").filter("name IS NOT NULL").distinct().withColumn("n", F.length("name")).withColumn("signs", _signs(F.col("name")))
-    size = F.size("signs")
-    # Blanks may be common too: a name has one fewer than words, and they are no signs here.
-    blanks = F.col("n") - size
-    need = F.greatest(F.ceil(share * F.col("n")) - blanks, F.lit(1))
-    first = distinct.select("label", "name", "n", F.explode(F.slice("signs", F.lit(1), (F.greatest(size - need + 1, F.lit(1))).cast("int"))).alias("sign"))
-    left = first.select("label", "sign", F.col("name").alias("a"), F.col("n").alias("na"))
-    right = first.select("label", "sign", F.col("name").alias("b"), F.col("n").alias("nb"))
+    share, common = least / (2 - least), 1.5 * least - 1
+    n = F.length("s")
+    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))
+    sized = strings.filter(n >= 3).select("s", n.alias("n"), grams.alias("grams"))
+    # A bigram's second and later occurrences are other bigrams.
+    numbered = F.transform("grams", lambda g, i: F.concat(g, F.size(F.filter(F.slice("grams", F.lit(1), i + 1), lambda d: d == g)).cast("string")))
+    sized = sized.select("s", "n", numbered.alias("grams"))
+    each = sized.select("s", "n", "grams", F.explode("grams").alias("g"))
+    counts = each.groupBy("g").agg(F.count("*").alias("many"))
+    need = F.greatest(F.lit(1), F.ceil(common * (1 + share) * F.col("n") - 1 - 1e-9))
+    rare = each.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("s").orderBy("many", "g"))).filter(F.col("r") <= F.col("n") - 1 - need + 1)
+    left, right = (rare.select("g", F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
     near = F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9
-    pairs = left.join(right, ["label", "sign"]).filter((F.col("a") < F.col("b")) & near).select("label", "a", "b").distinct()
+    enough = F.size(F.array_intersect("ga", "gb")) >= common * (F.col("na") + F.col("nb")) - 1 - 1e-9
+    return left.join(right, "g").filter((F.col("a") < F.col("b")) & near & enough).select("a", "b").distinct()
+
+
+def candidates(named: DataFrame, least: int = LEAST) -> DataFrame:
+    """(label, a, b, score): pairs of distinct names of one label whose sorted words are at least so similar. No pair is lost, see alike(); other than equal ones, names of fewer than three characters are like none."""
+    words = F.array_sort(F.filter(F.split("name", r"\s+"), lambda w: w != ""))
+    forms = named.select("label", "name").filter("name IS NOT NULL").distinct().withColumn("s", F.array_join(words, " "))
+    strings = forms.select("s").distinct()
+    found = alike(strings, least / 100).unionByName(strings.select(F.col("s").alias("a"), F.col("s").alias("b")))
+    left, right = (forms.select("label", F.col("name").alias(x), F.col("s").alias(y)) for x, y in (("x", "a"), ("y", "b")))
+    pairs = found.join(left, "a").join(right, ["label", "b"]).filter("x <> y").select("label", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.withColumn("score", F.round(Z.token_sort_ratio(F.col("a"), F.col("b")), 6)).filter(F.col("score") >= least)
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from loamgraph import streaming
-from loamgraph.operators import archive, entities, evidence, graph, names, planning, resolution, retrieval, search, status
+from loamgraph.operators import archive, cascade, entities, evidence, graph, names, planning, resolution, retrieval, search, status
 
-_PARTS = (search, graph, archive, status, planning, names, evidence, entities, resolution, retrieval, streaming)
+_PARTS = (search, graph, archive, status, planning, names, evidence, entities, resolution, cascade, retrieval, streaming)
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: f for part in _PARTS for k, f in part.ORACLE_SQL.items()}
