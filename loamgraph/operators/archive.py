@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamgraph.functions import salvage as J
 from loamgraph.functions import text as T
 from loamgraph.sources.bindings import source_documents, table
 
@@ -176,11 +177,17 @@ def log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "level", "message")
 
 
+def salvaged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of clicks with what could be read of those that are broken, and how."""
+    rows = table(spark, sf_dir, "clicks").select("click_id", J.salvaged(F.col("props")).alias("s"))
+    return rows.select("click_id", "s.how", F.get_json_object("s.json", "$.k").alias("k"), F.get_json_object("s.json", "$.device.os").alias("os"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         held_partition, hash_skip, drift_report, drift_repair_targets, deleted_documents, freshness, upsert_documents, classify_question, conversation_list, conversation_history,
-        conversation_context, conversation_first_title, chunks_first_k, log_tail, log_filter, run_progress, guardrail_alerts, event_counts,
+        conversation_context, conversation_first_title, chunks_first_k, log_tail, log_filter, run_progress, guardrail_alerts, event_counts, salvaged_records,
     )
 }
 _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END"
@@ -189,6 +196,7 @@ _INTENT = "CASE " + " ".join(f"WHEN {T.sql_any('text', terms)} THEN '{name}'" fo
 _IDS = "WITH src AS (SELECT doc_id FROM documents), stores AS (" + " UNION ALL ".join(f"SELECT '{k}' AS store, doc_id FROM documents WHERE doc_id % {n} <> 0 UNION ALL SELECT '{k}', (SELECT max(doc_id) FROM documents) + unnest([1, 2, 3])" for k, n in STORES.items()) + ")"
 _DRIFT = _IDS + ", drift AS (" + " UNION ALL ".join(f"SELECT '{k}' AS store, 'missing' AS kind, doc_id FROM (SELECT doc_id FROM src EXCEPT SELECT doc_id FROM stores WHERE store = '{k}') UNION ALL SELECT '{k}', 'extra', doc_id FROM (SELECT doc_id FROM stores WHERE store = '{k}' EXCEPT SELECT doc_id FROM src)" for k in STORES) + ")"
 ORACLE_SQL = {
+    "salvaged_records": "SELECT click_id, how, json_extract_string(j, '$.k') AS k, json_extract_string(j, '$.device.os') AS os FROM (SELECT click_id, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN json_valid(props) THEN 'whole' WHEN json_valid(props || '}') THEN 'closed' ELSE 'lost' END AS how, CASE WHEN json_valid(props) THEN props WHEN json_valid(props || '}') THEN props || '}' END AS j FROM clicks)",
     "held_partition": "SELECT doc_id AS document_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS held FROM documents",
     "hash_skip": "SELECT doc_id AS document_id, CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 <> 0 THEN 'skipped' ELSE 'processed' END AS status FROM documents",
     "drift_report": _DRIFT + " SELECT store, count_if(kind = 'missing') AS missing, count_if(kind = 'extra') AS extra FROM drift GROUP BY 1",

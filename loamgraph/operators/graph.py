@@ -40,6 +40,27 @@ def neighbours(edge: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def paths(edge: DataFrame, seeds: DataFrame, depth: int = 3, limit: int = 100) -> DataFrame:
+    """(seed, hops, node, nodes, steps): paths of 1 to ``depth`` edges in either direction from seeds (id), no edge twice.
+
+    Of a seed and a number of hops the first ``limit`` by their steps, from which the next hop goes
+    on: that bounds what a hub can add, as only so many paths of a seed meet its edges.
+    """
+    step = F.concat_ws("|", "src", "rel_type", "dst").alias("step")
+    both = edge.select(F.col("src").alias("at"), F.col("dst").alias("to"), step).unionByName(edge.filter("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), step))
+    none = F.array().cast("array<string>")
+    level = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.array("id").alias("nodes"), none.alias("steps")).distinct()
+    out = None
+    for hops in range(1, depth + 1):
+        more = level.join(both, level["node"] == both["at"]).filter(~F.array_contains("steps", F.col("step")))
+        level = more.select("seed", F.col("to").alias("node"), F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("steps", F.col("step")).alias("steps"))
+        first = F.row_number().over(W.partitionBy("seed").orderBy("steps", "nodes"))
+        level = level.withColumn("n", first).filter(F.col("n") <= limit).drop("n")
+        rows = level.select("seed", F.lit(hops).alias("hops"), "node", "nodes", "steps")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def inside(edge: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among these ids."""
     ids = ids.select("id").distinct()
@@ -160,6 +181,12 @@ def subgraph_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside(edges(asserted), neighbours(asserted, seeds, 3)).select("src", "rel_type", "dst")
 
 
+def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of up to three edges from three organisations and a person."""
+    found = paths(edges(assertions(spark, sf_dir)), nodes(spark, sf_dir).filter("id IN ('S-1', 'S-2', 'S-7', 'C-4')"))
+    return found.select("seed", "hops", "node", F.array_join("nodes", " ").alias("nodes"), F.array_join("steps", " ").alias("steps"))
+
+
 def node_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Organisations and places with how many edges of each kind and direction they have, and the first and last node there."""
     found = incident(edges(assertions(spark, sf_dir))).join(nodes(spark, sf_dir).filter("label IN ('Organization', 'Location')"), "id")
@@ -253,13 +280,18 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_counts, edge_weights, edge_last_writer, graph_degree, graph_initial_sample, initial_graph_edges, recent_docs_per_org, recent_docs_per_org_filtered, docs_by_entity_type,
-        docs_touching_types, document_entities, document_detail, node_neighbors_d2, subgraph_d3, node_detail, graph_search_terms, graph_search_label, find_by_name, visible_graph,
+        docs_touching_types, document_entities, document_detail, node_neighbors_d2, subgraph_d3, graph_paths, node_detail, graph_search_terms, graph_search_label, find_by_name, visible_graph,
         orphan_nodes, delete_document, delete_document_nodes, merge_nodes, merge_aliases, add_aliases,
     )
 }
 _DEGREE = ", degree AS (SELECT n.id, n.label, count(e.id) AS degree FROM nodes n LEFT JOIN ends e ON n.id = e.id GROUP BY ALL)"
 _HOPS = ", both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT id, 0 AS distance FROM nodes WHERE id LIKE 'R-%' UNION SELECT b.dst, w.distance + 1 FROM walk w JOIN both_ways b ON b.src = w.id WHERE w.distance < 2)"
+_LEVEL = "p%d AS (SELECT seed, to_ AS node, list_append(nodes, to_) AS nodes, list_append(steps, step) AS steps FROM p%d p JOIN b ON b.at_ = p.node WHERE NOT list_contains(steps, step) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY list_append(steps, step), list_append(nodes, to_)) <= 100)"
 ORACLE_SQL = {
+    "graph_paths": SQL
+    + ", s AS (SELECT src, dst, src || '|' || rel_type || '|' || dst AS step FROM edges), b AS (SELECT src AS at_, dst AS to_, step FROM s UNION ALL SELECT dst, src, step FROM s WHERE src <> dst), p0 AS (SELECT id AS seed, id AS node, [id] AS nodes, []::VARCHAR[] AS steps FROM nodes WHERE id IN ('S-1', 'S-2', 'S-7', 'C-4')), "
+    + ", ".join(_LEVEL % (i, i - 1) for i in (1, 2, 3))
+    + " " + " UNION ALL ".join(f"SELECT seed, {i} AS hops, node, array_to_string(nodes, ' ') AS nodes, array_to_string(steps, ' ') AS steps FROM p{i}" for i in (1, 2, 3)),
     "graph_counts": SQL + "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS relationships, (SELECT count(*) FROM nodes WHERE label = 'Document') AS documents, (SELECT count(*) FROM nodes WHERE label <> 'Document') AS entities",
     "edge_weights": SQL + "SELECT src, rel_type, dst, weight FROM edges",
     "edge_last_writer": SQL + "SELECT src, rel_type, dst, last_doc FROM edges",
@@ -282,7 +314,7 @@ ORACLE_SQL = {
     "merge_aliases": SQL + ", p AS (SELECT id, name, min(id) OVER (PARTITION BY string_split(name, ' ')[1]) AS keep FROM nodes WHERE label = 'Product') SELECT k.id, k.name, coalesce(array_to_string(list_sort(list_distinct(list(m.name) FILTER (m.name <> k.name))), '|'), '') AS aliases FROM p k LEFT JOIN p m ON m.keep = k.id AND m.id <> k.id WHERE k.id = k.keep GROUP BY ALL",
     "add_aliases": SQL + "SELECT id, array_to_string(list_concat([upper(name)], list_filter(list_sort(list_distinct([name, id])), lambda x: x <> upper(name))), '|') AS aliases FROM nodes WHERE label = 'Person'",
     "find_by_name": SQL + "SELECT * FROM nodes WHERE lower(name) IN ('africa', 'customer#000000001', 'nation_3', 'nation 3')",
-    "visible_graph": SQL + _DEGREE + ", s AS (SELECT id FROM degree WHERE label <> 'Document' AND degree >= 3) SELECT src, rel_type, dst FROM edges WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)",
+    "visible_graph": SQL + ", d AS MATERIALIZED (SELECT id, count(*) AS degree FROM ends GROUP BY 1), s AS MATERIALIZED (SELECT n.id FROM nodes n JOIN d ON d.id = n.id WHERE n.label <> 'Document' AND d.degree >= 3) SELECT e.src, e.rel_type, e.dst FROM edges e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst",
     "delete_document": SQL + "SELECT src, rel_type, dst, count(*) AS weight FROM assertions WHERE source_doc IS DISTINCT FROM 1 AND src <> 'doc-1' AND dst <> 'doc-1' GROUP BY ALL",
     "merge_nodes": SQL + ", m AS (SELECT id, min(id) OVER (PARTITION BY name) AS keep FROM nodes WHERE label = 'Product') SELECT src, rel_type, coalesce(m.keep, dst) AS dst, count(*) AS weight FROM assertions LEFT JOIN m ON dst = m.id GROUP BY ALL",
 }
