@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions import names as N
+from loamgraph.operators import names as M
 from loamgraph.sources.bindings import table
 
 #: Confidence below which an extracted entity or relationship is left out.
@@ -196,4 +197,13 @@ def extraction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"extraction_edges": extraction_edges}
-ORACLE_SQL: dict[str, str] = {}
+_EDGES = """WITH s AS (SELECT sale_id, client_id, status, total FROM (SELECT *, strftime(sold_at, '%Y-%m-%d') AS day FROM sales WHERE sale_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY sale_id ORDER BY client_id NULLS FIRST, status NULLS FIRST, total NULLS FIRST, day NULLS FIRST) = 1),
+c AS (SELECT client_id, min(name) AS client FROM clients GROUP BY 1), v AS (SELECT vendor_id, min(name) AS vendor FROM vendors GROUP BY 1), f AS (SELECT sale_id, min(vendor_id) AS vendor_id FROM sale_lines GROUP BY 1),
+r AS (SELECT s.sale_id AS document_id, coalesce(status, '') AS status, total, trim(client) AS client, trim(vendor) AS vendor FROM s LEFT JOIN c USING (client_id) LEFT JOIN f USING (sale_id) LEFT JOIN v USING (vendor_id)),
+named AS (SELECT document_id, 'INVOICED_BY' AS rel_type, 'Organization' AS label, vendor AS name FROM r WHERE status = 'done'
+UNION ALL SELECT document_id, 'CONTRACTED_WITH', NULL, client FROM r WHERE status = 'open' UNION ALL SELECT document_id, 'PARTY_TO', NULL, vendor FROM r WHERE status = 'open'
+UNION ALL SELECT document_id, 'PROVIDER_FOR', 'Organization', vendor FROM r WHERE status NOT IN ('done', 'open') UNION ALL SELECT document_id, 'COVERS', 'Person', client FROM r WHERE status NOT IN ('done', 'open')),
+made AS (SELECT document_id, CASE status WHEN 'done' THEN 'FinancialItem' WHEN 'open' THEN 'Contract' ELSE 'InsurancePolicy' END AS label, CASE WHEN status = 'done' THEN trunc(total)::BIGINT::VARCHAR END AS amount FROM r WHERE status <> 'done' OR total IS NOT NULL)
+SELECT document_id, 'Document' AS src_label, rel_type, coalesce(label, CASE WHEN regexp_matches(lower(name), '""" + "|".join(COMPANIES) + """') THEN 'Organization' ELSE 'Person' END) AS label, name, NULL::VARCHAR AS amount FROM named WHERE name <> '' AND """ + M._VALID + """
+UNION ALL SELECT document_id, 'Document', 'CONTAINS_RESULT', label, 'own', amount FROM made"""
+ORACLE_SQL = {"extraction_edges": _EDGES}
