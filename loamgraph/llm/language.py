@@ -96,7 +96,8 @@ class Model:
         self.symbols = np.zeros(0x110000, np.int16)
         self.symbols[alphabet] = np.arange(2, len(alphabet) + 2)
         self.automata = [Automaton(self.symbols[x].tolist(), len(alphabet) + 2) for x in texts]
-        self.cost = np.log2(np.array([len(x) for x in texts]) + 2)  # of a phrase
+        # Of a phrase: a place in the sample, but no less than a letter by itself, which any language could give.
+        self.cost = np.log2(np.maximum([len(x) for x in texts], len(alphabet)) + 2)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and characters by text."""

@@ -137,3 +137,14 @@ def test_languages_of_held_out_texts(spark):
     assert len(out) > 20 and all(got[i].lang_pred == lang[i] for i in out)
     assert [got[i].lang_pred for i in range(160, 163)] == [language.UNDETERMINED] * 3 and got[163].lang_pred in sounds
     assert all(0 <= x.score <= 1 for x in got.values())
+
+
+@pytest.mark.parametrize("odd", ["123 456", "ok", "OK, merci", "!!", "a"])
+def test_a_label_with_hardly_any_text_takes_none(odd):
+    r = random.Random(5)
+    tongues = {"aa": ["the", "and", "thing", "ing", "on", "water"], "bb": ["der", "und", "keit", "schen", "auf", "wasser"]}
+    text = lambda k, n: " ".join(r.choice(tongues[k]) + r.choice(["", "s", "er"]) for _ in range(n))
+    samples = {"aa": [text("aa", 60) for _ in range(20)], "bb": [text("bb", 60)], "zz": [odd]}  # unequal as well
+    asked = [(k, text(k, 12)) for k in ("aa", "bb") for _ in range(40)]
+    got, _ = language.Model(samples).predict([x for _, x in asked])
+    assert sum(k == g for (k, _), g in zip(asked, got)) >= 76 and "zz" not in got
