@@ -240,7 +240,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, group: str | None = Non
     place = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     grid = left.select(place(across).alias("a"), every(down).alias("b"), F.lit(False).alias("asked"), "*").unionByName(right.select(every(across).alias("a"), place(down).alias("b"), F.lit(True).alias("asked"), "*"))
-    grid = grid.filter("wanted IS NOT NULL").repartition("a", "b").sortWithinPartitions("a", "b", "asked")
+    return in_grid(grid, k)
+
+
+def in_grid(grid: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, similarity, rank of rows and queries (asked) that share a cell: a long, b long, asked, id long, wanted long (equal for those that may meet), vec array<double>."""
+    grid = grid.select("a", "b", "asked", "id", "wanted", "vec").filter("wanted IS NOT NULL").repartition("a", "b").sortWithinPartitions("a", "b", "asked")
 
     def unit(b: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Row numbers and unit vectors, by width."""

@@ -231,6 +231,36 @@ def evidence_pack(rows: DataFrame) -> DataFrame:
     return E.items(rows)
 
 
+def grades(items: DataFrame, of_sources: DataFrame, questions: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """(item_id, score, level, audit_status) of each question's evidence: its sources, dates, quality, terms, facts and, if given, claims (item_id, a count for each of evidence.STATUSES, status of their verification)."""
+    rules = questions.select("item_id", Q.requires_current(F.col("text"), Q.domain(F.col("text")), Q.intent(F.col("text"), Q.normalize_mode(F.col("mode")))).alias("current"))
+    dates = F.aggregate(F.map_values("date_signals"), F.lit(0), lambda n, v: n + F.size(v))
+    pack = items.groupBy("item_id").agg(F.max("exact_term_hits").alias("hits"), F.sum(dates).alias("signals"), F.round(F.avg("quality_score"), 3).alias("quality"), F.sum("structured_facts").alias("facts"), F.count_if(T.contains_any(F.col("content"), T.SUPERSEDED)).alias("superseded"))
+    cited = of_sources.groupBy("item_id").agg(F.count("*").alias("sources"), F.count("date").alias("dated"))
+    rows = rules.join(cited, "item_id", "left").join(pack, "item_id", "left").fillna(0, ["sources", "dated", "hits", "signals", "quality", "facts", "superseded"])
+    if claims is None:
+        rows = rows.withColumns({s: F.lit(0) for s in E.STATUSES}).withColumn("status", F.lit("not_run"))
+    else:
+        rows = rows.join(claims, "item_id", "left").fillna(0, E.STATUSES)
+    c = {n: F.col(n) for n in ("sources", "hits", "dated", "current", "signals", "quality", "superseded", "facts")}
+    graded = E.grade(c["sources"], c["hits"], c["dated"], c["current"], c["signals"], c["quality"], c["superseded"], c["facts"], {s: F.col(s) for s in E.STATUSES}, F.col("status"))
+    return rows.select("item_id", graded.alias("g")).select("item_id", "g.*")
+
+
+def source_summary(items: DataFrame, of_sources: DataFrame) -> DataFrame:
+    """item_id, source_count, latest_retrieved (date of a source), latest_supporting (of evidence that holds one of the question's rarest terms), latest."""
+    found = of_sources.groupBy("item_id").agg(F.count("*").alias("source_count"), F.max("date").alias("latest_retrieved"))
+    held = F.array_intersect(T.query_terms(F.col("question")), T.signal_terms(F.concat_ws(" ", "title", "doc_type", "content")))
+    rows = items.filter("exact_term_hits > 0").withColumn("held", held)
+    terms = rows.select("item_id", F.explode("held").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("n"))
+    n = items.groupBy("item_id").agg(F.least(F.lit(3), F.count("*")).alias("most"))
+    rarest = terms.withColumn("least", F.min("n").over(W.partitionBy("item_id"))).join(n, "item_id").filter(F.col("n") <= F.greatest("least", "most")).groupBy("item_id").agg(F.collect_set("term").alias("focus"))
+    kinds = F.array(*map(F.lit, ["reported_date", "document_date", "specimen_date", "service_date"]))
+    dates = F.flatten(F.transform(kinds, lambda k: F.coalesce(F.element_at("date_signals", k), F.array().cast("array<string>"))))
+    supporting = rows.join(rarest, "item_id").filter(F.arrays_overlap("held", "focus")).select("item_id", F.explode(dates).alias("d")).groupBy("item_id").agg(F.max(D.summary_date(F.col("d"))).alias("latest_supporting"))
+    return found.join(supporting, "item_id", "left").withColumn("latest", F.coalesce("latest_supporting", "latest_retrieved"))
+
+
 # ---- the tables at hand ----
 
 #: Characters of a passage, and from one to the next.
@@ -288,15 +318,24 @@ def build_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "place", "document_id", "chunk_index", "similarity", "title", "doc_type", "date", "excerpt_count", "excerpt")
 
 
-def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evidence items, sources and questions."""
     questions, docs, chunks, context = _all(spark, sf_dir)
     as_of = F.lit(AS_OF).cast("date")
     ranked = settled(combined(context, chunks, questions, as_of))
-    return evidence_pack(evidence_rows(ranked, settled(sources(ranked)), chunks, docs, questions, E.chunk_rows(docs, 3600, 500), as_of))
+    cited = settled(sources(ranked))
+    return evidence_pack(evidence_rows(ranked, cited, chunks, docs, questions, E.chunk_rows(docs, 3600, 500), as_of)), cited, questions
 
 
 def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pack(spark, sf_dir).select("item_id", "place", "document_id", "chunk_index", "id", "score", "exact_term_hits", "quality_score", "quality_tier", "structured_facts")
+    return _pack(spark, sf_dir)[0].select("item_id", "place", "document_id", "chunk_index", "id", "score", "exact_term_hits", "quality_score", "quality_tier", "structured_facts")
+
+
+def question_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the evidence found for each question, and what its sources' dates are."""
+    items, cited, questions = _pack(spark, sf_dir)
+    items = settled(items)
+    return grades(items, cited, questions).join(source_summary(items, cited), "item_id", "left")
 
 
 def diversified_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +345,7 @@ def diversified_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diversified(ranked, F.lit(36), F.lit(3)).select("item_id", "place", "document_id", "chunk_index", "rerank", "graph")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_plan, merge_context, build_sources, diversified_context, evidence_packs)}
+QUERIES = {f.__name__: f for f in (retrieve_plan, merge_context, build_sources, diversified_context, evidence_packs, question_grades)}
 
 _HEAD = f"lower(concat_ws(' ', title, doc_type, substr(content, 1, {B.HEAD})))"
 

@@ -26,7 +26,7 @@ def plain(v):
 
 
 #: Beyond SQL: chunks, patterns with look-ahead, subsequences, greedy choice. test_rules.py compares them with plain Python.
-WITHOUT_SQL = {"chunk_documents", "structured_facts", "evidence_items", "evidence_documents", "evidence_coverage", "diversify_chunks", "fuzzy_candidates", "auto_merge_flags", "resolve_components", "diversified_context", "evidence_packs", "resolve_persons"}
+WITHOUT_SQL = {"chunk_documents", "structured_facts", "evidence_items", "evidence_documents", "evidence_coverage", "diversify_chunks", "fuzzy_candidates", "auto_merge_flags", "resolve_components", "diversified_context", "evidence_packs", "question_grades", "resolve_persons", "vector_index_topk"}
 
 
 def test_every_other_query_has_sql():

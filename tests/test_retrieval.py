@@ -6,7 +6,10 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from loamgraph.functions import dates as D
+from loamgraph.operators import blocksearch
 from loamgraph.operators import retrieval as R
+from loamgraph.operators import vector_index as V
+from loamgraph.session import settled, shared_path
 
 
 def test_recency_counts_dated_texts_only(spark):
@@ -95,12 +98,37 @@ def test_evidence_rows_hold_neighbours_and_whole_documents(spark):
     empty = spark.createDataFrame([], "entity_id long, name string, label string")
     found = R.retrieved(questions, chunks, empty, R.links(docs))
     as_of = F.lit("2024-06-01").cast("date")
-    ranked = R.combined(found, chunks, questions, as_of)
-    sources = R.sources(ranked)
-    rows = R.evidence_rows(ranked, sources, chunks, docs, questions, chunks, as_of).collect()
+    ranked = settled(R.combined(found, chunks, questions, as_of))
+    sources = settled(R.sources(ranked))
+    held = settled(R.evidence_rows(ranked, sources, chunks, docs, questions, chunks, as_of))
+    rows = held.collect()
     mine = [r for r in rows if r.item_id == 1]
     assert {r.document_id for r in mine} == {0, 1, 2, 3} and sorted(r.place for r in mine) == list(range(1, len(mine) + 1)) and len(mine) <= 90
     assert any(r.chunk_index >= R.WHOLE for r in mine) and len({(r.document_id, r.chunk_index) for r in mine}) == len(mine)
     assert not [r for r in rows if r.item_id == 2 and r.chunk_index >= R.WHOLE]
     assert [r.score for r in sorted(mine, key=lambda r: r.place)] == sorted((r.score for r in mine), reverse=True)
-    assert {r.exact_term_hits > 0 for r in R.evidence_pack(R.evidence_rows(ranked, sources, chunks, docs, questions, chunks, as_of)).filter("item_id = 1").collect()} == {True}
+    items = settled(R.evidence_pack(held))
+    assert {r.exact_term_hits > 0 for r in items.filter("item_id = 1").collect()} == {True}
+    graded = {r.item_id: r for r in R.grades(items, sources, questions).collect()}
+    assert set(graded) == {1, 2, 3} and graded[1].score > graded[3].score and graded[1].audit_status == "verifier_unavailable"
+    summary = {r.item_id: r for r in R.source_summary(items, sources).collect()}
+    assert (summary[1].source_count, summary[1].latest_retrieved, summary[1].latest) == (sources.filter("item_id = 1").count(), "2024-05-20", "2024-05-20")
+
+
+def test_lists_hold_every_row_and_recall_is_measured(spark, monkeypatch):
+    monkeypatch.setattr(blocksearch, "VECTORS", 50)
+    r = random.Random(1)
+    centre = [[r.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    data = [(i, [x + r.gauss(0, 0.2) for x in centre[i % 20]]) for i in range(600)] + [(900, None), (901, [0.0] * 8), (902, [1.0])]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    queries = rows.filter("vec_id % 30 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    centres = V.learn(rows, 16)
+    index = V.build(rows, centres, shared_path(spark, "index"))
+    assert sorted(x.id for x in index.collect()) == [i for i, _ in data] and index.select("list").distinct().count() > 8
+    n, found = V.probes_for(index, rows, queries, centres, 5)
+    assert n < 16 and found >= 0.9
+    true = {(x.query_id, x.vec_id): x.similarity for x in blocksearch.nearest(rows, queries, 5).collect()}
+    got = {(x.query_id, x.vec_id): x.similarity for x in V.search(index, queries, centres, 5, n).collect()}
+    assert len(true.keys() & got.keys()) >= 0.9 * len(true) and all(true.get(k, v) == v for k, v in got.items())
+    every = {(x.query_id, x.vec_id) for x in V.search(index, queries, centres, 5, len(centres)).collect()}
+    assert every == set(true)
