@@ -114,6 +114,10 @@ def _of_two(f, kind: str):
     return run
 
 
+def ratios(a: Column, b: Column) -> Column:
+    return _of_two(ratio, "double")(a, b)
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     return _of_two(lambda x, y: token_sort(x or "", y or ""), "double")(a, b)
 

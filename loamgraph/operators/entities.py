@@ -18,28 +18,29 @@ TERMINAL = ["ignore", "split", "merged", "never_merge", "auto_merged"]
 
 
 def alike(strings: DataFrame, least: float) -> DataFrame:
-    """(a, b) of (s) distinct strings of 3 characters or more whose ratio can reach ``least`` (0.7 to 1); a < b. No such pair is lost.
+    """(a, b) of (s) distinct strings of 3 characters or more whose ratio is ``least`` (0.7 to 1) or more; a < b. No such pair is lost.
 
-    A ratio r of lengths m and n leaves a common subsequence of r (m + n) / 2, and each character
-    outside it breaks two bigrams of its own string and one of the other at most: so
-    (1.5 r - 1) (m + n) - 1 bigrams are common, and two strings share one of their rarest, as many
-    as they may lack and one more.
+    Strings of lengths m >= n are apart by d <= (1 - least) (m + n) letters taken out or put in. Cut
+    the longer into more pieces than that: of the first pieces 0 to i that hold i such edits at most,
+    as all of them do, take the fewest. Then piece i is whole, i edits lie before it and d - i behind
+    it at most, so it stands in the other string i, i - 2, ... or -i places off.
     """
-    share, common = least / (2 - least), 1.5 * least - 1
-    n = F.length("s")
-    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))
-    sized = strings.filter(n >= 3).select("s", n.alias("n"), grams.alias("grams"))
-    # A bigram's second and later occurrences are other bigrams.
-    numbered = F.transform("grams", lambda g, i: F.concat(g, F.size(F.filter(F.slice("grams", F.lit(1), i + 1), lambda d: d == g)).cast("string")))
-    sized = sized.select("s", "n", numbered.alias("grams"))
-    each = sized.select("s", "n", "grams", F.explode("grams").alias("g"))
-    counts = each.groupBy("g").agg(F.count("*").alias("many"))
-    need = F.greatest(F.lit(1), F.ceil(common * (1 + share) * F.col("n") - 1 - 1e-9))
-    rare = each.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("s").orderBy("many", "g"))).filter(F.col("r") <= F.col("n") - 1 - need + 1)
-    left, right = (rare.select("g", F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
-    near = F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9
-    enough = F.size(F.array_intersect("ga", "gb")) >= common * (F.col("na") + F.col("nb")) - 1 - 1e-9
-    return left.join(right, "g").filter((F.col("a") < F.col("b")) & near & enough).select("a", "b").distinct()
+    share, slack = least / (2 - least), 1 - least
+    sized = strings.filter(F.length("s") >= 3).select("s", F.length("s").alias("n"))
+    pieces = lambda m: (F.floor(2 * slack * m + 1e-9) + 1).cast("int")
+    start = lambda m, i: F.floor(i * m / pieces(m) + 1e-9).cast("int")
+    m, i = F.col("m"), F.col("i")
+    cut = lambda of, at: F.substring(F.col(of), at + 1, start(m, i + 1) - start(m, i)).alias("piece")
+    held = sized.select(F.col("s").alias("x"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), pieces(F.col("n")) - 1)).alias("i")).select("x", "m", "i", cut("x", start(m, i)))
+    n, d = F.col("n"), F.col("d")
+    asked = sized.select(F.col("s").alias("y"), "n", F.explode(F.sequence(n, F.floor(n / share + 1e-9).cast("int"))).alias("m"))
+    most = F.floor(slack * (m + n) + 1e-9).cast("int")
+    asked = asked.withColumn("d", most - (most + m + n) % 2).filter("d >= m - n")
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(d, pieces(m) - 1)))).withColumn("off", F.explode(F.sequence(-i, i, F.lit(2))))
+    at = start(m, i) + F.col("off")
+    asked = asked.filter((F.abs(n - m - F.col("off")) <= d - i) & (at >= 0) & (start(m, i + 1) + F.col("off") <= n)).select("y", "n", "d", "m", "i", cut("y", at))
+    near = held.join(asked, ["m", "i", "piece"]).filter((m > n) | (F.col("x") < F.col("y"))).filter(F.expr("levenshtein(x, y, d)") >= 0).select("x", "y").distinct()
+    return near.filter(Z.ratios(F.col("x"), F.col("y")) >= 100 * least - 1e-3).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def candidates(named: DataFrame, least: int = LEAST) -> DataFrame:

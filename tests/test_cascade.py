@@ -94,6 +94,15 @@ def test_no_similar_pair_is_lost(spark, person):
     assert got == want and len(want) > 100
 
 
+@pytest.mark.parametrize("least", [0.7, 0.8, 0.82, 0.85, 0.95])
+def test_alike_gives_the_pairs_that_are_and_no_others(spark, least):
+    r = random.Random(4)
+    every = sorted({"".join(r.choice("abé") for _ in range(r.randint(3, 13))) for _ in range(220)} | {n.lower() for n in names(6) if len(n) >= 3})
+    want = {(a, b) for a in every for b in every if a < b and Z.ratio(a, b) >= 100 * least - 1e-9}
+    got = [(x.a, x.b) for x in entities.alike(spark.createDataFrame([(x,) for x in every], "s string"), least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_joint_names_titles_and_organisations(spark):
     empty = spark.createDataFrame([], "id string, name string, aliases array<string>")
     batch = spark.createDataFrame([(1, "Dr. John & Mary Smithfield"), (2, "mary smithfield"), (3, "Acme Bank"), (4, "Acme Banks"), (5, None), (6, "Al")], "seq long, name string")
