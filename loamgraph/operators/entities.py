@@ -12,6 +12,8 @@ from loamgraph.session import settled
 from loamgraph.sources.bindings import nodes, table
 
 LEAST = 82
+#: Parts of a group that pairs within it are made in.
+BLOCKS = 128
 # Labels by the risk of a wrong merge.
 HIGH_RISK = ["Person", "Address", "MedicalResult", "Condition", "Contract", "InsurancePolicy", "FinancialItem", "DateEvent", "Event"]
 LOW_RISK = ["Organization", "Product", "System", "DocumentRef", "Location"]
@@ -141,14 +143,26 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.when(a % 2 == 0, a).otherwise(b).alias("left"), F.when(a % 2 == 0, b).otherwise(a).alias("right"), decision.alias("decision"))
 
 
+def pairs_within(rows: DataFrame, key: str, group: str) -> DataFrame:
+    """(a, b), a < b, of all keys that share a group, each pair once; a key's repeated rows count as one.
+
+    As many pairs as there are come out, so they are made where they are needed: keys meet in BLOCKS
+    parts of a group, and a pair of several groups only in the first of them, so no pair is held.
+    """
+    of = rows.filter(F.col(group).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.collect_set(group).alias("all")).withColumn("g", F.explode("all"))
+    left = of.select(F.col("k").alias("a"), F.col("all").alias("x"), "g", F.pmod(F.xxhash64("k"), F.lit(BLOCKS)).alias("block")).repartition(BLOCKS, "g", "block")
+    right = of.select(F.col("k").alias("b"), F.col("all").alias("y"), "g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))).alias("block")).repartition(BLOCKS, "g", "block")
+    return left.join(right, ["g", "block"]).filter((F.col("a") < F.col("b")) & (F.col("g") == F.array_min(F.array_intersect("x", "y")))).select("a", "b")
+
+
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of one nation that follow one another closely, without those decided on."""
     s = table(spark, sf_dir, "supplier")
-    a = s.select(F.col("s_suppkey").alias("a"), "s_nationkey")
-    b = s.select(F.col("s_suppkey").alias("b"), "s_nationkey")
-    near = a.join(b, "s_nationkey").filter("a < b").select("a", "b")
-    follow = s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b")).join(s.select(F.col("s_suppkey").alias("b")), "b", "left_semi").select("a", "b")
-    return undecided(near.unionByName(follow).distinct(), _decisions(spark, sf_dir))
+    near = pairs_within(s, "s_suppkey", "s_nationkey")
+    of = s.filter("s_suppkey IS NOT NULL").groupBy("s_suppkey").agg(F.collect_set("s_nationkey").alias("nations"))
+    next_one = of.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("nations").alias("others"))
+    follow = of.join(next_one, "s_suppkey").filter(F.size(F.array_intersect("nations", "others")) == 0).select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
+    return undecided(near.unionByName(follow), _decisions(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (fuzzy_candidates, auto_merge_flags, resolve_components, steward_score, steward_report, review_queue)}

@@ -1,7 +1,9 @@
 """What several steps read is worked out once, and pairs and hops are made without holding or moving everything."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from loamgraph.operators import entities
 from loamgraph.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -10,3 +12,17 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name, source", [("fuzzy_candidates", "part"), ("auto_merge_flags", "part")])
 def test_the_source_is_read_once(spark, name, source):
     assert not [f for f in QUERIES[name](spark, DATA).inputFiles() if f.endswith(f"/{source}.parquet")]
+
+
+def test_pairs_within_groups_come_once(spark):
+    rows = [(i, i % 3) for i in range(40)] + [(i, 1) for i in range(0, 40, 4)] + [(5, 2), (5, 2), (6, None), (99, None)]
+    of = {k: {g for x, g in rows if x == k and g is not None} for k, _ in rows}
+    want = sorted((a, b) for a in of for b in of if a < b and of[a] & of[b])
+    found = entities.pairs_within(spark.createDataFrame(rows, "k long, g int"), "k", "g")
+    assert sorted((r.a, r.b) for r in found.collect()) == want
+
+
+def test_pairs_within_one_large_group_are_made_by_many_tasks(spark):
+    one = spark.range(600).select(F.col("id").alias("k"), F.lit(1).alias("g"))
+    per_task = [r["count"] for r in entities.pairs_within(one, "k", "g").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 600 * 599 // 2 and max(per_task) < sum(per_task) / 4
