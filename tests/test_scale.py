@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loamgraph.operators import entities
+from loamgraph.operators import entities, graph
 from loamgraph.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -26,3 +26,12 @@ def test_pairs_within_one_large_group_are_made_by_many_tasks(spark):
     one = spark.range(600).select(F.col("id").alias("k"), F.lit(1).alias("g"))
     per_task = [r["count"] for r in entities.pairs_within(one, "k", "g").groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per_task) == 600 * 599 // 2 and max(per_task) < sum(per_task) / 4
+
+
+def test_neighbours_send_the_front_to_the_edges(spark, tmp_path):
+    spark.range(3000).select(F.concat(F.lit("n"), F.col("id") % 50).alias("src"), F.concat(F.lit("n"), F.col("id") % 7 + 50).alias("dst")).write.parquet(str(tmp_path / "e"))
+    edge = spark.read.parquet(str(tmp_path / "e"))
+    found = graph.neighbours(edge, spark.createDataFrame([("n3",), ("n3",)], "id string"), 2)
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    got = {r.id: r.distance for r in found.collect()}
+    assert got == {"n3": 0} | {f"n{i + 50}": 1 for i in range(7)} | {f"n{i}": 2 for i in range(50) if i != 3}
