@@ -308,7 +308,7 @@ def retrieve_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of the first sub-question of each, with those of the others behind it."""
     questions, chunks = P._questions(spark, sf_dir), passages(documents(spark, sf_dir))
-    found = searched(subquestions(questions), chunks, products(spark, sf_dir))
+    found = settled(searched(subquestions(questions), chunks, products(spark, sf_dir)))
     return merge_contexts(merged(found.filter("position = 1")), merged(found.filter("position > 1")))
 
 

@@ -9,7 +9,7 @@ from loamgraph.plans.registry import QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, source", [("fuzzy_candidates", "part"), ("auto_merge_flags", "part"), ("visible_graph", "lineitem"), ("graph_paths", "lineitem")])
+@pytest.mark.parametrize("name, source", [("fuzzy_candidates", "part"), ("auto_merge_flags", "part"), ("merge_context", "documents"), ("visible_graph", "lineitem"), ("graph_paths", "lineitem")])
 def test_the_source_is_read_once(spark, name, source):
     assert not [f for f in QUERIES[name](spark, DATA).inputFiles() if f.endswith(f"/{source}.parquet")]
 
