@@ -3,10 +3,10 @@
 Documents with equal sets are one node. Of each node's shingles, in an order that puts frequent
 ones last, a prefix is kept of which any partner must share a certain number; prefix shingles
 that no other text can have (a sketch of fixed size tells) are dropped, and with them most
-documents. Candidates with the same least shingle hash and a similar size are compared with the
-first of them; those that are similar to it make groups, the others of the same key make groups
-of their own, each of a bounded number of members and shingles. Only candidates' whole sets are
-ever stored.
+documents. Candidates that agree on a key, as the least shingle hash, and have similar sizes are
+compared with the first of them; those that similar pairs connect make groups, the others of the
+same key make groups of their own, each of a bounded number of members and shingles. Only
+candidates' whole sets are ever stored.
 
 The matrix has a row for each prefix shingle and group. Two groups of similar sizes qualify if
 they share enough rows, and if not all their members are known to be linked already. A group's
@@ -23,7 +23,7 @@ from hashlib import sha1
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.llm import sketch
@@ -209,25 +209,64 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _least_hash(salt: int) -> Column:
+    """The least of the prefix in an order of its own: nearly equal prefixes mostly agree on it."""
+    return F.array_min(F.transform("prefix", lambda x: F.xxhash64(F.lit(salt), x)))
+
+
 def _near_first(docs: DataFrame, cand: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, centre, ok): candidates whose key another has too, the first node of the key, and whether they are similar to it."""
+    """(node, centre), similar ones only: candidates with the first node of each of their keys that another has too.
+
+    The keys: the least shingle, and the least ones of the prefix in two other orders, as the least
+    shingle of a near copy may be one that no other text has; each with a range of sizes, and
+    the ranges overlap.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["node", "centre", "ok"])
-
-    key = ["first", "bucket"]
-    centres = cand.groupBy(*key).agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select(*key, "centre")
-    met = stored(cand.select("node", "s1", "s2", *key).join(centres, key).select("node", "s1", "s2", "centre"))
-    sets = stored(_with_sets(docs, met, words).select("node", "centre", "shingles"))
-    x = sets.filter("node <> centre").withColumnRenamed("shingles", "x")
-    y = sets.filter("node = centre").select("centre", F.col("shingles").alias("y"))
-    out = stored(x.join(y, "centre").select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long, ok boolean").distinct())
-    forget(met, sets)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["node", "centre"])
+
+    half = lambda c: F.floor(c / 2)
+    keys = F.array(F.xxhash64(F.lit(0), "first", "bucket"), F.xxhash64(F.lit(1), _least_hash(1), half(F.col("bucket"))), F.xxhash64(F.lit(2), _least_hash(2), half(F.col("bucket") + 1)))
+    keyed = stored(cand.select("node", "s1", "s2", F.explode(keys).alias("key")))
+    centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select("key", "centre")
+    met = stored(keyed.join(centres, "key").select("node", "s1", "s2", "centre").distinct())
+    sets = stored(_with_sets(docs, met.select("node", "s1", "s2").distinct(), words).select("node", "shingles"))
+    pairs = met.filter("node <> centre").select("node", "centre")
+    out = pairs.join(sets.withColumnRenamed("shingles", "x"), "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("y")), "centre")
+    out = stored(out.select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long").distinct())
+    forget(keyed, met, sets)
     return out
 
 
+def _groups(cand: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, s1, s2, part, n, least, bucket, prefix, group): candidates that similar pairs ``first`` connect are one part and lie in groups of it; the others, each a part, are grouped by a key of their prefix."""
+    parts = components(first, "node", "centre").withColumnRenamed("component", "part")
+    placed = cand.select("node", "s1", "s2", "n", "least", "bucket", "prefix").join(parts, "node", "left")
+    key = F.when(F.col("part").isNotNull(), F.xxhash64(F.lit(1), "part")).otherwise(F.xxhash64(F.lit(2), _least_hash(1), "bucket"))
+    placed = stored(placed.select("node", "s1", "s2", F.coalesce("part", "node").alias("part"), "n", "least", "bucket", "prefix", key.alias("key")))
+    sizes = placed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("split"))
+    out = stored(placed.join(sizes, "key").withColumn("group", F.xxhash64("key", "bucket", F.pmod(F.xxhash64("node"), F.col("split")))).drop("key", "split"))
+    forget(placed)
+    return out
+
+
+def _matrix(grouped: DataFrame) -> DataFrame:
+    """(cell, bucket, group, pure, least, k): a row for each prefix shingle and group; of groups of one part, that part."""
+    cell = F.shiftleft(F.col("token").cast("long"), 16) + F.col("bucket")
+    matrix = grouped.select("group", "part", "least", "bucket", F.explode("prefix").alias("token")).select(cell.alias("cell"), "bucket", "group", "part", "least").groupBy("cell", "bucket", "group")
+    return stored(matrix.agg(F.when(F.min("part") == F.max("part"), F.min("part")).alias("pure"), F.min("least").cast("int").alias("least"), F.count("*").cast("int").alias("k")))
+
+
+def _meetings(matrix: DataFrame) -> DataFrame:
+    """Rows of the matrix that two groups share, if not all their members are known to be linked already."""
+    left = matrix.select("cell", F.col("group").alias("g1"), F.col("pure").alias("pure1"), F.col("least").alias("least1"))
+    right = matrix.select("cell", F.lit(False).alias("next"), F.col("group").alias("g2"), F.col("pure").alias("pure2"), F.col("least").alias("least2"))
+    right = right.unionByName(right.select(F.col("cell") - 1, F.lit(True), "g2", "pure2", "least2").toDF(*right.columns))
+    return left.join(right, "cell").filter("(next OR g1 < g2) AND NOT coalesce(pure1 = pure2, false)")
+
+
 _RECORD = "group long, nodes binary, parts binary, sizes binary, union binary, places binary"
 
 
@@ -327,24 +366,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     cand, before = _meeting(cand), cand
     forget(before)
     first = _near_first(docs, cand, words, percent)
-    # Groups: those similar to the first of their key, the others of the key, and single nodes.
-    sorts = first.select("node", F.when(F.col("ok"), F.col("centre")).otherwise(F.col("node")).alias("part"), F.when(F.col("ok"), 1).otherwise(2).alias("kind"))
-    sorts = sorts.unionByName(first.filter("ok").select(F.col("centre").alias("node"), F.col("centre").alias("part"), F.lit(1).alias("kind")).distinct())
-    placed = cand.select("node", "s1", "s2", "n", "least", "bucket", "first", "prefix").join(sorts, "node", "left")
-    key = F.when(F.col("kind") == 1, F.xxhash64(F.lit(1), "part")).when(F.col("kind") == 2, F.xxhash64(F.lit(2), "first", "bucket")).otherwise(F.xxhash64(F.lit(3), "node"))
-    placed = stored(placed.select("node", "s1", "s2", F.coalesce("part", "node").alias("part"), "n", "least", "bucket", "prefix", key.alias("key")))
-    sizes = placed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("split"))
-    grouped = placed.join(sizes, "key").withColumn("group", F.xxhash64("key", "bucket", F.pmod(F.xxhash64("node"), F.col("split")))).drop("key", "split")
-    grouped = stored(grouped)
-    forget(placed, cand)
-    # The matrix: a row for each prefix shingle and group; of groups of one part, that part.
-    cell = F.shiftleft(F.col("token").cast("long"), 16) + F.col("bucket")
-    matrix = grouped.select("group", "part", "least", "bucket", F.explode("prefix").alias("token")).select(cell.alias("cell"), "bucket", "group", "part", "least").groupBy("cell", "bucket", "group")
-    matrix = stored(matrix.agg(F.when(F.min("part") == F.max("part"), F.min("part")).alias("pure"), F.min("least").cast("int").alias("least"), F.count("*").cast("int").alias("k")))
-    left = matrix.select("cell", F.col("group").alias("g1"), F.col("pure").alias("pure1"), F.col("least").alias("least1"))
-    right = matrix.select("cell", F.lit(False).alias("next"), F.col("group").alias("g2"), F.col("pure").alias("pure2"), F.col("least").alias("least2"))
-    right = right.unionByName(right.select(F.col("cell") - 1, F.lit(True), "g2", "pure2", "least2").toDF(*right.columns))
-    met = left.join(right, "cell").filter("(next OR g1 < g2) AND NOT coalesce(pure1 = pure2, false)")
+    grouped = _groups(cand, first)
+    forget(cand)
+    matrix = _matrix(grouped)
+    met = _meetings(matrix)
     pairs = met.groupBy("g1", "g2").agg(F.count("*").alias("k"), F.min("least1").alias("least1"), F.min("least2").alias("least2")).filter("k >= greatest(least1, least2)").select("g1", "g2")
     own = matrix.filter("k > 1 AND pure IS NULL").groupBy("group").agg(F.count("*").alias("k"), F.min("least").alias("least")).filter("k >= least").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
     pairs = stored(pairs.unionByName(own))
@@ -357,7 +382,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     # Rows that share a doc_id and not their sets: the document is linked with the first node of each set.
     several = known.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("s2").alias("x2"), F.max("s2").alias("y2")).filter("x < y OR x2 < y2").select("doc_id")
     same = known.select("doc_id", "s1", "s2").join(several, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = _open_pairs(pairs, records, percent).unionByName(first.filter("ok").select(F.col("node").alias("a"), F.col("centre").alias("b"))).unionByName(same)
+    links = _open_pairs(pairs, records, percent).unionByName(first.select(F.col("node").alias("a"), F.col("centre").alias("b"))).unionByName(same)
     found = components(links)
     forget(pairs, records, first)
     named = classes.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))

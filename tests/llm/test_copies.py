@@ -60,6 +60,23 @@ def test_links_equal_brute_force(spark, monkeypatch, k, percent, group):
     assert len(set(label)) < len(texts) - 10
 
 
+def test_near_copies_of_one_text_meet_in_few_groups(spark):
+    r = random.Random(1)
+    base = prose(r, 80).split()
+    texts = []
+    for _ in range(400):
+        x = list(base)
+        x[r.randrange(80)] = f"v{r.randrange(5000)}"  # often with the least shingle, which no other text has
+        texts.append(" ".join(x))
+    docs = jaccard.documents(table(spark, texts))
+    nodes = jaccard._rows(docs, 5, 80).filter("least IS NOT NULL").withColumnRenamed("doc_id", "node")
+    cand = jaccard._meeting(nodes.dropDuplicates(["s1", "s2"]).select("node", "s1", "s2", "n", "least", "bucket", "first", "prefix"))
+    groups = jaccard._groups(cand, jaccard._near_first(docs, cand, 5, 80))
+    assert groups.count() > 300
+    assert groups.select("group").distinct().count() <= 12
+    assert jaccard._meetings(jaccard._matrix(groups)).count() < 1500
+
+
 def test_near_duplicates_of_null_ids_and_an_empty_table(spark):
     got = jaccard.near_duplicates(frame(spark)).collect()
     assert len(got) == len(rows()) and [r.component_id for r in got if r.doc_id is None] == [None]
