@@ -1,6 +1,7 @@
 """Questions against all texts, in blocks: trigram, term and literal matches as matrix products, with only the best of each question kept.
 
-A question set is taken ``QUESTIONS`` at a time. A task turns a few hundred texts into rows of
+A question set is taken in blocks of ``QUESTIONS``, ``BLOCKS`` of them in a pass, for which each text is
+cut into trigrams and terms once. A task turns a few hundred texts into rows of
 zeros and ones over the trigrams and terms that the questions have, multiplies them with the
 questions' own, and keeps the best of each question so far; at its end it gives at most k
 rows for each question and list. No pair of a question and a text leaves its task otherwise,
@@ -10,8 +11,9 @@ so neither common trigrams nor long texts make rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import islice
 
 import numpy as np
@@ -23,12 +25,16 @@ from pyspark.sql import functions as F
 from loamgraph.functions import text as T
 from loamgraph.session import reachable
 
-QUESTIONS, TEXTS, MEMO, VECTORS = 512, 256, 200_000, 65_536
+QUESTIONS, TEXTS, VECTORS = 512, 256, 65_536
+#: Blocks of questions that one pass over the texts takes.
+BLOCKS = 4
+#: Characters whose trigrams are made at once.
+CHARS = 1 << 20
 #: Similarity that a match by trigrams has at least.
 MINIMUM = 0.1
 #: Characters of a text's head, in which terms count.
 HEAD = 5000
-WORD, TERM = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+(?:[-/][a-z0-9]+)*")
+TERM = re.compile(r"[a-z0-9]+(?:[-/][a-z0-9]+)*")
 
 # Terms of a question, parts of a document's type, and what such a pair adds.
 BOOSTS = [
@@ -49,9 +55,76 @@ def flags(text: Column, side: int) -> Column:
     return reduce(lambda a, b: a + b, [F.when(T.contains_any(text, rule[side]), 1 << i).otherwise(0) for i, rule in enumerate(BOOSTS)])
 
 
-def trigrams(word: str) -> tuple[str, ...]:
-    w = f"  {word} "
-    return tuple(w[i : i + 3] for i in range(len(word) + 1))
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters or digits, as words are made of."""
+    return np.array([chr(i).isalnum() for i in range(sys.maxunicode + 1)])
+
+
+def _codes(text: str) -> np.ndarray:
+    """Code points, 0 for what is in no word."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(_letters()[c], c, 0)
+
+
+class Trigrams:
+    """The distinct trigrams of texts in lower case: of words with two blanks before and one behind."""
+
+    def __init__(self, low: list[str]):
+        self.texts = len(low)
+        self.row, self.gram = np.zeros(0, np.int64), np.zeros((0, 3), np.uint32)
+        at = 0
+        parts = []
+        while at < len(low):
+            to, size = at, 0
+            while to < len(low) and (to == at or size + len(low[to]) < CHARS):
+                size += len(low[to]) + 2
+                to += 1
+            parts.append(self._distinct(at, low[at:to]) if to > at + 1 or len(low[at]) <= CHARS else self._long(at, low[at]))
+            at = to
+        if parts:
+            self.row, self.gram = (np.concatenate(x) for x in zip(*parts))
+        self.n = np.bincount(self.row, minlength=self.texts)
+
+    def _long(self, at: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of one long text a part at a time; parts end between words."""
+        found, a = np.zeros((0, 3), np.uint32), 0
+        while a < len(text):
+            b = min(a + CHARS, len(text))
+            while b < len(text) and text[b].isalnum():
+                b += 1
+            found = np.unique(np.concatenate([found, self._distinct(0, [text[a:b]])[1]]), axis=0)
+            a = b
+        return np.full(len(found), at), found
+
+    @staticmethod
+    def _distinct(at: int, low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        c = _codes("\n\n".join([*low, ""]))
+        row = np.repeat(np.arange(len(low)), [len(x) + 2 for x in low])
+        letters = np.unique(c)  # 0 is among them
+        place = np.zeros(sys.maxunicode + 1, np.int32)
+        place[letters] = np.arange(len(letters))
+        c = place[c].astype(np.int64)
+        width = len(letters)  # below 2 ** 18, as there are not more letters
+        one = np.concatenate([[0], c[:-1]])
+        two = np.where(one > 0, np.concatenate([[0, 0], c[:-2]]), 0)
+        word = c > 0
+        last = word & (np.concatenate([c[1:], [0]]) == 0)
+        head = ((row * width + two) * width + one) * width + c
+        tail = ((row * width + one) * width + c) * width
+        key = np.concatenate([head[word], tail[last]])
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        key, c2 = np.divmod(key, width)
+        key, c1 = np.divmod(key, width)
+        row, c0 = np.divmod(key, width)
+        return row + at, np.column_stack([letters[x] for x in (c0, c1, c2)])
+
+
+def _number(gram: np.ndarray) -> np.ndarray:
+    """A trigram as one number."""
+    g = gram.astype(np.int64)
+    return (g[:, 0] << 42) + (g[:, 1] << 21) + g[:, 2]
 
 
 def signal_terms(low: str) -> set[str]:
@@ -74,11 +147,14 @@ class Block:
         self.qids = [q.qid for q in questions]
         self.texts, self.inner = [q.low for q in questions], np.array([q.inner for q in questions])
         self.boosts = np.array([q.flags for q in questions])
-        self.grams, self.gram_rows = self._matrix([q.grams for q in questions])
+        grams, rows = self._matrix([q.grams for q in questions])
+        names = [(i, g.replace(" ", "\0")) for g, i in grams.items() if len(g) == 3]
+        number = _number(np.array([[ord(c) for c in g] for _, g in names], np.int64).reshape(-1, 3))
+        order = np.argsort(number)
+        self.grams, self.gram_rows = number[order], rows[np.array([i for i, _ in names], np.int64)[order]]
         self.terms, self.term_rows = self._matrix([q.terms for q in questions])
         self.nq, self.nt = (np.array([len(x) for x in (q[k] for q in questions)]) for k in ("grams", "terms"))
         self.lists = lists
-        self.memo: dict[str, tuple[str, ...]] = {}
         shape = lambda k: (len(questions), k)
         self.best = {n: {"key": np.full(shape(k), -1), **{c: np.zeros(shape(k), t) for c, t in (("document_id", "i8"), ("chunk_index", "i8"), ("exact", "?"), ("similarity", "f8"), ("cosine", "f8"), ("hits", "i8"))}} for n, k in lists.items()}
 
@@ -97,24 +173,25 @@ class Block:
             x[i, [columns[v] for v in columns.keys() & s]] = 1
         return np.rint(x @ rows).astype(np.int64)
 
-    def _grams(self, low: str) -> set[str]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        words = set(WORD.findall(low))
-        for w in words.difference(memo):
-            memo[w] = trigrams(w)
-        return set().union(*map(memo.__getitem__, words))
+    def _shared(self, grams: Trigrams) -> np.ndarray:
+        """How many trigrams each text shares with each question."""
+        x = np.zeros((grams.texts, len(self.grams)), np.float32)
+        if len(self.grams):
+            number = _number(grams.gram)
+            at = np.minimum(np.searchsorted(self.grams, number), len(self.grams) - 1)
+            has = self.grams[at] == number
+            x[grams.row[has], at[has]] = 1
+        return np.rint(x @ self.gram_rows).astype(np.int64)
 
     def holding(self, low: list[str], n: np.ndarray | None = None) -> list[tuple[int, int]]:
         """(text, question) of the texts that hold a question literally: they have all trigrams of its words but the first and the last."""
         if n is None:
-            n = self._product([self._grams(x) for x in low], self.grams, self.gram_rows)
+            n = self._shared(Trigrams(low))
         return [(i, j) for i, j in np.argwhere(n >= self.inner).tolist() if self.texts[j] and self.texts[j] in low[i]]
 
-    def add(self, document_id: np.ndarray, chunk_index: np.ndarray, low: list[str], head: list[str], types: np.ndarray, old: np.ndarray) -> None:
-        grams = [self._grams(x) for x in low]
-        n, nd = self._product(grams, self.grams, self.gram_rows), np.array([len(g) for g in grams])[:, None]
+    def add(self, document_id: np.ndarray, chunk_index: np.ndarray, low: list[str], grams: Trigrams, terms: list[set[str]], types: np.ndarray, old: np.ndarray) -> None:
+        """Texts in lower case with their trigrams and the terms of their heads."""
+        n, nd = self._shared(grams), grams.n[:, None]
         union = self.nq + nd - n
         similar = rounded(n / np.maximum(union, 1), 6)
         exact = np.zeros(n.shape, bool)
@@ -122,7 +199,6 @@ class Block:
             exact[tuple(np.array(self.holding(low, n), np.int64).reshape(-1, 2).T)] = True
         measures = {"exact": exact, "similarity": similar / 1e6}
         if {"cosine", "hybrid"} & set(self.lists):
-            terms = [signal_terms(x) for x in head]
             hits = self._product(terms, self.terms, self.term_rows)
             measures |= {"hits": hits, "cosine": rounded(hits / np.sqrt(np.maximum(self.nt * np.array([len(t) for t in terms])[:, None], 1)), 6) / 1e6}
         keys = {}
@@ -205,19 +281,24 @@ def search(questions: DataFrame, texts: DataFrame, lists: dict[str, int], by_ter
     head = F.concat_ws(" ", F.lower("title"), F.lower("doc_type"), F.lower(F.substring(content, 1, HEAD))) if by_terms_of is None else F.lower(by_terms_of)
     held = texts.select(F.col("document_id").cast("long"), F.col("chunk_index").cast("int"), F.lower(content).alias("low"), F.coalesce(head, F.lit("")).alias("head"), F.coalesce(flags(F.col("doc_type"), 1), F.lit(0)).alias("types"), T.contains_any(content, T.SUPERSEDED).alias("old"))
 
-    def over(block: list) -> DataFrame:
+    def over(asked: list[list]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = Block(block, lists)
+            blocks = [Block(x, lists) for x in asked]
             for b in batches:
                 for a in range(0, b.num_rows, TEXTS):
                     d, c, low, head, types, old = b.slice(a, TEXTS).columns
-                    held.add(d.to_numpy(), c.to_numpy(), low.to_pylist(), head.to_pylist(), types.to_numpy(), old.to_numpy(zero_copy_only=False))
-            yield from held.batches()
+                    low = low.to_pylist()
+                    grams, terms = Trigrams(low), [signal_terms(x) for x in head.to_pylist()] if {"cosine", "hybrid"} & set(lists) else []
+                    for block in blocks:
+                        block.add(d.to_numpy(), c.to_numpy(), low, grams, terms, types.to_numpy(), old.to_numpy(zero_copy_only=False))
+            for block in blocks:
+                yield from block.batches()
 
         return known.mapInArrow(run, FOUND)
 
     known = held.filter("document_id IS NOT NULL AND chunk_index IS NOT NULL")
-    parts = [over(block) for block in _asked(questions)]
+    asked = _asked(questions)
+    parts = [over(some) for some in iter(lambda: list(islice(asked, BLOCKS)), [])]
     found = reduce(DataFrame.unionByName, parts) if parts else questions.sparkSession.createDataFrame([], FOUND)
     rank = F.row_number().over(W.partitionBy("qid", "list").orderBy(F.desc("key"), "document_id", "chunk_index"))
     most = F.create_map(*[F.lit(x) for kv in lists.items() for x in kv])

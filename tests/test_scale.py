@@ -1,9 +1,11 @@
 """What several steps read is worked out once, and pairs and hops are made without holding or moving everything."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from loamgraph.operators import entities, graph
+from loamgraph.operators import blocksearch, entities, graph
 from loamgraph.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -35,3 +37,23 @@ def test_neighbours_send_the_front_to_the_edges(spark, tmp_path):
     assert not [f for f in found.inputFiles() if str(tmp_path) in f]
     got = {r.id: r.distance for r in found.collect()}
     assert got == {"n3": 0} | {f"n{i + 50}": 1 for i in range(7)} | {f"n{i}": 2 for i in range(50) if i != 3}
+
+
+def test_texts_are_read_once_for_several_blocks_of_questions(spark, monkeypatch):
+    monkeypatch.setattr(blocksearch, "QUESTIONS", 2)
+    asked = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(5)], "qid long, text string")
+    docs = spark.createDataFrame([(i, 0, "t", "d", f"w{i % 7} alpha gamma") for i in range(30)], "document_id long, chunk_index int, title string, doc_type string, content string")
+    found = blocksearch.search(asked, docs, {"keyword": 3})
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.qid for r in found.collect()} == set(range(5))
+
+
+@pytest.mark.parametrize("chars", [1 << 20, 7])
+def test_trigrams_of_texts(monkeypatch, chars):
+    monkeypatch.setattr(blocksearch, "CHARS", chars)
+    texts = ["", "a", "_", "ab c_d", "aaaa aaaa-aaab", "é日本 ß٣½ x\0y", "one two three " * 3, "\ud800z"]
+    got = blocksearch.Trigrams(texts)
+    words = [{f"  {w} " for w in re.findall(r"[^\W_]+", x)} for x in texts]
+    want = sorted({(i, w[k : k + 3]) for i, ws in enumerate(words) for w in ws for k in range(len(w) - 2)})
+    assert sorted((i, "".join(chr(c) if c else " " for c in g)) for i, g in zip(got.row.tolist(), got.gram.tolist())) == want
+    assert got.n.tolist() == [sum(i == k for i, _ in want) for k in range(len(texts))]
