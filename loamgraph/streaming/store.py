@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.operators.retrieval import passages
-from loamgraph.session import shared_path
+from loamgraph.session import settled, shared_path
 from loamgraph.sources.bindings import source_documents
 
 
@@ -103,6 +103,7 @@ class Archive:
         buckets = sorted(r[0] for r in one.select(self.documents._bucket()).distinct().collect())
         old = self.documents.read(buckets, number).select("document_id", F.col("content_hash").alias("old"), F.col("version").alias("had"))
         changed = one.join(old, "document_id", "left").filter("old IS NULL OR old <> content_hash").withColumn("version", (F.coalesce("had", F.lit(0)) + 1).cast("int")).drop("old", "had")
+        changed = settled(changed)  # read below for rows and ids of either store
         ids = changed.select("document_id") if deleted is None else changed.select("document_id").unionByName(deleted.select(F.col("document_id").cast("long")))
         cut = passages(changed.withColumn("date", F.lit(None).cast("string")))
         # Chunks come first: both stores read the documents as they were before this batch.

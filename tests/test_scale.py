@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import blocksearch, entities, graph
 from loamgraph.plans.registry import QUERIES
+from loamgraph.streaming import store
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,6 +49,15 @@ def test_texts_are_read_once_for_several_blocks_of_questions(spark, monkeypatch)
     assert {r.qid for r in found.collect()} == set(range(5))
 
 
+def test_a_batch_of_a_store_is_worked_out_once(spark, tmp_path, monkeypatch):
+    read = []
+    replace = store.Store.replace
+    monkeypatch.setattr(store.Store, "replace", lambda self, number, rows, ids: read.extend([*rows.inputFiles(), *ids.inputFiles()]) or replace(self, number, rows, ids))
+    spark.createDataFrame([(i, "t", "d", f"text {i}") for i in range(20)], "document_id long, title string, doc_type string, content string").write.parquet(str(tmp_path / "docs"))
+    store.Archive(spark, str(tmp_path / "archive"), 2).sync(0, spark.read.parquet(str(tmp_path / "docs")))
+    assert read and not [f for f in read if str(tmp_path / "docs") in f]
+
+
 @pytest.mark.parametrize("chars", [1 << 20, 7])
 def test_trigrams_of_texts(monkeypatch, chars):
     monkeypatch.setattr(blocksearch, "CHARS", chars)
