@@ -58,6 +58,16 @@ def test_a_batch_of_a_store_is_worked_out_once(spark, tmp_path, monkeypatch):
     assert read and not [f for f in read if str(tmp_path / "docs") in f]
 
 
+def test_the_latest_touching_documents_are_found_in_steps(spark):
+    touches = spark.createDataFrame([(d, f"P-{d % 4}") for d in range(1, 200)] + [(d, "S-1") for d in range(1, 200)] + [(7, "P-8")], "source_doc long, dst string")
+    some = touches.filter("source_doc < 50 OR dst LIKE 'P%' AND source_doc < 60")
+    wanted = spark.createDataFrame([("P-1",), ("P-2",), ("S-1",)], "dst string")
+    want = [tuple(r) for r in some.join(wanted, "dst", "left_semi").groupBy("source_doc").agg(F.countDistinct("dst").alias("n")).orderBy(F.desc("source_doc")).limit(9).collect()]
+    assert [tuple(r) for r in graph.latest_touching(some, wanted, 9, 3).collect()] == want
+    assert len(graph.latest_touching(some, wanted, 500, 3).collect()) == some.join(wanted, "dst", "left_semi").select("source_doc").distinct().count()
+    assert graph.latest_touching(some.limit(0), wanted, 9, 3).collect() == []
+
+
 @pytest.mark.parametrize("chars", [1 << 20, 7])
 def test_trigrams_of_texts(monkeypatch, chars):
     monkeypatch.setattr(blocksearch, "CHARS", chars)
