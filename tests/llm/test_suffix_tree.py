@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loamgraph.llm import suffix_tree as S
 from loamgraph.llm._common import crc32_mod
@@ -76,3 +77,29 @@ def test_scores_equal_brute_force(spark, monkeypatch, chars, depth, data):
 
 def test_empty_table(spark):
     assert S.score(frame(spark, True), crc32_mod("doc_id", 7) == 2).collect() == []
+
+
+def test_grams_that_cannot_be_kept_are_not_sent(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    data = [(i, " ".join(f"{r.choice('abcdefghij')}{k % 3}" for k in range(30))) for i in range(100)]
+    sent, each = [], S._each
+    monkeypatch.setattr(S, "_each", lambda blocks, make, schema: (sent.append(each(blocks, make, schema).count()) if schema.startswith("a long, w long, s long") else None, each(blocks, make, schema))[1])
+    S.score(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), F.lit(False), depth=2)
+    c = Counter(g for _, t in data for w in [words(t)] for g in zip(w, w[1:], w[2:]))
+    often = sum(n >= S.SUPPORT for n in c.values())
+    assert 0 < sent[0] <= often < len(c) / 2
+
+
+def test_keys_and_answers_travel_packed():
+    import numpy as np
+    import pyarrow as pa
+
+    for x in (np.zeros(0, "<u8"), np.array([0, 5, 1 << 63, (1 << 64) - 1], "<u8")):
+        assert S._unpacked(S._packed(x), "<u8", len(x)).tolist() == x.tolist()
+    keys = np.array([3, 70, 1 << 60, (1 << 63) + 9], np.uint64)
+    asked = pa.table([[7], [0], [4], [S._packed(np.diff(keys, prepend=np.uint64(0)))]], names=["block", "part", "n", "keys"])
+    model = pa.table([pa.array(keys[[3, 1]].view(np.int64)), [0, 12], [4, 0]], names=["k", "v", "u"])
+    got = S._answers(asked, model).to_pylist()[0]
+    assert (got["block"], S._unpacked(got["v"], "<i8", 4).tolist(), S._unpacked(got["u"], "<i8", 4).tolist()) == (7, [0, 13, 0, 1], [0, 0, 0, 4])
