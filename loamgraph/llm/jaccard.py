@@ -219,7 +219,8 @@ def _near_first(docs: DataFrame, cand: DataFrame, words: int, percent: int) -> D
 
     The keys: the least shingle, and the least ones of the prefix in two other orders, as the least
     shingle of a near copy may be one that no other text has; each with a range of sizes, and
-    the ranges overlap.
+    the ranges overlap. Many agree on a key by chance; the whole sets are fetched only of pairs
+    that share as much of their prefixes as similar ones must.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +230,18 @@ def _near_first(docs: DataFrame, cand: DataFrame, words: int, percent: int) -> D
 
     half = lambda c: F.floor(c / 2)
     keys = F.array(F.xxhash64(F.lit(0), "first", "bucket"), F.xxhash64(F.lit(1), _least_hash(1), half(F.col("bucket"))), F.xxhash64(F.lit(2), _least_hash(2), half(F.col("bucket") + 1)))
-    keyed = stored(cand.select("node", "s1", "s2", F.explode(keys).alias("key")))
+    keyed = stored(cand.select("node", F.explode(keys).alias("key")))
     centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select("key", "centre")
-    met = stored(keyed.join(centres, "key").select("node", "s1", "s2", "centre").distinct())
-    sets = stored(_with_sets(docs, met.select("node", "s1", "s2").distinct(), words).select("node", "shingles"))
-    pairs = met.filter("node <> centre").select("node", "centre")
+    met = keyed.join(centres, "key").filter("node <> centre").select("node", "centre").distinct()
+    short = cand.select("node", "least", "bucket", "prefix")
+    met = met.join(short, "node").join(short.toDF("centre", "least2", "bucket2", "prefix2"), "centre")
+    shared = F.size(F.array_intersect("prefix", "prefix2")) >= F.greatest("least", "least2")
+    pairs = stored(met.filter(shared & (F.abs(F.col("bucket") - F.col("bucket2")) <= 1)).select("node", "centre"))
+    wanted = pairs.select(F.explode(F.array("node", "centre")).alias("node")).distinct()
+    sets = stored(_with_sets(docs, cand.select("node", "s1", "s2").join(wanted, "node", "left_semi"), words).select("node", "shingles"))
     out = pairs.join(sets.withColumnRenamed("shingles", "x"), "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("y")), "centre")
     out = stored(out.select("node", "centre", "x", "y").mapInArrow(run, "node long, centre long").distinct())
-    forget(keyed, met, sets)
+    forget(keyed, pairs, sets)
     return out
 
 

@@ -165,3 +165,14 @@ def test_a_label_with_hardly_any_text_takes_none(odd):
     asked = [(k, text(k, 12)) for k in ("aa", "bb") for _ in range(40)]
     got, _ = language.Model(samples).predict([x for _, x in asked])
     assert sum(k == g for (k, _), g in zip(asked, got)) >= 76 and "zz" not in got
+
+
+def test_sets_are_fetched_only_of_pairs_that_may_be_similar(spark, monkeypatch):
+    far = lambda k: list(range(k, k + 5))
+    cand = [(1, 20, [*far(100), 7]), (2, 20, [*far(200), 7]), (3, 20, far(300)), (4, 20, [*far(300), 8]), (5, 20, [*far(300), 9])]
+    cand = spark.createDataFrame([(i, i, i, n, 3, 18 if i < 5 else 21, 77, p) for i, n, p in cand], "node long, s1 long, s2 long, n long, least long, bucket long, first long, prefix array<int>")
+    fetched, with_sets = [], jaccard._with_sets
+    monkeypatch.setattr(jaccard, "_with_sets", lambda docs, nodes, words: fetched.extend(r.node for r in nodes.collect()) or with_sets(docs, nodes, words))
+    docs = spark.createDataFrame([(i, f"a b c d e{i}") for i in range(6)], "doc_id long, text string")
+    jaccard._near_first(docs, cand, 4, 85)
+    assert set(fetched) == {3, 4}
