@@ -68,6 +68,22 @@ def test_the_latest_touching_documents_are_found_in_steps(spark):
     assert graph.latest_touching(some.limit(0), wanted, 9, 3).collect() == []
 
 
+def test_document_detail_moves_assertions_twice(spark, request):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    request.addfinalizer(lambda value=spark.conf.get(key): spark.conf.set(key, value))
+    spark.conf.set(key, "-1")
+    plan = QUERIES["document_detail"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_edges_beside_an_id_count_once_for_each_row_of_a_node(spark):
+    asserted = [("d1", "out", "A", "x"), ("d1", "out", "A", "x"), ("d1", "out", "B", "x"), ("d1", "in", "A", "x"), ("d1", "out", "A", "y"), ("d2", "out", "A", "gone"), ("d3", "out", None, "z"), ("d3", "out", None, "z"), ("d3", "out", "A", None)]
+    node = [("x", "P"), ("y", "Q"), ("y", "Q"), ("y", "R"), ("z", None), (None, "P")]
+    want = [("d1", 6, 2, "P,Q,R"), ("d3", 1, 1, "")]
+    found = graph.beside(spark.createDataFrame(asserted, "id string, direction string, rel_type string, other string"), spark.createDataFrame(node, "id string, label string"))
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
 @pytest.mark.parametrize("chars", [1 << 20, 7])
 def test_trigrams_of_texts(monkeypatch, chars):
     monkeypatch.setattr(blocksearch, "CHARS", chars)
