@@ -103,3 +103,29 @@ def test_keys_and_answers_travel_packed():
     model = pa.table([pa.array(keys[[3, 1]].view(np.int64)), [0, 12], [4, 0]], names=["k", "v", "u"])
     got = S._answers(asked, model).to_pylist()[0]
     assert (got["block"], S._unpacked(got["v"], "<i8", 4).tolist(), S._unpacked(got["u"], "<i8", 4).tolist()) == (7, [0, 13, 0, 1], [0, 0, 0, 4])
+
+
+@pytest.mark.parametrize("resident", [0, 7, 1 << 20])
+def test_pairs_and_words_travel_packed_and_others_as_rows(spark, monkeypatch, resident):
+    data, sent, each = branching(), [], S._each
+    monkeypatch.setattr(S, "RESIDENT", resident)
+    monkeypatch.setattr(S, "HELD", 20)
+    monkeypatch.setattr(S, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(S, "_each", lambda blocks, make, schema: (sent.append(schema), each(blocks, make, schema))[1])
+    got = S.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3), crc32_mod("doc_id", 7) == 2, depth=3).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == brute(data, S.SUPPORT, S.PENALTY, 3)[0]
+    assert ("a long, w long, n long" in sent) == (resident < 1 << 20)
+    assert not any(x.startswith("block long, w long") for x in sent)
+
+
+def test_words_come_back_counted_in_their_order():
+    import numpy as np
+    import pyarrow as pa
+
+    keys = [np.array(x, np.uint64) for x in ([5, 1 << 63], [], [2, 5, 9])]
+    counts = [np.array(x, np.int64) for x in ([1, 4], [], [0, 6, 2])]
+    sent = pa.table([[1, 2, 3], pa.array([4] * 3, pa.int32()), [len(k) for k in keys], [S._steps(k) for k in keys], [S._packed(c) for c in counts], [3, 1, 0], [2, 0, 0]], names=["block", "part", "n", "keys", "c", "total", "known"])
+    *replies, words = S._words_counted(sent).to_pylist()
+    assert [(r["block"], S._unpacked(r["c"], "<i8", r["n"]).tolist(), r["total"]) for r in replies] == [(1, [7, 4], 3), (2, [], 1), (3, [0, 7, 2], 0)]
+    assert S._from_steps(words["keys"], words["n"]).tolist() == [2, 5, 9, 1 << 63] and S._unpacked(words["c"], "<i8", 4).tolist() == [0, 7, 2, 4]
+    assert (words["block"], words["total"], words["known"]) == (None, 13, 3)
