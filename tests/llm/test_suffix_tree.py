@@ -129,3 +129,24 @@ def test_words_come_back_counted_in_their_order():
     assert [(r["block"], S._unpacked(r["c"], "<i8", r["n"]).tolist(), r["total"]) for r in replies] == [(1, [7, 4], 3), (2, [], 1), (3, [0, 7, 2], 0)]
     assert S._from_steps(words["keys"], words["n"]).tolist() == [2, 5, 9, 1 << 63] and S._unpacked(words["c"], "<i8", 4).tolist() == [0, 7, 2, 4]
     assert (words["block"], words["total"], words["known"]) == (None, 13, 3)
+
+
+def test_finished_steps_leave_no_shuffle_files(spark):
+    import pickle
+
+    import numpy as np
+
+    before = spark.conf.get(S.CLEANUP)
+    S.score(frame(spark), crc32_mod("doc_id", 7) == 2, depth=2)
+    assert spark.conf.get(S.CLEANUP) == before
+    gone = []
+    step = S.stored
+    try:
+        S.stored = lambda df: (gone.append(spark.conf.get(S.CLEANUP)), step(df))[1]
+        S.score(frame(spark), crc32_mod("doc_id", 7) == 2, depth=2)
+    finally:
+        S.stored = step
+    assert gone and set(gone) == {"true"}
+    entries = S.Entries((np.arange(5, 50_005, dtype=np.uint64) << np.uint64(40), np.arange(50_000), np.arange(50_000) % 7))
+    data = pickle.dumps(entries)
+    assert len(data) < 12 * 50_000 and all((x == y).all() for x, y in zip(pickle.loads(data), entries))
