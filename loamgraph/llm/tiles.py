@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +58,10 @@ def tiles(vectors: DataFrame, rows: int, order: list[str], dtype: str = "<f8") -
             for a in range(0, n if everything else n - n % rows, rows):
                 part = table.slice(a, rows)
                 key = part["key"].to_numpy()
-                x = matrix(part["vec"].to_pylist(), dtype)
+                vec = part["vec"].combine_chunks()
+                sizes = pc.list_value_length(vec)
+                flat = vec.null_count == 0 and pc.count_distinct(sizes).as_py() == 1 and (values := vec.flatten()).null_count == 0
+                x = values.to_numpy().astype(dtype).reshape(len(vec), -1) if flat else matrix(vec.to_pylist(), dtype)
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((at, len(x), key.min(), key.max(), part["id"].to_numpy().astype("<i8").tobytes(), part["weight"].to_numpy().astype("<i8").tobytes(), x.tobytes()), schema)], schema=schema)
                 at += 1
             held = table.slice(n - n % rows).to_batches() if n % rows and not everything else []

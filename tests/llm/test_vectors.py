@@ -88,6 +88,27 @@ def test_blocks_of_far_clusters_are_not_scored():
     assert scored[0] < 0.35 * scored[1]
 
 
+def test_queries_times_ranges_are_neither_broadcast_nor_dealt(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "RANGE", 60)
+    plan = topk.top_k(frame(spark, rows), F.col("vec_id") % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "SortMergeJoin" not in plan
+
+
+def test_the_best_are_kept_from_range_to_range():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    docs, ids = r.integers(-200, 200, (900, 6)), r.integers(0, 700, 900)
+    docs[300:600] <<= 20  # sums beyond the integers of a float, then of a double
+    docs[600:] <<= 45
+    best = topk.Best(docs[:50], ids[:50], 15)
+    for a in range(0, 900, 300):
+        best.visit(docs[a : a + 300], ids[a : a + 300], np.arange(0, 300, 40))
+    full = best.queries.astype(object) @ docs.T.astype(object)
+    want = [sorted((-full[n, j], ids[j]) for j in range(900) if ids[j] != ids[n])[:15] for n in range(50)]
+    assert [[(-x, y) for x, y in zip(s, i)] for s, i in zip(best.scores.tolist(), best.ids.tolist())] == want
+
+
 def test_near_vectors_of_tiny_and_huge_components(spark):
     data = [(0, [1e-200, 0.0]), (1, [2e-200, 1e-205]), (2, [1.0, 0.0]), (3, [0.0, 3e200]), (4, [1e180, 5e200]), (5, [-1.0, 0.0]), (6, [0.0, 0.0]), (7, [5e-324, 0.0]), (2, [1.0, 0.0])]
     got = near_vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
