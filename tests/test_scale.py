@@ -40,6 +40,15 @@ def test_neighbours_send_the_front_to_the_edges(spark, tmp_path):
     assert got == {"n3": 0} | {f"n{i + 50}": 1 for i in range(7)} | {f"n{i}": 2 for i in range(50) if i != 3}
 
 
+def test_no_path_of_a_hub_is_left_out(spark):
+    edge = [("hub", "A", f"n{i}") for i in range(150)] + [(f"n{i}", "B", "far") for i in range(150)] + [("hub", "A", "n0"), ("hub", "A", None), (None, "A", "hub"), ("hub", "L", "hub")]
+    found = graph.paths(spark.createDataFrame(edge, "src string, rel_type string, dst string"), spark.createDataFrame([("hub",)], "id string"))
+    got = found.groupBy("hops").count().collect()
+    # one hop: 150 and the loop; two: 150 on to far, the loop and 150 either way round; three: back by 149 others, 150 to far after the loop
+    assert {r.hops: r["count"] for r in got} == {1: 151, 2: 300, 3: 150 * 149 + 150}
+    assert found.distinct().count() == 151 + 300 + 150 * 150
+
+
 def test_texts_are_read_once_for_several_blocks_of_questions(spark, monkeypatch):
     monkeypatch.setattr(blocksearch, "QUESTIONS", 2)
     asked = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(5)], "qid long, text string")
