@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,71 @@ def common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: Kinds of bigrams and of letters that are told apart, and pairs taken at once.
+BIGRAMS, LETTERS, AT_ONCE = 128, 64, 1 << 18
+
+
+def codes(strings: list[str]) -> np.ndarray:
+    """A row of characters for each of these strings of one length."""
+    return np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).reshape(len(strings), -1)
+
+
+def _counts(of: np.ndarray, kinds: int) -> np.ndarray:
+    at = np.arange(len(of))[:, None] * kinds + of % kinds
+    return np.bincount(at.ravel(), minlength=len(of) * kinds).reshape(len(of), kinds)
+
+
+def common_of(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """common() of rows r of x with rows c of y, which have up to 63 characters in x."""
+    letters, of_x = np.unique(x, return_inverse=True)
+    of_x = of_x.reshape(x.shape)
+    where = np.zeros((len(x), len(letters) + 1), np.uint64)
+    for i in range(x.shape[1]):
+        where[np.arange(len(x)), of_x[:, i]] |= np.uint64(1 << i)
+    at = np.minimum(np.searchsorted(letters, y), len(letters) - 1)
+    of_y = np.where(letters[at] == y, at, len(letters))
+    full = np.uint64((1 << x.shape[1]) - 1)
+    row = np.full(len(r), full)
+    for i in range(y.shape[1]):
+        hit = row & where[r, of_y[c, i]]
+        row = (row + hit | row - hit) & full
+    return x.shape[1] - np.bitwise_count(row).astype(np.int64)
+
+
+class Strings:
+    """Strings of one length with their numbers of bigrams and letters."""
+
+    def __init__(self, strings: list[str]):
+        self.strings, self.codes = strings, codes(strings)
+        self.bigrams = _counts(self.codes[:, :-1] * np.uint32(31) + self.codes[:, 1:] * np.uint32(7), BIGRAMS).astype(np.float32)
+        self.letters = np.minimum(_counts(self.codes, LETTERS), 255).astype(np.uint8)
+
+
+def alike_pairs(x: Strings, y: Strings, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and of y whose ratio is ``least`` (of 1) or more; of one and the same strings each pair once.
+
+    What is common to strings of m and n characters, L at least, leaves 3 L - m - n - 1 of its pairs
+    of neighbours side by side in both, so they share as many bigrams and L letters. Bigrams are
+    counted as a product of matrices.
+    """
+    m, n = x.codes.shape[1], y.codes.shape[1]
+    need = int(np.ceil((least - 1e-5) * (m + n) / 2))
+    r, c = np.divmod(np.flatnonzero(x.bigrams @ y.bigrams.T >= 3 * need - m - n - 1), len(y.strings))
+    if x is y:
+        r, c = r[r < c], c[r < c]
+    found = []
+    for a in range(0, len(r), AT_ONCE):
+        i, j = r[a : a + AT_ONCE], c[a : a + AT_ONCE]
+        keep = np.minimum(x.letters[i], y.letters[j]).sum(1, dtype=np.uint8) >= need if max(m, n) < 256 else np.ones(len(i), bool)
+        i, j = i[keep], j[keep]
+        if min(m, n) > 63:
+            held = np.array([common(x.strings[p], y.strings[q]) for p, q in zip(i.tolist(), j.tolist())], np.int64)
+        else:
+            held = common_of(x.codes, y.codes, i, j) if m <= n else common_of(y.codes, x.codes, j, i)
+        found.append((i[held >= need], j[held >= need]))
+    return tuple(np.concatenate(v) for v in zip(*found)) if found else (r, c)
+
+
 def ratio(a: str, b: str) -> float:
     """Twice what is common, of both lengths; two empty strings are alike."""
     n = len(a) + len(b)

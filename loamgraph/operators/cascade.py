@@ -27,6 +27,38 @@ ALIKE = 0.8
 ORGANISATIONS = ["llc", "inc", "corp", "ltd", "company", "co.", "solutions", "services", "association", "foundation", "bank", "mortgage", "insurance", "financial", "trust", "group", "partners"]
 
 
+def _others_match(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """Whether names of these words, of which a and b match, may match by their parts: then no word of theirs is left, or two others match as well.
+
+    The match of parts reaches LEAST only if the mean worth of the shorter name's words does, so
+    of two words or more at least two match. Names that repeat a word are not judged.
+    """
+    begin = lambda p, q: (F.substring(p, 1, 1) == F.substring(q, 1, 1)) & (_brief(p) | _brief(q))
+    close = lambda p, q: F.levenshtein(p, q) <= (1 - ALIKE) * (F.length(p) + F.length(q)) + 1e-3
+    more = F.exists(F.array_except(x, F.array(a)), lambda p: F.exists(F.array_except(y, F.array(b)), lambda q: (p == q) | begin(p, q) | close(p, q)))
+    repeats = (F.size(x) > F.size(F.array_distinct(x))) | (F.size(y) > F.size(F.array_distinct(y)))
+    return repeats | (F.size(x) == 1) & (F.size(y) == 1) | more
+
+
+def _may_match() -> Column:
+    """False for names x and y whose one other word each cannot match, by the letters that only one of the two has; see others()."""
+    x, y = F.col("x.rest"), F.col("y.rest")
+    return F.coalesce(F.bit_count(x["letters"].bitwiseXOR(y["letters"])) <= (1 - ALIKE) * (x["n"] + y["n"]) + 1e-3, F.lit(True))
+
+
+def others(words: DataFrame) -> DataFrame:
+    """Words (name, parts, s) of names with rest (letters, n), a mask of the letters and the length of the one other word; null if there are more, or if it is brief."""
+    rest = F.element_at(F.array_except("parts", F.array("s")), 1)
+    found = words.withColumn("other", F.when((F.size("parts") == 2) & (F.size(F.array_distinct("parts")) == 2), rest))
+    letters = F.expr("aggregate(split(other, ''), 0L, (m, c) -> m | shiftleft(1L, pmod(hash(c), 64)))")
+    return found.withColumn("rest", F.when(F.col("other").isNotNull() & ~_brief(F.col("other")), F.struct(letters.alias("letters"), F.length("other").alias("n")))).drop("other")
+
+
+def _brief(word: Column) -> Column:
+    """Whether a word may stand for a longer one, or a longer one for it."""
+    return (F.length(word) == 1) | word.isin([*Z.ABBREVIATIONS, *Z.ABBREVIATIONS.values()])
+
+
 def similar(names: DataFrame, person: bool) -> DataFrame:
     """(a, b, score) of all pairs of (name) distinct names whose match reaches LEAST, both ways round.
 
@@ -35,22 +67,30 @@ def similar(names: DataFrame, person: bool) -> DataFrame:
     """
     plain = F.lower(N.name(F.col("name")))
     words = F.array_sort(F.filter(F.split(plain, " "), lambda w: w != ""))
-    forms = names.select("name", plain.alias("whole"), F.array_join(words, " ").alias("sorted"), F.array_distinct(words).alias("words"), F.array_join(F.array_distinct(words), " ").alias("set"))
+    forms = names.select("name", plain.alias("whole"), F.array_join(words, " ").alias("sorted"), F.array_distinct(words).alias("words"), words.alias("parts"), F.array_join(F.array_distinct(words), " ").alias("set"))
     forms = settled(forms)
     strings = forms.select("name", F.explode(F.array_distinct(F.array("whole", "sorted", "set"))).alias("s")).distinct()
     pairs = entities.alike(strings.select("s").distinct(), LEAST)
     equal = strings.select("s").distinct().select(F.col("s").alias("a"), F.col("s").alias("b"))
     by = lambda p, of: p.join(of.select(F.col("s").alias("a"), F.col("name").alias("x")), "a").join(of.select(F.col("s").alias("b"), F.col("name").alias("y")), "b").select("x", "y")
-    of_words = forms.select("name", F.explode("words").alias("s"), F.size("words").alias("n"))
+    of_words = forms.select("name", F.explode("words").alias("s"), "parts", F.size("words").alias("n"))
     meet = lambda left, right, on: left.withColumnRenamed("name", "x").join(right.withColumnRenamed("name", "y"), on).select("x", "y")
+    alike_words = settled(entities.alike(of_words.select("s").distinct(), ALIKE).repartition(entities.PARTS))
     if person:
-        # Two parts of names of several words match: an equal word and one that begins alike, or words are alike.
-        single, several = of_words.filter("n = 1").select("name", "s"), forms.filter(F.size("words") > 1).select("name", "words", F.explode("words").alias("s"))
-        beside = several.select("name", "s", F.explode(F.array_distinct(F.transform(F.array_except("words", F.array("s")), lambda w: F.substring(w, 1, 1)))).alias("letter"))
-        same = meet(single, of_words.select("name", "s"), "s").unionByName(meet(beside, beside, ["s", "letter"]))
+        # Two parts of names of several words match: an equal word and one that begins alike, or words are alike and others match too.
+        single, several = of_words.filter("n = 1").select("name", "s"), forms.filter(F.size("words") > 1).select("name", "parts", "words", F.explode("words").alias("s"))
+        match = lambda df, a, b: df.filter(_may_match()).filter(_others_match(F.col("x.parts"), F.col("y.parts"), a, b)).select(F.col("x.name").alias("x"), F.col("y.name").alias("y"))
+        beside = others(several).withColumn("letter", F.explode(F.array_distinct(F.transform(F.array_except("words", F.array("s")), lambda w: F.substring(w, 1, 1)))))
+        row = lambda df, x, *on: df.select(F.struct("name", "parts", "rest").alias(x), *on)
+        both = row(beside, "x", "s", "letter").join(row(beside, "y", "s", "letter"), ["s", "letter"]).filter("x.name < y.name")
+        same = meet(single, of_words.select("name", "s"), "s").unionByName(match(both, F.col("s"), F.col("s")))
+        held = others(of_words.select("name", "parts", "s"))
+        by_words = alike_words.join(row(held, "x", F.col("s").alias("a")), "a").join(row(held, "y", F.col("s").alias("b")), "b")
+        by_words = match(by_words, F.col("a"), F.col("b"))
     else:
         same = meet(of_words.select("name", "s"), of_words.select("name", "s"), "s")
-    found = by(pairs.unionByName(equal), strings).unionByName(same).unionByName(by(entities.alike(of_words.select("s").distinct(), ALIKE), of_words))
+        by_words = by(alike_words, of_words)
+    found = by(pairs.unionByName(equal), strings).unionByName(same).unionByName(by_words)
     once = found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     scored = once.withColumn("score", F.round(Z.match(F.col("a"), F.col("b"), person), 6)).filter(F.col("score") >= LEAST)
     scored = settled(scored)

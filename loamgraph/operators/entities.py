@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.functions import fuzzy as Z
 from loamgraph.functions import names as N
-from loamgraph.session import settled
+from loamgraph.session import reachable, settled
 from loamgraph.sources.bindings import nodes, table
 
 LEAST = 82
 #: Parts of a group that pairs within it are made in.
 BLOCKS = 128
+#: Strings and characters of a tile, and parts that tiles are dealt to.
+TILE, CHARS, PARTS = 2048, 1 << 20, 32
 # Labels by the risk of a wrong merge.
 HIGH_RISK = ["Person", "Address", "MedicalResult", "Condition", "Contract", "InsurancePolicy", "FinancialItem", "DateEvent", "Event"]
 LOW_RISK = ["Organization", "Product", "System", "DocumentRef", "Location"]
@@ -23,27 +28,33 @@ TERMINAL = ["ignore", "split", "merged", "never_merge", "auto_merged"]
 def alike(strings: DataFrame, least: float) -> DataFrame:
     """(a, b) of (s) distinct strings of 3 characters or more whose ratio is ``least`` (0.7 to 1) or more; a < b. No such pair is lost.
 
-    Strings of lengths m >= n are apart by d <= (1 - least) (m + n) letters taken out or put in. Cut
-    the longer into more pieces than that: of the first pieces 0 to i that hold i such edits at most,
-    as all of them do, take the fewest. Then piece i is whole, i edits lie before it and d - i behind
-    it at most, so it stands in the other string i, i - 2, ... or -i places off.
+    Strings lie in tiles of one length; each tile meets those of lengths near enough, see
+    fuzzy.alike_pairs(), and only pairs that are alike leave it.
     """
-    share, slack = least / (2 - least), 1 - least
+    reachable(strings.sparkSession)
     sized = strings.filter(F.length("s") >= 3).select("s", F.length("s").alias("n"))
-    pieces = lambda m: (F.floor(2 * slack * m + 1e-9) + 1).cast("int")
-    start = lambda m, i: F.floor(i * m / pieces(m) + 1e-9).cast("int")
-    m, i = F.col("m"), F.col("i")
-    cut = lambda of, at: F.substring(F.col(of), at + 1, start(m, i + 1) - start(m, i)).alias("piece")
-    held = sized.select(F.col("s").alias("x"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), pieces(F.col("n")) - 1)).alias("i")).select("x", "m", "i", cut("x", start(m, i)))
-    n, d = F.col("n"), F.col("d")
-    asked = sized.select(F.col("s").alias("y"), "n", F.explode(F.sequence(n, F.floor(n / share + 1e-9).cast("int"))).alias("m"))
-    most = F.floor(slack * (m + n) + 1e-9).cast("int")
-    asked = asked.withColumn("d", most - (most + m + n) % 2).filter("d >= m - n")
-    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(d, pieces(m) - 1)))).withColumn("off", F.explode(F.sequence(-i, i, F.lit(2))))
-    at = start(m, i) + F.col("off")
-    asked = asked.filter((F.abs(n - m - F.col("off")) <= d - i) & (at >= 0) & (start(m, i + 1) + F.col("off") <= n)).select("y", "n", "d", "m", "i", cut("y", at))
-    near = held.join(asked, ["m", "i", "piece"]).filter((m > n) | (F.col("x") < F.col("y"))).filter(F.expr("levenshtein(x, y, d)") >= 0).select("x", "y").distinct()
-    return near.filter(Z.ratios(F.col("x"), F.col("y")) >= 100 * least - 1e-3).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(TILE)), CHARS / F.col("n")))
+    parts = sized.groupBy("n").agg(F.count("*").alias("k")).select("n", F.ceil(F.col("k") / most).alias("parts"))
+    tiles = sized.join(parts, "n").withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts"))).groupBy("n", "part").agg(F.collect_list("s").alias("all"))
+    tiles = settled(tiles.repartition(PARTS))
+    longer, shorter = (tiles.select(F.col("n").alias(f"{x}n"), F.col("part").alias(f"{x}part"), F.col("all").alias(f"{x}all")) for x in "xy")
+    near = (F.col("yn") >= F.col("xn") * (least / (2 - least)) - 1e-3) & ((F.col("xn") > F.col("yn")) | (F.col("xn") == F.col("yn")) & (F.col("xpart") >= F.col("ypart")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                xn, xpart, yn, ypart = (batch[c][i].as_py() for c in ("xn", "xpart", "yn", "ypart"))
+                if at != (xn, xpart):
+                    at, x = (xn, xpart), Z.Strings(batch["xall"][i].as_py())
+                y = x if at == (yn, ypart) else Z.Strings(batch["yall"][i].as_py())
+                r, c = Z.alike_pairs(x, y, least)
+                of_x, of_y = pa.array(x.strings), pa.array(y.strings)
+                for k in range(0, len(r), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([of_x.take(pa.array(r[k : k + (1 << 16)])), of_y.take(pa.array(c[k : k + (1 << 16)]))], names=["x", "y"])
+
+    found = longer.hint("shuffle_replicate_nl").join(shorter, near).mapInArrow(run, "x string, y string")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def candidates(named: DataFrame, least: int = LEAST) -> DataFrame:

@@ -115,3 +115,21 @@ def test_joint_names_titles_and_organisations(spark):
         (4, "Acme Banks"): ("new:Acme Bank", "alike", "organisation"),
     }
     assert K.resolve_people(batch.limit(0), empty, empty).collect() == []
+
+
+def test_pairs_come_from_tiles_not_from_shared_pieces(spark):
+    every = spark.createDataFrame([(f"{a}{b} {c}",) for a in ("jo", "el", "an") for b in ("sama", "luto", "kean") for c in ("berleyberez", "berleybrez", "tanson")], "s string")
+    plan = entities.alike(every, 0.85)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "levenshtein" not in plan and "Broadcast" not in plan
+
+
+def test_common_of_many_equals_common():
+    r = random.Random(8)
+    import numpy as np
+
+    for m, n in ((1, 4), (9, 9), (63, 70), (5, 12)):
+        x, y = (["".join(r.choice("abcé日") for _ in range(size)) for _ in range(40)] for size in (m, n))
+        i, j = (v.ravel() for v in np.indices((40, 40)))
+        assert Z.common_of(Z.codes(x), Z.codes(y), i, j).tolist() == [Z.common(x[p], y[q]) for p, q in zip(i, j)]
+    x = Z.Strings(["ab" * 40 + c for c in "abcdefg"])
+    assert sorted(zip(*map(list, Z.alike_pairs(x, x, 0.98)))) == [(p, q) for p in range(7) for q in range(p + 1, 7)]
