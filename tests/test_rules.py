@@ -139,6 +139,42 @@ def test_groups_and_safeguards(spark):
     assert [x[0] for x in pairs.select(entities.may_merge(F.col("a"), F.col("b"), F.lit(0.9), False)).collect()] == [True, False]
 
 
+def named_apart_from_documents(con):
+    return sorted(con.execute("SELECT DISTINCT * FROM (SELECT 'Location' AS label, r_name AS name FROM region UNION ALL SELECT 'Location', n_name FROM nation UNION ALL SELECT 'Person', c_name FROM customer UNION ALL SELECT 'Organization', s_name FROM supplier UNION ALL SELECT 'Product', p_name FROM part) WHERE name IS NOT NULL").fetchall())
+
+
+def test_names_of_all_labels_are_judged_and_grouped(spark):
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    names = named_apart_from_documents(con)
+    want = {(x, a, b, round(Z.match_score(a, b, x == "Person"), 6)) for x, a in names for y, b in names if x == y and a < b and Z.token_sort(a, b) >= entities.LEAST - 1e-9}
+    rows = spark.createDataFrame(sorted(want), "label string, a string, b string, best double")
+    a, b, best = F.col("a"), F.col("b"), F.col("best")
+    merge = F.when(F.col("label") == "Person", entities.may_merge(a, b, best, True)).otherwise(entities.may_merge(a, b, best, False))
+    want = {tuple(r) for r in rows.withColumn("merge", merge).collect()}
+    got = [tuple(r) for r in entities.auto_merge_flags(spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want and {r[0] for r in got} == {"Person", "Organization", "Product", "Location"}
+    reached = {}
+    for _, a, b, _, ok in want:
+        if ok:
+            both = reached.setdefault(a, {a}) | reached.setdefault(b, {b})
+            reached |= dict.fromkeys(both, both)
+    assert {tuple(r) for r in entities.resolve_components(spark, DATA).collect()} == {(n, min(of)) for n, of in reached.items()} and len(reached) > 100
+
+
+def test_flags_of_persons_and_others(spark):
+    pairs = [("Person", "Jo", "Joan"), ("Person", "Carl Smithsonian", "Otto Smithsonian"), ("Person", "John Smithson", "Joan Smithson"), ("Person", "Anna Lee", "Ann Lee"), ("Person", "Smithson", "Smithsons"), ("Organization", "Acme Bank", "Acme Banks"), ("Organization", "First Bank", "Fist Banks"), ("Product", "steels", "steel"), ("Product", "aluminium", "Aluminium")]
+    frame = spark.createDataFrame(pairs, "label string, a string, b string")
+    got = {r.a: (r.best, r.merge) for r in entities.flagged(frame, frame.selectExpr("explode(array(a, b)) AS name")).collect()}
+    pairs = [x for x in pairs if Z.token_sort(*x[1:]) >= entities.LEAST]
+    assert set(got) == {a for _, a, _ in pairs} and len(pairs) > 3
+    for label, a, b in pairs:
+        best = round(Z.match_score(a, b, label == "Person"), 6)
+        merge = frame.limit(1).select(entities.may_merge(F.lit(a), F.lit(b), F.lit(best), label == "Person")).first()[0]
+        assert got[a] == (best, merge)
+
+
 def test_diversified_keeps_its_bounds(spark):
     r = random.Random(3)
     rows = [(q, p, r.randrange(12), r.random() < 0.4, r.random()) for q in range(3) for p in range(1, 120)]
