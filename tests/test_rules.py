@@ -175,6 +175,13 @@ def test_flags_of_persons_and_others(spark):
         assert got[a] == (best, merge)
 
 
+def test_thinned_links_connect_the_same(spark):
+    links = spark.createDataFrame([(f"n{i:03}", f"n{j:03}") for i in range(60) for j in range(i, 60) if i % 3 == j % 3], "a string, b string").repartition(2)
+    thin = entities.thinned(links)
+    assert thin.count() <= 2 * 57
+    assert {tuple(r) for r in entities.groups(thin).collect()} == {tuple(r) for r in entities.groups(links.filter("a <> b")).collect()}
+
+
 def test_diversified_keeps_its_bounds(spark):
     r = random.Random(3)
     rows = [(q, p, r.randrange(12), r.random() < 0.4, r.random()) for q in range(3) for p in range(1, 120)]
